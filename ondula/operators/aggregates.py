@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ondula.operators import ordered
 from ondula.operators.gram import gram, partial_sums
-from ondula.operators.quantiles import median_mad, quantiles
+from ondula.operators.quantiles import quantiles, small_median_mad
+from ondula.session import cut
 
 # ---------------------------------------------------------------- connectivity
 
@@ -224,10 +225,15 @@ def switching_rate(states: DataFrame, key: str = "recording", order: str = "t",
 
 
 def population_std(x: str | Column) -> Column:
-    """Population deviation of an array column, in generated code."""
+    """Population deviation of an array column in one fold over its values."""
     x = F.col(x) if isinstance(x, str) else x
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    return F.sqrt(F.aggregate(F.transform(x, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v) / F.size(x))
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+
+    def step(a: Column, v: Column) -> Column:
+        mean = a["m"] + (v - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("m"), (a["q"] + (v - a["m"]) * (v - mean)).alias("q"))
+
+    return F.aggregate(x, zero, step, lambda a: F.sqrt(a["q"] / a["n"]))
 
 
 def field_power(frames: DataFrame) -> DataFrame:
@@ -330,7 +336,7 @@ def transient_outliers(fids: DataFrame, keys: Sequence[str] = ("acq", "edit"), t
     mean = flat.groupBy(*keys, "n").agg(F.avg("re").alias("_mr"), F.avg("im").alias("_mi"))
     res = flat.join(mean, [*keys, "n"]).groupBy(*keys, "dyn").agg(
         F.sqrt(F.avg(F.pow(F.col("re") - F.col("_mr"), 2) + F.pow(F.col("im") - F.col("_mi"), 2))).alias("residual"))
-    mm = median_mad(res, keys, "residual")
+    mm = small_median_mad(res, keys, "residual")
     z = 0.6745 * (F.col("residual") - F.col("med")) / (F.col("mad") + 1e-10)
     return res.join(mm, keys).select(*keys, "dyn", "residual", z.alias("z"), (F.abs(z) > threshold).alias("rejected"))
 
@@ -346,7 +352,7 @@ def variance_outliers(samples: DataFrame, keys: Sequence[str] = ("recording",),
     """Channels with variance above median + k * 1.4826 * MAD of the recording."""
     keys = list(keys)
     v = samples.groupBy(*keys, "channel").agg(F.var_pop("value").alias("variance"))
-    mm = median_mad(v, keys, "variance")
+    mm = small_median_mad(v, keys, "variance")
     return v.join(mm, keys).where(F.col("variance") > F.col("med") + k * 1.4826 * F.col("mad")).select(
         *keys, "channel", "variance")
 
@@ -354,7 +360,7 @@ def variance_outliers(samples: DataFrame, keys: Sequence[str] = ("recording",),
 def std_quality(stds: DataFrame, key: str = "recording", k: float = 3.0) -> DataFrame:
     """Noisy and flat channels of each recording. One recording has few channels, so names are listed."""
     agg = stds.groupBy(key).agg(F.avg("std").alias("std_mean"), F.stddev_pop("std").alias("std_std"))
-    mm = median_mad(stds, [key], "std")
+    mm = small_median_mad(stds, [key], "std")
     base = stds.join(agg, key).join(mm, key)
     noisy = F.col("std") > F.col("std_mean") + k * F.col("std_std")
     floor = F.greatest(F.col("med") - k * F.greatest(F.col("mad"), 0.01 * F.col("med")), F.lit(0.0))
@@ -473,11 +479,12 @@ def block_average(series: DataFrame, key: str, order: str = "t", value: str = "v
                   block: int = ordered.BLOCK) -> DataFrame:
     """Split frames at gaps over 1.5 median steps and average the equal-length blocks frame by frame."""
     prev = ordered.neighbour(series, [key], order, {order: "_pt"}, block=block).withColumn("_d", F.col(order) - F.col("_pt"))
+    prev = cut(prev)  # read by every step of the quantile and again below
     med = quantiles(prev, [key], "_d", {"_med": 0.5})
     gap = F.coalesce((F.col("_d") > 1.5 * F.col("_med")).cast("int"), F.lit(0))
     marked = prev.join(med, key, "left").withColumn("_gap", gap)
     ids = ordered.running(marked, [key], order, "_gap", "_b", block=block)
-    ids = ordered.running(ids, [key, "_b"], order, F.lit(1), "frame", block=block)
+    ids = cut(ordered.running(ids, [key, "_b"], order, F.lit(1), "frame", block=block))
     length = ids.groupBy(key, "_b").agg(F.count("*").alias("_len"))
     first = length.where("_b = 0").select(key, F.col("_len").alias("_first"))
     same = length.join(first, key).where("_len = _first").select(key, "_b")

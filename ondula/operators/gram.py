@@ -45,13 +45,15 @@ def partial_sums(df: DataFrame, keys: Sequence[str], arrays: Sequence[str],
     """Sum ``kernel(*row_matrices)`` over all rows of each key.
 
     The kernel returns a matrix for a block of rows and must be additive over
-    rows. Output: ``keys, i, j, v``.
+    rows; it may return ``(row ids, matrix)`` to number the rows itself.
+    Output: ``keys, i, j, v``.
     """
     keys, arrays = list(keys), list(arrays)
     fields = [df.schema[k] for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+        ids: dict[tuple, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for key, m in sums.items():
@@ -59,7 +61,7 @@ def partial_sums(df: DataFrame, keys: Sequence[str], arrays: Sequence[str],
                 flat = pa.array(np.ascontiguousarray(m, dtype=float).ravel())
                 offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(np.arange(len(m), dtype=np.int32)), pa.ListArray.from_arrays(offsets, flat)],
+                    [*cols, pa.array(ids[key].astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)],
                     names=[*keys, "i", "row"])
             sums.clear()
 
@@ -71,10 +73,8 @@ def partial_sums(df: DataFrame, keys: Sequence[str], arrays: Sequence[str],
             for key, rows in key_slices(batch, keys):
                 part = batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))
                 m = kernel(*[matrix_of(part.column(a)) for a in arrays])
-                if key in sums:
-                    sums[key] += m
-                else:
-                    sums[key] = m
+                ids[key], m = m if isinstance(m, tuple) else (np.arange(len(m)), m)
+                sums[key] = sums[key] + m if key in sums else m
             if len(sums) > KEYS_PER_TASK:
                 yield from flush()
         yield from flush()

@@ -50,6 +50,7 @@ def clustering(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
     triangle then carries its six direction flags to the three corners, which
     also covers graphs that are not symmetric.
     """
+    adjacency = cut(adjacency)
     lo, hi = F.least("src", "dst"), F.greatest("src", "dst")
     und = adjacency.where("src <> dst").groupBy("graph", lo.alias("a"), hi.alias("b")).agg(
         F.max((F.col("src") == lo).cast("int")).alias("ab"), F.max((F.col("src") == hi).cast("int")).alias("ba"))
@@ -61,6 +62,7 @@ def clustering(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
     pick = lambda x, y, n: F.when(up, F.col(x)).otherwise(F.col(y)).alias(n)
     o = e.select("graph", pick("a", "b", "u"), pick("b", "a", "v"), pick("ab", "ba", "uv"), pick("ba", "ab", "vu"),
                  F.greatest("da", "db").alias("dv"))
+    o = cut(o)  # each oriented edge is read three times
     w1 = o.select("graph", "u", "v", "uv", "vu", "dv")
     w2 = o.select("graph", "u", F.col("v").alias("w"), F.col("uv").alias("uw"), F.col("vu").alias("wu"), F.col("dv").alias("dw"))
     later = (F.col("dv") < F.col("dw")) | ((F.col("dv") == F.col("dw")) & (F.col("v") < F.col("w")))

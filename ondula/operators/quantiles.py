@@ -53,8 +53,16 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     return out.drop("_all")
 
 
+def small_median_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Median and MAD of groups that are small by nature: channels of a recording, transients of a scan."""
+    keys = list(keys)
+    med = df.groupBy(*keys).agg(F.median(value).alias("med"))
+    dev = df.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    return dev
+
+
 def median_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median and median absolute deviation per group."""
+    """Median and median absolute deviation per group of any size."""
     keys = list(keys)
     base = df if keys else df.withColumn("_g", F.lit(0))
     k = keys or ["_g"]

@@ -108,14 +108,12 @@ def window_connectivity(frames: DataFrame, width: int, step: int, key: str = "re
 
 def connectivity_dynamics(frames: DataFrame, width: int, step: int, key: str = "recording") -> DataFrame:
     """Pearson between the connectivity patterns of every two windows: ``key, w1, w2, r``."""
-    fc = window_connectivity(frames, width, step, key)
-    rows = fc.groupBy(key, "win").agg(F.sort_array(F.collect_list(F.struct("i", "j", "r"))).alias("_c")).select(
-        key, "win", F.col("_c.r").alias("p"))
+    fc = cut(window_connectivity(frames, width, step, key))
+    stat = fc.groupBy(key, "win").agg(F.avg("r").alias("_m"), (F.stddev_pop("r") * F.sqrt(F.count("*"))).alias("_n"))
+    unit = (F.col("r") - F.col("_m")) / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)
+    rows = fc.join(stat, [key, "win"]).groupBy(key, "win").agg(
+        F.sort_array(F.collect_list(F.struct("i", "j", unit.alias("r")))).alias("_c")).select(key, "win", F.col("_c.r").alias("p"))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    mean = add(F.col("p")) / F.size("p")
-    rows = rows.withColumn("p", F.transform("p", lambda v: v - mean))
-    norm = F.sqrt(add(F.transform("p", lambda v: v * v)))
-    rows = rows.withColumn("p", F.transform("p", lambda v: v / F.when(norm > 0, norm).otherwise(1.0)))
     rows = cut(rows)  # windows x pairs; read twice below
     a = rows.select(key, F.col("win").alias("w1"), F.col("p").alias("_a"))
     b = rows.select(key, F.col("win").alias("w2"), F.col("p").alias("_b"))
@@ -143,7 +141,8 @@ def moving_average(samples: DataFrame, width: int, keys: Sequence[str] = ("recor
                    block: int = ordered.BLOCK) -> DataFrame:
     """Moving average of the same length with zero padding."""
     before, after = (width - 1) - (width - 1) // 2, (width - 1) // 2
-    return ordered.frame(samples, keys, "t", before, after, {"smooth": F.sum(value) / width}, block=block)
+    out = ordered.frame(samples, keys, "t", before, after, {"smooth": F.sum(value)}, block=block)
+    return out.withColumn("smooth", F.col("smooth") / width)
 
 
 def local_network_transition(contributions: DataFrame, target: int, width: int = 5, block: int = ordered.BLOCK) -> DataFrame:
@@ -156,7 +155,7 @@ def local_network_transition(contributions: DataFrame, target: int, width: int =
         # same kernel length as a centred convolution with an odd or even window
         before, after = (width - 1) - (width - 1) // 2, (width - 1) // 2
         both = ordered.frame(both, ["graph"], "t", before, after,
-                             {"_l": F.sum("local") / width, "_n": F.sum("network") / width}, block=block)
+                             {"_l": F.sum("local"), "_n": F.sum("network")}, block=block)
     else:
         both = both.withColumn("_l", F.col("local")).withColumn("_n", F.col("network"))
     return both.groupBy("graph").agg(F.coalesce(F.min(F.when(F.col("_n") > F.col("_l"), F.col("t"))),
@@ -224,7 +223,8 @@ def robust_reference(samples: DataFrame, key: str = "recording") -> DataFrame:
 def average_reference(frames: DataFrame) -> DataFrame:
     """Subtract the channel mean of each frame."""
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
-    return frames.withColumn("x", F.transform("x", lambda v: v - mean))
+    # the repeated mean is built once per row; inside the lambda it would be summed again per value
+    return frames.withColumn("x", F.zip_with("x", F.array_repeat(mean, F.size("x")), lambda v, m: v - m))
 
 
 def change_points(features: DataFrame, k: float = 2.0, key: str = "recording", order: str = "win",

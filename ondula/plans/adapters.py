@@ -6,8 +6,11 @@ Each adapter exists twice: as a DataFrame and as the CTE text the oracle uses.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ondula.session import cut
+
 DAY0 = "1995-01-01"
 
 
@@ -47,8 +50,15 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     sums = li.groupBy("channel", "t").agg((F.round(F.sum("l_extendedprice"), 2) / 1000).alias("value"))
     span = li.groupBy("channel").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     grid = span.select("channel", F.explode(F.sequence("a", "b")).alias("t"))
-    return grid.join(sums, ["channel", "t"], "left").select(
-        F.lit("sales").alias("recording"), "channel", "t", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return cut(grid.join(sums, ["channel", "t"], "left").select(
+        F.lit("sales").alias("recording"), "channel", "t", F.coalesce("value", F.lit(0.0)).alias("value")))
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily revenue counted from the first day of each channel."""
+    d = daily(spark, sf)
+    first = d.groupBy("channel").agg(F.min("t").alias("_a"))
+    return cut(d.join(first, "channel").select("recording", "channel", (F.col("t") - F.col("_a")).alias("t"), "value"))
 
 
 def trade(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,9 +71,10 @@ def trade(spark: SparkSession, sf: str) -> DataFrame:
             .join(s, F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey <> s_nationkey")
             .groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
             .agg(F.sum("l_extendedprice").alias("raw")))
-    top = sums.agg(F.max("raw").alias("top"))
-    return sums.join(F.broadcast(top)).select(
-        F.lit("trade").alias("graph"), "src", "dst", F.round(F.col("raw") / F.col("top"), 9).alias("weight"))
+    top = F.max("raw").over(W.partitionBy("graph"))
+    # written once: graph measures read their edges many times
+    return cut(sums.withColumn("graph", F.lit("trade")).select(
+        "graph", "src", "dst", F.round(F.col("raw") / top, 9).alias("weight")))
 
 
 def trade_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,6 +119,8 @@ CTE = {
     "dailyg": (("daily0",), "SELECT channel, unnest(range(min(t), max(t) + 1)) AS t FROM daily0 GROUP BY channel"),
     "daily": (("daily0", "dailyg"), "SELECT 'sales' AS recording, channel, t, coalesce(value, 0.0) AS value "
                                     "FROM dailyg LEFT JOIN daily0 USING (channel, t)"),
+    "series": (("daily",), "SELECT recording, channel, t - min(t) OVER (PARTITION BY channel) AS t, value FROM daily"),
+    "sn": (("series",), "SELECT channel, max(t) + 1 AS n FROM series GROUP BY 1"),
     "trade0": ((), "SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_extendedprice) AS raw FROM lineitem "
                    "JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
                    "JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2"),

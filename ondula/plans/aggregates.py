@@ -26,10 +26,10 @@ def _(spark, sf):
 
 @query("agg_03_static_summary", "recording i:l mean:6 std:6 mean_abs_r:6",
        with_("samples4") + f", c AS ({CORR.format(s='samples4')}), "
-       "both AS (SELECT recording, i, r FROM c UNION ALL SELECT recording, j, r FROM c) "
+       "bi AS (SELECT recording, i, r FROM c UNION ALL SELECT recording, j, r FROM c) "
        "SELECT s.recording, channel AS i, mean, std, m AS mean_abs_r FROM "
        "(SELECT recording, channel, avg(value) AS mean, stddev_pop(value) AS std FROM samples4 GROUP BY 1, 2) s JOIN "
-       "(SELECT recording, i, avg(abs(r)) AS m FROM both GROUP BY 1, 2) b ON b.recording = s.recording AND b.i = s.channel")
+       "(SELECT recording, i, avg(abs(r)) AS m FROM bi GROUP BY 1, 2) b ON b.recording = s.recording AND b.i = s.channel")
 def _(spark, sf):
     return A.channel_summary(ad.frames(spark, sf, split=True))
 
@@ -426,8 +426,8 @@ def _(spark, sf):
        "graph mean_strength:6 strength_std:6 density:6 clustering_coeff:6 clustering_std:6 asymmetry:6 max_strength:6 strength_entropy:6",
        with_("trade", "nodes") + ", b AS (SELECT src, dst FROM trade WHERE weight > (SELECT median(weight) FROM trade WHERE weight > 0)), "
        "k AS (SELECT src, count(*) AS k FROM b GROUP BY 1), tri AS (SELECT x.src, count(*) AS n FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst "
-       "JOIN b z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1), "
-       "cc AS (SELECT node, CASE WHEN k >= 2 THEN 2 * coalesce(n, 0) / (k * (k - 1)) ELSE 0 END AS c FROM nodes LEFT JOIN k ON k.src = node LEFT JOIN tri ON tri.src = node), "
+       "JOIN b z ON (z.src = x.dst AND z.dst = y.dst) OR (z.src = y.dst AND z.dst = x.dst) GROUP BY 1), "
+       "cc AS (SELECT node, CASE WHEN k >= 2 THEN coalesce(n, 0) / (k * (k - 1)) ELSE 0 END AS c FROM nodes LEFT JOIN k ON k.src = node LEFT JOIN tri ON tri.src = node), "
        "s AS (SELECT node, coalesce(sum(weight), 0) AS s FROM nodes LEFT JOIN trade ON src = node GROUP BY 1), "
        "p AS (SELECT s, s / ((SELECT sum(s) FROM s) + 1e-10) AS p FROM s), "
        "a AS (SELECT sum(abs(d)) AS a FROM (SELECT sum(w) AS d FROM (SELECT src, dst, weight AS w FROM trade UNION ALL SELECT dst, src, -weight FROM trade) GROUP BY src, dst)) "

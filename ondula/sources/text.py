@@ -20,7 +20,11 @@ def lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = No
 
 def matrix_scan(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """Square matrices from CSV, TSV or TXT: ``path, i, j, v``; a first line that is not numeric is skipped."""
-    t = lines(spark, paths, glob)
+    return matrix_cells(lines(spark, paths, glob))
+
+
+def matrix_cells(rows: DataFrame) -> DataFrame:
+    t = rows
     sep = F.when(F.col("path").endswith(".tsv"), "\t").when(F.col("path").endswith(".txt"), "\\s+|,").otherwise(",")
     cells = t.select("path", "line_no", F.posexplode(F.split(F.trim("line"), sep)).alias("j", "_v"))
     num = F.expr("try_cast(trim(_v) AS double)")
@@ -33,25 +37,35 @@ def matrix_scan(spark: SparkSession, paths: str | Sequence[str], glob: str | Non
 
 def label_scan(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """Region labels, last field of each line; a header naming label, name or region is skipped."""
-    t = lines(spark, paths, glob)
+    return label_rows(lines(spark, paths, glob))
+
+
+def label_rows(rows: DataFrame) -> DataFrame:
+    t = rows
     header = (F.col("line_no") == 0) & F.lower("line").rlike("label|name|region")
     t = t.where(~header).withColumn("label", F.trim(F.element_at(F.split("line", "[\t,]"), -1)))
     return t.select("path", (F.row_number().over(W.partitionBy("path").orderBy("line_no")) - 1).alias("region"), "label")
 
 
-def event_scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def event_scan(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """Event tables ``onset, duration, trial_type``; short rows are left out."""
-    d = (spark.read.option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", False)
-         .schema("onset DOUBLE, duration DOUBLE, trial_type STRING").csv(paths))
-    return d.select(F.col("_metadata.file_path").alias("recording"), "onset", "duration", "trial_type").where("trial_type IS NOT NULL")
+    return event_rows(lines(spark, paths, glob))
+
+
+def event_rows(rows: DataFrame) -> DataFrame:
+    f = F.split("line", "\t")
+    ok = rows.where(F.col("line_no") > 0).where(F.size(f) >= 3)
+    return ok.select(F.col("path").alias("recording"), f[0].cast("double").alias("onset"), f[1].cast("double").alias("duration"),
+                     F.trim(f[2]).alias("trial_type"))
 
 
 def structure_stats(rows: DataFrame) -> DataFrame:
     """Volume rows and ``# Measure`` rows of structure statistics: ``path, name, value``."""
     s = F.trim("line")
     head = s.startswith("# Measure")
-    part = F.split(F.regexp_replace(s, "^# Measure ", ""), ",\\s*")
-    measure = rows.where(head).select("path", F.trim(part[0]).alias("name"), F.expr("try_cast(element_at(split(line, ',\\\\s*'), -2) AS double)").alias("value"))
+    part = F.split(s, ",")
+    measure = rows.where(head).where(F.size(part) >= 4).select(
+        "path", F.trim(part[1]).alias("name"), F.expr("try_cast(trim(split(line, ',')[3]) AS double)").alias("value"))
     f = F.split(s, "\\s+")
     body = rows.where(~s.startswith("#")).where(F.size(f) >= 5).select("path", f[4].alias("name"), f[3].cast("double").alias("value"))
     return measure.unionByName(body)
@@ -67,7 +81,7 @@ def cortical_stats(rows: DataFrame) -> DataFrame:
 
 def topology_holes(rows: DataFrame) -> DataFrame:
     """Holes per log and hemisphere; the last matching line counts."""
-    hemi = F.regexp_extract("line", r"\b(lh|rh)\b", 1)
+    hemi = F.regexp_extract("line", r"\b(lh|rh)\.orig", 1)
     n = F.regexp_extract("line", r"(\d+)\s+holes", 1)
     m = rows.select("path", "line_no", hemi.alias("hemi"), n.alias("n")).where("hemi <> '' AND n <> ''")
     return m.groupBy("path", "hemi").agg(F.max_by(F.col("n").cast("int"), "line_no").alias("holes"))
