@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ondula.functions.types import doubles
+
 LIMIT = 1 << 16
 
 
-@F.pandas_udf("re array<double>, im array<double>")
+@F.pandas_udf(doubles("re", "im"))
 def _dft(idx: pd.Series, re: pd.Series, im: pd.Series, n: pd.Series, sign: pd.Series) -> pd.DataFrame:
     """Transform of each array row placed at ``idx`` in ``n`` zeros; sign -1 forward, +1 unscaled inverse."""
     out_re, out_im = [], []

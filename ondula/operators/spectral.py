@@ -13,10 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ondula.functions import complex as cx
+from ondula.functions.types import doubles
 from ondula.operators import fourier, ordered
 from ondula.operators.aggregates import average_edits, connectivity, transient_outliers
 from ondula.operators.gram import partial_sums
 from ondula.operators.windows import slide
+from ondula.session import cut
 
 KEY = ("recording", "channel")
 TAPER_LENGTH = 4096  # tapers come from a dense eigenproblem of the window length
@@ -88,7 +90,7 @@ def decay_spectrum(fids: DataFrame, dwell: float, broadening: float = 0.0, keys:
 # --------------------------------------------------------------- window spectra
 
 
-@F.pandas_udf("re array<double>, im array<double>")
+@F.pandas_udf(doubles("re", "im"))
 def _rfft(x: pd.Series, nfft: pd.Series) -> pd.DataFrame:
     f = [np.fft.rfft(np.asarray(v, dtype=float), n=int(n)) for v, n in zip(x, nfft)]
     return pd.DataFrame({"re": [v.real for v in f], "im": [v.imag for v in f]})
@@ -534,16 +536,16 @@ def spectral_registration(fids: DataFrame, reference: DataFrame, dwell: float, l
     return pair.select(*keys, best("re", "im", "ref_re", "ref_im").alias("_b")).select(*keys, "_b.df", "_b.dp")
 
 
-def zero_order_phase(spectra: DataFrame, keys: Sequence[str], degrees: Sequence[float] | None = None) -> DataFrame:
-    """Phase (radians) that maximises the summed real part, over a fixed grid; the first on ties.
+def zero_order_phase(spectra: DataFrame, keys: Sequence[str], start: float = -math.pi, step: float = math.pi / 180) -> DataFrame:
+    """Phase (radians) on a grid of one turn that maximises the summed real part.
 
-    The sum over bins is rotated, not the bins: two sums per spectrum are enough.
+    The sum over bins is rotated, not the bins, and a rotated sum is largest at
+    the grid point nearest to minus its angle. ``start=0`` gives the 0 - 359 degree grid.
     """
-    grid = [math.radians(d) for d in degrees] if degrees is not None else list(np.linspace(-math.pi, math.pi, 361))
     s = spectra.groupBy(*keys).agg(F.sum("re").alias("_r"), F.sum("im").alias("_i"))
-    tries = F.array(*[F.struct((F.col("_r") * math.cos(p) - F.col("_i") * math.sin(p)).alias("score"), F.lit(-i).alias("o"), F.lit(float(p)).alias("phase"))
-                      for i, p in enumerate(grid)])
-    return s.select(*keys, F.array_max(tries).getField("phase").alias("phase"))
+    turns = round(2 * math.pi / step)
+    index = F.pmod(F.round(F.pmod(-F.atan2("_i", "_r") - start, F.lit(2 * math.pi)) / step), F.lit(turns))
+    return s.select(*keys, (start + index * step).alias("phase"))
 
 
 def first_order_phase(spectra: DataFrame, keys: Sequence[str], pivot: float = 2.02) -> DataFrame:
@@ -624,11 +626,11 @@ def _sum_coils(j: DataFrame) -> DataFrame:
 def edited_spectroscopy(fids: DataFrame, dwell: float, threshold: float = 3.0, combine: bool = True) -> DataFrame:
     """Combine coils, align every OFF transient, share its correction with the ON partner, drop outliers, average and subtract."""
     from ondula.operators.joins import correct_pairs
-    one = svd_combine(fids) if combine else fids
+    one = cut(svd_combine(fids) if combine else fids)
     ref = one.where("edit = 0").groupBy("acq", "n").agg(F.avg("s.re").alias("re"), F.avg("s.im").alias("im")).select(
         "acq", "n", cx.pack(F.col("re"), F.col("im")).alias("s"))
     shifts = spectral_registration(one.where("edit = 0"), ref, dwell, keys=("acq", "dyn"))
-    aligned = correct_pairs(one, shifts, ["acq"], dwell)
+    aligned = cut(correct_pairs(one, shifts, ["acq"], dwell))
     bad = transient_outliers(aligned, ["acq", "edit"], threshold).where("rejected").select("acq", "edit", "dyn")
     return average_edits(aligned.join(bad, ["acq", "edit", "dyn"], "left_anti"))
 

@@ -100,8 +100,8 @@ _li_query("sca_13_uniform_image", 7, f"{S1} * {S2} / ({S1} * {S1} + {S2} * {S2}
 _li_query("sca_14_oxygen_decay", 4, "m0 * exp(-0.05 * (1 / t2 + tax * 30))", lambda: sc.oxygen_decay(c("m0"), 1 / c("t2"), c("tax") * 30, F.lit(0.05)))
 K = "(4.0 / 3.0 * pi() * 267.522e6 * 0.264e-6 * 0.42 * 0.03 * 3.0)"
 _li_query("sca_15_extraction_fraction", 7, f"least(greatest(tax * 200 / {K}, 0), 1)", lambda: sc.extraction_fraction(c("tax") * 200))
-CAO2 = "(15.0 * 1.34 * 0.98 / 100 / 0.0224)"
-_li_query("sca_16_oxygen_metabolism", 4, f"t1 * 20 * tax * 5 * {CAO2} + least(greatest(m0 * tax * {CAO2}, 0), 500)",
+CAO2 = "(15e0 * 1.34e0 * 0.98e0 / 100 / 0.0224e0)"
+_li_query("sca_16_oxygen_metabolism", 9, f"t1 * 20 * tax * 5 * {CAO2} + least(greatest(m0 * tax * {CAO2}, 0), 500)",
           lambda: sc.oxygen_metabolism(c("t1") * 20, c("tax") * 5) + sc.oxygen_metabolism(c("m0"), c("tax"), clip=True))
 _li_query("sca_17_b1_correction", 6, "flip * b1 + t1 * least(greatest(tan(radians(10)) / tan(radians(10) * b1), 0.5), 2)", lambda: sc.corrected_flip(c("flip"), c("b1")) + sc.corrected_t1(c("t1"), c("b1")))
 _li_query("sca_18_transfer_ratio", 7, "CASE WHEN t1 > 1 AND m0 > 10 THEN least(greatest((m0 - 30000) / m0, 0), 1) ELSE 0 END", lambda: sc.transfer_ratio(c("m0"), F.lit(30000.0), c("t1") > 1))
@@ -175,9 +175,9 @@ def _(spark, sf):
     return sc.inject(s, signal, pattern)
 
 
-@query("sca_28_window_kernels", "k:l periodic:8 symmetric:8 gauss:8",
-       "SELECT vec_id AS k, 0.5 * (1 - cos(2 * pi() * vec_id / 64)) AS periodic, 0.5 * (1 - cos(2 * pi() * vec_id / 63)) AS symmetric, exp(-power(vec_id - 31.5, 2) / 200) AS gauss FROM embeddings")
+@query("sca_28_window_kernels", "k:l periodic:8 closed:8 gauss:8",
+       "SELECT vec_id AS k, 0.5 * (1 - cos(2 * pi() * vec_id / 64)) AS periodic, 0.5 * (1 - cos(2 * pi() * vec_id / 63)) AS closed, exp(-power(vec_id - 31.5, 2) / 200) AS gauss FROM embeddings")
 def _(spark, sf):
     k = F.col("vec_id").cast("double")
-    return ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), sc.hann(k, 64, True).alias("periodic"), sc.hann(k, 64, False).alias("symmetric"),
+    return ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), sc.hann(k, 64, True).alias("periodic"), sc.hann(k, 64, False).alias("closed"),
                                                     sc.gaussian_kernel(k, 64, 10.0).alias("gauss"))

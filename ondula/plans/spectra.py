@@ -65,7 +65,7 @@ def _(spark, sf):
 ANALYTIC = with_("series", "sn") + DFT + f", g AS (SELECT *, {TWO} AS g FROM f)" + BACK
 
 
-@query("spc_05_analytic_signal", "channel t:l re:4 im:4 envelope:4", ANALYTIC + " SELECT channel, t, re, im, sqrt(re * re + im * im) AS envelope FROM b")
+@query("spc_05_analytic_signal", "channel t:l re:6 im:5 envelope:5", ANALYTIC + " SELECT channel, t, re, im, sqrt(re * re + im * im) AS envelope FROM b")
 def _(spark, sf):
     return S.analytic(ad.series(spark, sf), limit=512)
 

@@ -24,4 +24,9 @@ _DDL = {
     "runs": "optimizer STRING, seed INT, fitness DOUBLE, wall_time DOUBLE, evals BIGINT",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+TABLES = tuple(_DDL)
+
+
+def schema(table: str) -> StructType:
+    """StructType of a table; parsing needs a running session."""
+    return StructType.fromDDL(_DDL[table])
