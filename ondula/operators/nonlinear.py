@@ -43,9 +43,9 @@ def recurrence(frames: DataFrame, threshold: float | None = None, rate: float |
             raise ValueError("give a threshold or a recurrence rate")
         return pairs_within(frames, threshold, metric, key, block).select(key, "i", "j")
     d = cut(distance_pairs(frames, metric, key, block))
-    zero = frames.select(key, F.lit(0.0).alias("d"))
-    full = d.select(key, "d").unionByName(d.select(key, "d")).unionByName(zero)
-    level = quantiles(full, [key], "d", {"_q": rate})
+    zero = frames.select(key, F.lit(0.0).alias("d"), F.lit(1).alias("_times"))
+    full = d.select(key, "d", F.lit(2).alias("_times")).unionByName(zero)  # both triangles and the diagonal
+    level = quantiles(full, [key], "d", {"_q": rate}, weight="_times")
     return d.join(level, key).where(F.col("d") <= F.col("_q")).select(key, "i", "j")
 
 

@@ -18,18 +18,22 @@ BINS = 1 << 12
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
-              bins: int = BINS) -> DataFrame:
-    """``keys`` plus one column per entry of ``probs``; NULL and NaN values are left out."""
+              weight: str | None = None, bins: int = BINS) -> DataFrame:
+    """``keys`` plus one column per entry of ``probs``; NULL and NaN values are left out.
+
+    ``weight`` counts a row that many times.
+    """
     keys = list(keys) or ["_all"]
     if keys == ["_all"]:
         df = df.withColumn("_all", F.lit(0))
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    span = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    v = df.select(*keys, F.col(value).cast("double").alias("_v"), times.cast("bigint").alias("_w")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    span = v.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(
         F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
     ).otherwise(F.lit(0)).cast("int")
-    binned = v.join(span, keys).select(*keys, "_v", cell.alias("_bin"))
-    counted = binned.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
+    binned = v.join(span, keys).select(*keys, "_v", "_w", cell.alias("_bin"))
+    counted = binned.groupBy(*keys, "_bin", "_v").agg(F.sum("_w").alias("_c"))
     hist = counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
     upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_bin"))
     hist = hist.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_c"))

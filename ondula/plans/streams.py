@@ -31,7 +31,7 @@ def _hop(spark, sf):
     return hopping.hopping_power(one, "1 hour", "30 minutes", "1 hour")
 
 
-@query("str_01_hopping_band_power", "start:l channel n:l mean:6 power:5", HOP)
+@query("str_01_hopping_band_power", "start:l channel n:l mean:6 power:9", HOP)
 def _(spark, sf):
     return drain(_hop(spark, sf)).withColumn("start", F.unix_seconds("start"))
 

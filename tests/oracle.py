@@ -67,7 +67,7 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     good = bad = 0
-    for name, q in REGISTRY.items():
+    for name, q in list(REGISTRY.items()):
         if only and not any(name.startswith(o) for o in only):
             continue
         t0 = time.time()
