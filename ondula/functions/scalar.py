@@ -85,28 +85,33 @@ def spectral_snr(spectra: DataFrame, keys: Sequence[str], signal=(2.8, 3.2), noi
 # ------------------------------------------------------------------ MR signals
 
 
+def relaxed(time, tau: Column) -> Column:
+    """exp(-time / tau), 0 for the empty voxels with tau = 0."""
+    return F.coalesce(F.exp(F.try_divide(-time if isinstance(time, Column) else F.lit(-float(time)), tau)), F.lit(0.0))
+
+
 def spgr(m0: Column, t1: Column, flip: Column, tr: float) -> Column:
-    e1 = F.exp(-tr / t1)
+    e1 = relaxed(tr, t1)
     return m0 * F.sin(flip) * (1 - e1) / (1 - e1 * F.cos(flip))
 
 
 def bssfp(m0: Column, t1: Column, t2: Column, flip: Column, tr: float) -> Column:
-    e1, e2 = F.exp(-tr / t1), F.exp(-tr / t2)
+    e1, e2 = relaxed(tr, t1), relaxed(tr, t2)
     return F.abs(m0 * F.sin(flip) * (1 - e1) * F.sqrt(e2) / (1 - (e1 - e2) * F.cos(flip) - e1 * e2))
 
 
 def ir_spgr(m0: Column, t1: Column, flip: Column, tr: float, ti: Column, efficiency: float = 1.0) -> Column:
-    e_tr, e_ti = F.exp(-tr / t1), F.exp(-ti / t1)
+    e_tr, e_ti = relaxed(tr, t1), relaxed(ti, t1)
     return m0 * F.sin(flip) * F.abs(1 - (1 + efficiency) * e_ti + e_tr) / (1 - e_tr * F.cos(flip))
 
 
 def echo_decay(s0: Column, t2s: Column, te: Column) -> Column:
-    return s0 * F.exp(-te / t2s)
+    return s0 * relaxed(te, t2s)
 
 
 def uniform_image(t1: Column, ti1: float, ti2: float, flip1: float, flip2: float) -> Column:
-    s1 = math.sin(flip1) * (1 - 2 * F.exp(-ti1 / t1))
-    s2 = math.sin(flip2) * (1 - 2 * F.exp(-ti2 / t1))
+    s1 = math.sin(flip1) * (1 - 2 * relaxed(ti1, t1))
+    s2 = math.sin(flip2) * (1 - 2 * relaxed(ti2, t1))
     return s1 * s2 / (s1 * s1 + s2 * s2 + 1e-10)
 
 
@@ -135,7 +140,7 @@ def corrected_flip(flip: Column, b1: Column) -> Column:
 
 def corrected_t1(t1: Column, b1: Column, flip_deg: float = 10.0) -> Column:
     a = math.radians(flip_deg)
-    return t1 * F.least(F.greatest(math.tan(a) / F.tan(a * b1), F.lit(0.5)), F.lit(2.0))
+    return t1 * F.least(F.greatest(F.try_divide(F.lit(math.tan(a)), F.tan(a * b1)), F.lit(0.5)), F.lit(2.0))
 
 
 def transfer_ratio(off: Column, on: Column, mask: Column) -> Column:
@@ -155,7 +160,7 @@ ARTERIAL, DEFAULT_OEF = 0.98, 0.35
 
 def venous_oxygen(t2: Column) -> Column:
     """Venous saturation and extraction fraction from blood T2 (s); defaults when the quadratic has no root."""
-    disc = BLOOD_B ** 2 - 4 * BLOOD_C * (BLOOD_A - 1 / t2)
+    disc = BLOOD_B ** 2 - 4 * BLOOD_C * (BLOOD_A - F.try_divide(F.lit(1.0), t2))
     svo2 = 1 - (-BLOOD_B + F.sqrt(disc)) / (2 * BLOOD_C)
     oef = (ARTERIAL - svo2) / ARTERIAL
     return F.struct(F.when(disc >= 0, svo2).otherwise(ARTERIAL * (1 - DEFAULT_OEF)).alias("svo2"),
@@ -234,7 +239,7 @@ def robust_z(values: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     """z = (x - median) / (IQR / 1.349), with the median and scale."""
     q = quantiles(values, keys, value, {"_q1": 0.25, "mu": 0.5, "_q3": 0.75})
     q = q.select(*keys, "mu", ((F.col("_q3") - F.col("_q1")) / 1.349).alias("sigma"))
-    return values.join(q, list(keys)).withColumn("z", (F.col(value) - F.col("mu")) / F.col("sigma"))
+    return values.join(q, list(keys)).withColumn("z", F.try_divide(F.col(value) - F.col("mu"), F.col("sigma")))
 
 
 def tangent_entries(cells: DataFrame) -> DataFrame:

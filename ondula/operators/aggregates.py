@@ -375,7 +375,7 @@ def std_quality(stds: DataFrame, key: str = "recording", k: float = 3.0) -> Data
 def line_noise(spectra: DataFrame, key: str, lines: Sequence[float] = (50.0, 60.0), width: float = 2.0) -> DataFrame:
     """Share of channel-mean power around the line frequencies, the strongest line and the 5 % flag."""
     psd = spectra.groupBy(key, "freq").agg(F.avg("power").alias("power"))
-    share = lambda f: F.sum(F.when(F.col("freq").between(f - width / 2, f + width / 2), F.col("power"))) / F.sum("power")
+    share = lambda f: F.try_divide(F.sum(F.when(F.col("freq").between(f - width / 2, f + width / 2), F.col("power"))), F.sum("power"))
     best = F.array_max(F.array(*[F.struct(share(f).alias("s"), F.lit(-f).alias("f")) for f in lines]))
     out = psd.groupBy(key).agg(best.alias("_b"))
     s = F.coalesce(F.col("_b.s"), F.lit(0.0))
@@ -504,7 +504,7 @@ def normal_loglik(residuals: DataFrame, keys: Sequence[str], value: str = "value
     """Log-likelihood of residuals under N(0, their own deviation), per group."""
     s = residuals.groupBy(*keys).agg(F.count(value).alias("n"), F.stddev_pop(value).alias("sd"),
                                      F.sum(F.col(value) ** 2).alias("rss"))
-    ll = -0.5 * F.col("n") * F.log(2 * np.pi * F.col("sd") ** 2) - F.col("rss") / (2 * F.col("sd") ** 2)
+    ll = -0.5 * F.col("n") * F.log(2 * np.pi * F.col("sd") ** 2) - F.try_divide(F.col("rss"), 2 * F.col("sd") ** 2)
     return s.select(*keys, ll.alias("loglik"))
 
 
@@ -653,7 +653,7 @@ def connectome_features(edges: DataFrame, nodes: DataFrame, clustering: DataFram
     cc = clustering.groupBy(key).agg(F.avg("clustering").alias("clustering_coeff"), F.stddev_pop("clustering").alias("clustering_std"))
     out = st.join(n, key).join(asym, key).join(dens, key).join(cc, key)
     nn = F.col("_n")
-    return out.select(key, "mean_strength", "strength_std", (F.col("_e") / (nn * (nn - 1))).alias("density"),
+    return out.select(key, "mean_strength", "strength_std", F.coalesce(F.try_divide(F.col("_e"), nn * (nn - 1)), F.lit(0.0)).alias("density"),
                       "clustering_coeff", "clustering_std", (F.col("_a") / (nn * nn)).alias("asymmetry"),
                       "max_strength", "strength_entropy")
 

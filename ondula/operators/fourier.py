@@ -86,8 +86,8 @@ def dft(rows: DataFrame, keys: Sequence[str], inverse: bool = False, limit: int
     """Transform of rows ``keys, t, re, im`` (t from 0, dense) to ``keys, n, k, re, im``.
 
     The inverse takes ``keys, n, k, re, im`` and gives ``keys, n, t, re, im``,
-    scaled by 1 / n. The distinct series lengths, a handful of numbers, choose
-    the layout on the driver.
+    scaled by 1 / n. The lengths of the long series, a handful of numbers,
+    choose their layout on the driver.
     """
     keys = list(keys)
     if inverse:
@@ -98,21 +98,17 @@ def dft(rows: DataFrame, keys: Sequence[str], inverse: bool = False, limit: int
         base = rows.join(n, keys).select(*keys, "n", F.col("t").cast("bigint").alias("t"), "re", "im")
         sizes = n.select("n").distinct()
     sign = 1 if inverse else -1
-    short, grid, chirp = [], {}, {}
-    for r in sizes.collect():
+    grid, chirp = {}, {}
+    for r in sizes.where(F.col("n") > limit).collect():
         size = int(r["n"])
         n1, n2 = _split(size, limit)
-        if size <= limit:
-            short.append(size)
-        elif n2 <= limit:
+        if n2 <= limit:
             grid[size] = (n1, n2)
         else:
             bits = (2 * size - 1).bit_length()
             chirp[size] = (1 << (bits // 2), 1 << (bits - bits // 2))
-    parts = []
-    if short:
-        one = base if not (grid or chirp) else base.where(F.col("n") <= limit)
-        parts.append(_stage(one, [*keys, "n"], "t", F.col("n"), sign, "k"))
+    one = base if not (grid or chirp) else base.where(F.col("n") <= limit)
+    parts = [_stage(one, [*keys, "n"], "t", F.col("n"), sign, "k")]
     for layout, how in ((grid, _grid), (chirp, _chirp)):
         if layout:
             dims = rows.sparkSession.createDataFrame([(s, a, b) for s, (a, b) in layout.items()], "n bigint, n1 bigint, n2 bigint")

@@ -203,25 +203,27 @@ def feature_importance(folds: DataFrame, names: Sequence[str], alpha: float = 1.
                        x: str = "x", y: str = "y") -> DataFrame:
     """Drop of the cross-validated R2 when a feature is permuted, floored at 0, largest first.
 
-    All permuted copies are one plan keyed by feature: the value of the
-    feature comes from the row of equal hash rank.
+    Each row gets one array with the permuted value of every feature (the
+    value of the row of equal hash rank). One Gram per fold over the original
+    and permuted columns then holds the sums of every permuted model.
     """
+    p = len(names)
     base = folds.select(row, "fold", x, y)
-    copies = base.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    own = copies.select("feature", row, "fold", x, y)
-    place = global_rank(own, ["feature"], [row], "_r")
-    donor = global_rank(copies.select("feature", row, F.get(x, F.col("feature")).alias("_v")), ["feature"],
+    ids = F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("feature")
+    place = global_rank(base.select(row, ids), ["feature"], [row], "_r")
+    donor = global_rank(base.select(row, x, ids).select("feature", row, F.get(x, F.col("feature")).alias("_v")), ["feature"],
                         [F.xxhash64(F.lit(seed), "feature", row), row], "_r").select("feature", "_r", "_v")
-    mixed = place.join(donor, ["feature", "_r"]).withColumn(
-        x, F.transform(x, lambda v, i: F.when(i == F.col("feature"), F.col("_v")).otherwise(v)))
-    base_r2 = _cv({k[0]: g for k, g in _fold_grams(base, [], x, y).items()}, alpha)[0]
-    per: dict[int, dict] = {}
-    for (f, fold), g in _fold_grams(mixed, ["feature"], x, y).items():
-        per.setdefault(int(f), {})[fold] = g
+    mixed = place.join(donor, ["feature", "_r"]).groupBy(row).agg(
+        F.sort_array(F.collect_list(F.struct("feature", "_v"))).getField("_v").alias("_p"))
+    both = base.join(mixed, row).withColumn(x, F.concat(x, "_p"))
+    grams = {k[0]: g for k, g in _fold_grams(both, [], x, y).items()}
+    at = lambda cols: {k: g[np.ix_([0, *cols, 2 * p + 1], [0, *cols, 2 * p + 1])] for k, g in grams.items()}
+    own = list(range(1, p + 1))
+    base_r2 = _cv(at(own), alpha)[0]
     rows = []
-    for f, grams in per.items():
-        r2 = _cv(grams, alpha)[0]
-        rows.append((names[f], float(max(base_r2 - r2, 0.0)), float(base_r2), float(r2)))
+    for f, name in enumerate(names):
+        r2 = _cv(at([c + p if c == f + 1 else c for c in own]), alpha)[0]
+        rows.append((name, float(max(base_r2 - r2, 0.0)), float(base_r2), float(r2)))
     return folds.sparkSession.createDataFrame(rows, "name string, importance double, baseline_r2 double, permuted_r2 double").orderBy(
         F.desc("importance"), "name")
 
@@ -272,17 +274,18 @@ def permutation_test(frames: DataFrame, contrast: Sequence[float], n_perms: int
     """Max-statistic permutation test: rows of the data against rows of the design in hashed order.
 
     X^T X and the squares of Y do not change under a permutation, so each one
-    needs only X^T Y, which is summed for all permutations in one pass.
+    needs only X^T Y. The few design columns are dealt out once per
+    permutation; the data rows are read once and never copied.
     """
     m = fit_glm(frames, design, x)
-    rows = cut(global_rank(frames.select(order, design, x).withColumn("_k", F.lit(0)), ["_k"], [order], "_r").select("_r", order, design, x))
+    rows = cut(global_rank(frames.select(order, design).withColumn("_k", F.lit(0)), ["_k"], [order], "_r").select("_r", order, design))
     ids = F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("perm")
-    mixed = global_rank(rows.select(order, x, ids), ["perm"], [F.xxhash64(F.lit(seed), "perm", order), order], "_r")
-    pair = mixed.select("perm", "_r", x).join(rows.select("_r", design), "_r")
-    got = partial_sums(pair, ["perm"], [design, x], lambda d, y: d.T @ y).toPandas()
+    place = global_rank(rows.select(order, ids), ["perm"], [F.xxhash64(F.lit(seed), "perm", order), order], "_r")
+    drawn = place.join(rows.select("_r", design), "_r").groupBy(order).agg(
+        F.sort_array(F.collect_list(F.struct("perm", F.col(design).alias("d")))).alias("_d"))
+    pair = frames.select(order, x).join(drawn, order).select(x, F.flatten("_d.d").alias("_d"))
     p, c = m.beta.shape
-    xty = np.zeros((n_perms, p, c))
-    xty[got["perm"], got["i"], got["j"]] = got["v"]
+    xty = collect_matrix(partial_sums(pair, [], ["_d", x], lambda d, y: d.T @ y), "v", n_perms * p, c).reshape(n_perms, p, c)
     beta = np.einsum("pq,nqc->npc", m.xtx_inv, xty)
     rss = np.maximum(m.yty - np.einsum("npc,npc->nc", beta, xty), 0.0)
     cv = np.asarray(contrast, dtype=float)
@@ -736,11 +739,13 @@ def sign_metrics(before: DataFrame, after: DataFrame, subject: str = "recording"
     flips = total(before, "_b").join(total(after, "_a"), [subject, "channel"]).agg(F.count(F.when(F.col("_a") != F.col("_b"), 1)).alias("n_flips"))
 
     def mean_corr(f: DataFrame, name: str) -> DataFrame:
+        # with unit vectors z, the sum over pairs is (|sum z|^2 - sum |z|^2) / 2, so no pair of subjects is formed
         c = gram(f, [subject]).where("i < j").select(subject, "i", "j", "s2")
-        a = c.select(F.col(subject).alias("_s1"), "i", "j", F.col("s2").alias("_x"))
-        b = c.select(F.col(subject).alias("_s2"), "i", "j", F.col("s2").alias("_y"))
-        r = a.join(b, ["i", "j"]).where("_s1 < _s2").groupBy("_s1", "_s2").agg(F.corr("_x", "_y").alias("r"))
-        return r.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias(name))
+        stat = c.groupBy(subject).agg(F.avg("s2").alias("_m"), (F.stddev_pop("s2") * F.sqrt(F.count("*"))).alias("_n"))
+        z = c.join(stat, subject).withColumn("_z", F.coalesce(F.try_divide(F.col("s2") - F.col("_m"), F.greatest("_n", F.lit(1e-12))), F.lit(0.0)))
+        cell = z.groupBy("i", "j").agg(F.sum("_z").alias("_t"), F.sum(F.col("_z") ** 2).alias("_q"), F.count("*").alias("_s"))
+        s = F.max("_s")
+        return cell.agg(F.coalesce(F.try_divide(F.sum(F.col("_t") ** 2) - F.sum("_q"), s * (s - 1)), F.lit(0.0)).alias(name))
 
     out = flips
     for one in (mean_corr(before, "mean_correlation_before"), mean_corr(after, "mean_correlation_after")):
@@ -797,7 +802,7 @@ def vfa_fit(signals: DataFrame, keys: Sequence[str], tr: float, cap: float | Non
     ``signals`` has ``flip`` (radians) and ``value``; M0 is capped at its 99.9th percentile over positive values.
     """
     keys = list(keys)
-    y, x = F.col("value") / F.sin("flip"), F.col("value") / F.tan("flip")
+    y, x = F.try_divide(F.col("value"), F.sin("flip")), F.try_divide(F.col("value"), F.tan("flip"))
     s = signals.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.avg(y).alias("_y"), F.avg(x).alias("_x"), F.regr_sxx(y, x).alias("_sxx"))
     slope = F.when(F.col("_sxx") > 1e-10, F.col("_b")).otherwise(0.0)
     e1 = F.least(F.greatest(slope, F.lit(0.001)), F.lit(0.9999))

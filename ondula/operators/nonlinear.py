@@ -54,7 +54,7 @@ def recurrence_rate(pairs: DataFrame, frames: DataFrame, key: str = "recording")
     n = frames.groupBy(key).agg(F.count("*").alias("n"))
     c = pairs.groupBy(key).agg((2 * F.count("*")).alias("_c"))
     return n.join(c, key, "left").select(key, "n", F.coalesce("_c", F.lit(0)).alias("points"),
-                                         (F.coalesce("_c", F.lit(0)) / (F.col("n") * (F.col("n") - 1))).alias("recurrence_rate"))
+                                         F.coalesce(F.try_divide(F.col("_c"), F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("recurrence_rate"))
 
 
 def diagonal_lines(pairs: DataFrame, key: str = "recording") -> DataFrame:
@@ -84,7 +84,7 @@ def diagonal_measures(lines: DataFrame, rate: DataFrame, l_min: int = 2, key: st
     j = rate.join(m, key, "left")
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return j.select(key, z(F.when(F.col("points") > 0, F.col("_points") / F.col("points"))).alias("determinism"),
-                    z(F.col("_points") / F.col("_lines")).alias("average_diagonal_length"),
+                    z(F.try_divide("_points", "_lines")).alias("average_diagonal_length"),
                     F.coalesce("max_diagonal_length", F.lit(0)).alias("max_diagonal_length"), z(F.col("_ent")).alias("diagonal_entropy"))
 
 
@@ -95,7 +95,7 @@ def vertical_measures(lines: DataFrame, rate: DataFrame, v_min: int = 2, key: st
                                F.max("length").alias("max_vertical_length"))
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return rate.join(m, key, "left").select(
-        key, z(F.col("_points") / (F.col("points") + F.col("n"))).alias("laminarity"),
+        key, z(F.try_divide(F.col("_points"), F.col("points") + F.col("n"))).alias("laminarity"),
         z(F.when(F.col("_lines") > 0, F.col("_points") / F.col("_lines"))).alias("trapping_time"),
         F.coalesce("max_vertical_length", F.lit(0)).alias("max_vertical_length"))
 
@@ -124,7 +124,7 @@ def sample_entropy(counts: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
                                   F.sum(F.when(full, F.col("c_next") - 1)).alias("_b"))
     pairs = F.col("_n") * (F.col("_n") - 1)
     floor = lambda c: F.greatest(c, F.lit(1e-10))
-    return s.select(*keys, (-F.log(floor(F.col("_b") / pairs / floor(F.col("_a") / pairs)))).alias("sample_entropy"))
+    return s.select(*keys, (-F.log(floor(F.try_divide(F.col("_b"), pairs) / floor(F.try_divide(F.col("_a"), pairs))))).alias("sample_entropy"))
 
 
 def approximate_entropy(counts: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -158,7 +158,7 @@ def spectral_entropy(samples: DataFrame, keys: Sequence[str] = KEY, limit: int =
     f = fourier.dft(fourier.real_rows(samples, keys), keys, limit=limit).where((F.col("k") > 0) & (F.col("k") <= F.floor(F.col("n") / 2)))
     f = f.select(*keys, (F.col("re") ** 2 + F.col("im") ** 2).alias("_p"))
     total = f.groupBy(*keys).agg(F.sum("_p").alias("_t"))
-    p = F.col("_p") / F.col("_t")
+    p = F.try_divide("_p", "_t")  # NULL for a constant series
     return f.join(total, list(keys)).groupBy(*keys).agg((-F.sum(p * F.log2(F.greatest(p, F.lit(1e-10))))).alias("spectral_entropy"))
 
 

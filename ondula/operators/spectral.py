@@ -380,7 +380,7 @@ def phase_amplitude(phase: DataFrame, amplitude: DataFrame, on: Sequence[str] =
     j = phase.select(*on, "phase").join(amplitude.select(*on, "envelope"), list(on))
     a = F.col("envelope")
     s = j.groupBy(*keys).agg(F.avg(a * F.cos("phase")).alias("_c"), F.avg(a * F.sin("phase")).alias("_s"), F.avg(a).alias("_a"))
-    return s.select(*keys, (F.hypot("_c", "_s") / F.col("_a")).alias("pac"))
+    return s.select(*keys, F.try_divide(F.hypot("_c", "_s"), F.col("_a")).alias("pac"))
 
 
 def lagged_correlation(x: DataFrame, y: DataFrame, max_lag: int, key: str = "recording", block: int = 1 << 14) -> DataFrame:

@@ -198,7 +198,7 @@ def explained_variance(spectrum: DataFrame, target: float, n_modes: int | None =
     """Cumulative share of squared singular values and the smallest k that reaches ``target``."""
     w = W.partitionBy("id").orderBy("k")
     whole = W.partitionBy("id")
-    share = F.sum(F.col("s") ** 2).over(w) / F.sum(F.col("s") ** 2).over(whole)
+    share = F.try_divide(F.sum(F.col("s") ** 2).over(w), F.sum(F.col("s") ** 2).over(whole))
     c = spectrum.withColumn("explained", share)
     k = c.groupBy("id").agg((F.coalesce(F.min(F.when(F.col("explained") >= target, F.col("k"))), F.max("k")) + 1).alias("n_keep"))
     return k if n_modes is None else k.withColumn("n_keep", F.least("n_keep", F.lit(n_modes)))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 def lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """Numbered lines of small whole files: ``path, line_no, line``."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    t = r.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    t = r.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     return t.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 

@@ -144,3 +144,21 @@ def test_random_graphs_have_the_size(spark, m):
     per = r.groupBy("graph").agg(F.count("*").alias("c"), F.count_distinct("src", "dst").alias("d")).collect()
     assert len(per) == 3 and all(x["c"] == x["d"] == 2 * m for x in per)
     assert r.where("src = dst").count() == 0
+
+
+def test_empty_voxels_do_not_stop_a_job(spark):
+    from ondula.functions import scalar as sc
+    df = spark.createDataFrame([(500.0, 0.0, 0.0), (500.0, 0.8, 0.05)], "m0 double, t1 double, t2 double")
+    c = F.col
+    got = df.select(sc.spgr(c("m0"), c("t1"), F.lit(0.2), 0.004).alias("a"), sc.bssfp(c("m0"), c("t1"), c("t2"), F.lit(0.2), 0.004).alias("b"),
+                    sc.echo_decay(c("m0"), c("t2"), F.lit(0.01)).alias("c"), sc.venous_oxygen(c("t2"))["oef"].alias("d")).collect()
+    assert got[0]["a"] == pytest.approx(500 * np.sin(0.2)) and got[0]["c"] == 0
+
+
+def test_normal_tail(spark):
+    import math
+
+    from ondula.functions.scalar import survival
+    xs = [-8.0, -3.0, -0.5, 0.0, 0.3, 1.96, 4.9, 5.0, 9.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(survival(F.col("x")).alias("p")).toPandas()["p"]
+    np.testing.assert_allclose(got, [0.5 * math.erfc(x / math.sqrt(2)) for x in xs], rtol=1e-6, atol=1e-15)
