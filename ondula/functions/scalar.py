@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ondula.functions import complex as cx
+from ondula.operators.attach import attach
 from ondula.operators.quantiles import quantiles
 
 # ------------------------------------------------------------ decay signals, ppm
@@ -239,7 +240,7 @@ def robust_z(values: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     """z = (x - median) / (IQR / 1.349), with the median and scale."""
     q = quantiles(values, keys, value, {"_q1": 0.25, "mu": 0.5, "_q3": 0.75})
     q = q.select(*keys, "mu", ((F.col("_q3") - F.col("_q1")) / 1.349).alias("sigma"))
-    return values.join(q, list(keys)).withColumn("z", F.try_divide(F.col(value) - F.col("mu"), F.col("sigma")))
+    return attach(values, q, keys, [value]).withColumn("z", F.try_divide(F.col(value) - F.col("mu"), F.col("sigma")))
 
 
 def tangent_entries(cells: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ondula.operators import ordered
+from ondula.operators.attach import attach
 from ondula.operators.gram import gram, partial_sums
 from ondula.operators.quantiles import quantiles, small_median_mad
 from ondula.session import cut
@@ -82,7 +83,7 @@ def _bin_codes(frames: DataFrame, keys: list[str], bins: int) -> DataFrame:
         return F.when(width > 0, F.least(F.floor((v - e["lo"]) / width * bins), F.lit(bins - 1))).otherwise(
             F.lit(bins // 2)).cast("double")
 
-    return frames.join(edges, keys).select(*keys, F.zip_with("x", "_e", code).alias("code"))
+    return attach(frames, edges, keys, ["x"]).select(*keys, F.zip_with("x", "_e", code).alias("code"))
 
 
 def joint_histograms(frames: DataFrame, keys: Sequence[str] = ("recording",), bins: int = 16) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ondula.functions.types import doubles
+from ondula.operators.attach import attach
+from ondula.session import cut
 
 LIMIT = 1 << 16
 
@@ -94,8 +96,8 @@ def dft(rows: DataFrame, keys: Sequence[str], inverse: bool = False, limit: int
         base = rows.select(*keys, "n", F.col("k").alias("t"), "re", "im")
         sizes = base.select("n").distinct()
     else:
-        n = rows.groupBy(*keys).agg((F.max("t") + 1).cast("bigint").alias("n"))
-        base = rows.join(n, keys).select(*keys, "n", F.col("t").cast("bigint").alias("t"), "re", "im")
+        n = cut(rows.groupBy(*keys).agg((F.max("t") + 1).cast("bigint").alias("n")))
+        base = attach(rows, n, keys, ["t"]).select(*keys, "n", F.col("t").cast("bigint").alias("t"), "re", "im")
         sizes = n.select("n").distinct()
     sign = 1 if inverse else -1
     grid, chirp = {}, {}

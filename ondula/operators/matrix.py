@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ondula.functions.types import DOUBLES
+from ondula.operators.attach import attach
 from ondula.operators.gram import collect_matrix, gram, partial_sums
 from ondula.operators.joins import project_frames
 from ondula.operators.quantiles import quantiles
@@ -100,7 +101,7 @@ def _standard_frames(frames: DataFrame) -> DataFrame:
     g = gram(frames).where("i = j")
     s = F.sqrt(F.greatest("cov", F.lit(0.0)))
     stat = g.groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("i", F.col("mean_i").alias("m"), F.when(s > 0, s).otherwise(1.0).alias("s")))).alias("_s"))
-    return frames.join(stat, "recording").select("recording", "t", F.zip_with("x", "_s", lambda v, c: (v - c["m"]) / c["s"]).alias("x"))
+    return attach(frames, stat, ["recording"], ["t"]).select("recording", "t", F.zip_with("x", "_s", lambda v, c: (v - c["m"]) / c["s"]).alias("x"))
 
 
 def _chain(frames: DataFrame, methods: dict[str, dict]) -> DataFrame:

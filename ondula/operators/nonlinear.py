@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ondula.functions.signature import log_signature, signature, with_time
 from ondula.operators import fourier, ordered
 from ondula.operators.aggregates import permutation_p
+from ondula.operators.attach import attach
 from ondula.operators.gram import gram
 from ondula.operators.quantiles import quantiles
 from ondula.operators.ranking import order_modes
@@ -114,7 +115,7 @@ def templates(samples: DataFrame, dim: int = 2, keys: Sequence[str] = KEY, block
     """Templates of ``dim`` + 1 values (the last one has ``dim``) with the tolerance r = 0.2 sample deviations."""
     r = samples.groupBy(*keys).agg((0.2 * F.stddev_samp("value")).alias("r"))
     x = ordered.frame(samples, keys, "t", 0, dim, {"x": F.collect_list("value")}, block=block)
-    return x.where(F.size("x") >= dim).select(*keys, "t", "x").join(r, list(keys))
+    return attach(x.where(F.size("x") >= dim).select(*keys, "t", "x"), r, keys, ["t"])
 
 
 def sample_entropy(counts: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ondula.operators.attach import attach
 from ondula.operators.quantiles import quantiles
 
 
@@ -42,7 +43,7 @@ def standardise(samples: DataFrame, keys: Sequence[str] = ("recording", "channel
     keys = list(keys)
     s = samples.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     z = (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
-    return samples.join(s, keys).withColumn(value, z).drop("_m", "_s")
+    return attach(samples, s, keys, [value]).withColumn(value, z).drop("_m", "_s")
 
 
 def log_standardise(features: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -89,7 +90,7 @@ def edit_contrasts(fids: DataFrame, keys: Sequence[str], conditions: Sequence =
 def intensity_mask(voxels: DataFrame, percentile: float, keys: Sequence[str] = ("subject",), value: str = "value") -> DataFrame:
     """Voxels above the given percentile of the positive voxels."""
     level = quantiles(voxels.where(F.col(value) > 0), keys, value, {"_level": percentile / 100})
-    return voxels.join(level, list(keys)).where(F.col(value) > F.col("_level")).drop("_level")
+    return attach(voxels, level, keys, [value]).where(F.col(value) > F.col("_level")).drop("_level")
 
 
 def tissue_rule(t1: str = "t1", bpf: str = "bpf") -> Column:

@@ -2,8 +2,9 @@
 
 The built-in ``percentile`` keeps every distinct value of a group in one task.
 Here a histogram on an equal-width grid finds the bin of each wanted rank and
-only the rows of those bins are counted value by value, so one group may hold
-any share of the rows.
+only the rows of those bins are shuffled and counted value by value, so one
+group may hold any share of the rows. The input is read three times; cut it
+first when it is costly to make.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ondula.operators.attach import attach
+from ondula.session import cut
+
 BINS = 1 << 12
 
 
@@ -28,13 +32,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         df = df.withColumn("_all", F.lit(0))
     times = F.lit(1) if weight is None else F.col(weight)
     v = df.select(*keys, F.col(value).cast("double").alias("_v"), times.cast("bigint").alias("_w")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    span = v.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    span = cut(v.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(
         F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
     ).otherwise(F.lit(0)).cast("int")
-    binned = v.join(span, keys).select(*keys, "_v", "_w", cell.alias("_bin"))
-    counted = binned.groupBy(*keys, "_bin", "_v").agg(F.sum("_w").alias("_c"))
-    hist = counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
+    binned = attach(v, span, keys, ["_v"]).select(*keys, "_v", "_w", cell.alias("_bin"))
+    hist = binned.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_c"))
     upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_bin"))
     hist = hist.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_c"))
 
@@ -46,12 +49,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         wanted.append(F.struct(F.lit(name).alias("q"), F.least(low + 1, F.col("_n") - 1).alias("rank"),
                                (pos - low).alias("w")))
     ranks = span.select(*keys, F.inline(F.array(*wanted)))
-    placed = ranks.join(hist, keys).where("rank >= _start AND rank < _end").select(
-        *keys, "_bin", "q", "w", (F.col("rank") - F.col("_start")).alias("_r"))
-    touched = placed.select(*keys, "_bin").distinct()
+    placed = cut(ranks.join(hist, keys).where("rank >= _start AND rank < _end").select(
+        *keys, "_bin", "q", "w", (F.col("rank") - F.col("_start")).alias("_r")))
+    counted = attach(binned, placed.select(*keys, "_bin").distinct(), [*keys, "_bin"], ["_v"]).groupBy(*keys, "_bin", "_v").agg(F.sum("_w").alias("_c"))
     end = F.sum("_c").over(W.partitionBy(*keys, "_bin").orderBy("_v"))
-    inside = counted.join(touched, [*keys, "_bin"], "left_semi").withColumn("_e", end)
-    hit = inside.join(placed, [*keys, "_bin"]).where("_r < _e AND _r >= _e - _c")
+    hit = counted.withColumn("_e", end).join(placed, [*keys, "_bin"]).where("_r < _e AND _r >= _e - _c")
     out = hit.groupBy(*keys).agg(*[
         F.sum(F.when(F.col("q") == name, F.col("w") * F.col("_v"))).alias(name) for name in probs])
     return out.drop("_all")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ondula.functions import complex as cx
 from ondula.functions.types import doubles
 from ondula.operators import fourier, ordered
+from ondula.operators.attach import attach
 from ondula.operators.aggregates import average_edits, connectivity, transient_outliers
 from ondula.operators.gram import partial_sums
 from ondula.operators.windows import slide
@@ -282,7 +283,7 @@ def resample(samples: DataFrame, old_rate: int, new_rate: int, keys: Sequence[st
     pos = F.col("t") * up
     first = F.greatest(F.ceil((pos - half) / down), F.lit(0))
     end = F.least(F.floor((pos + half) / down), F.floor(((F.col("_last") + 1) * up - 1) / down))
-    hit = samples.join(last, keys).withColumn("_m", F.explode(F.sequence(first.cast("bigint"), end.cast("bigint"))))
+    hit = attach(samples, last, keys, ["t"]).withColumn("_m", F.explode(F.sequence(first.cast("bigint"), end.cast("bigint"))))
     h = F.get(F.array(*[F.lit(float(v)) for v in taps]), (F.col("_m") * down + half - pos).cast("int"))
     return hit.groupBy(*keys, F.col("_m").alias("t")).agg(F.sum(F.col("value") * h).alias("value"))
 
@@ -291,7 +292,7 @@ def drift_filter(samples: DataFrame, fs: float, cutoff: float, keys: Sequence[st
     """Remove the projection on the slowest cosines: the first max(1, int(2 T cutoff)) + 1 of the DCT basis."""
     keys = list(keys)
     n = samples.groupBy(*keys).agg((F.max("t") + 1).alias("_n"))
-    j = samples.join(n, keys).withColumn("_k", F.greatest(F.lit(1), F.floor(2 * F.col("_n") / fs * cutoff)).cast("int"))
+    j = attach(samples, n, keys, ["t"]).withColumn("_k", F.greatest(F.lit(1), F.floor(2 * F.col("_n") / fs * cutoff)).cast("int"))
     basis = lambda k: F.cos((2 * F.col("t") + 1) * k * math.pi / (2 * F.col("_n"))) * F.when(k == 0, F.sqrt(1 / F.col("_n"))).otherwise(F.sqrt(2 / F.col("_n")))
     rows = j.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_k"))))
     coef = rows.groupBy(*keys, "k").agg(F.sum(F.col("value") * basis(F.col("k"))).alias("_w"))
@@ -390,9 +391,9 @@ def lagged_correlation(x: DataFrame, y: DataFrame, max_lag: int, key: str = "rec
     send one sum per lag.
     """
     stat = lambda d, p: d.groupBy(key).agg(F.avg("value").alias(f"m{p}"), (F.stddev_pop("value") * F.sqrt(F.count("*"))).alias(f"n{p}"))
-    sx, sy = stat(x, "x"), stat(y, "y")
-    left = x.join(sx, key).select(key, "t", (F.col("value") - F.col("mx")).alias("v"), F.lit(0).alias("side"))
-    right = y.join(sy, key).select(key, "t", (F.col("value") - F.col("my")).alias("v"), F.lit(1).alias("side"))
+    sx, sy = cut(stat(x, "x")), cut(stat(y, "y"))
+    left = attach(x, sx, [key], ["t"]).select(key, "t", (F.col("value") - F.col("mx")).alias("v"), F.lit(0).alias("side"))
+    right = attach(y, sy, [key], ["t"]).select(key, "t", (F.col("value") - F.col("my")).alias("v"), F.lit(1).alias("side"))
     block = max(block, max_lag)
     own = left.withColumn("_blk", F.floor(F.col("t") / block)).unionByName(
         ordered.halo(right, [key], "t", max_lag, max_lag, block=block).drop("_own"))
@@ -418,7 +419,7 @@ def band_csd(frames: DataFrame, targets: Sequence[float], fs: float, bandwidth:
     frames are not shuffled.
     """
     n = frames.groupBy(key).agg((F.max("t") + 1).alias("_n"))
-    rows = frames.join(n, key).select(key, F.array(F.col("t").cast("double"), F.col("_n").cast("double")).alias("tn"), "x")
+    rows = attach(frames, n, [key], ["t"]).select(key, F.array(F.col("t").cast("double"), F.col("_n").cast("double")).alias("tn"), "x")
 
     def kernel(tn: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = tn[0, 1]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ondula.operators import ordered
 from ondula.operators.aggregates import connectivity, ks_statistic
+from ondula.operators.attach import attach
 from ondula.operators.quantiles import quantiles
 from ondula.session import cut
 
@@ -97,7 +98,7 @@ def slide(df: DataFrame, width: int, step: int, key: str = "recording", order: s
     A group of ``(key, win)`` never holds more than ``width`` times.
     """
     last = df.groupBy(key).agg(F.max(order).alias("_last"))
-    out = df.withColumn("win", F.explode(window_ids(F.col(order), width, step))).join(last, key)
+    out = attach(df, last, [key], [order]).withColumn("win", F.explode(window_ids(F.col(order), width, step)))
     out = out.where(F.col("win") * step + width - 1 <= F.col("_last")).drop("_last")
     return out.withColumn("centre", F.col("win") * step + width // 2)
 
@@ -208,7 +209,7 @@ def artifact_times(envelope: DataFrame, threshold: float = 4.0, keys: Sequence[s
     """Times at which the envelope of any channel is further than ``threshold`` deviations from its mean."""
     s = envelope.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     z = (F.col("value") - F.col("_m")) / F.greatest("_s", F.lit(1e-10))
-    return envelope.join(s, list(keys)).groupBy(keys[0], "t").agg(F.bool_or(F.abs(z) > threshold).alias("artifact"))
+    return attach(envelope, s, keys, ["t"]).groupBy(keys[0], "t").agg(F.bool_or(F.abs(z) > threshold).alias("artifact"))
 
 
 def robust_reference(samples: DataFrame, key: str = "recording") -> DataFrame:
