@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ondula.operators import ordered
-from ondula.operators.attach import attach
+from ondula.operators.attach import attach, sized_broadcast
 from ondula.operators.gram import gram, partial_sums
 from ondula.operators.quantiles import quantiles, small_median_mad
 from ondula.session import cut
@@ -301,7 +301,7 @@ def permutation_p(null: DataFrame, observed: DataFrame, keys: Sequence[str] = ()
     keys = list(keys)
     one = F.lit(0).alias("_k")
     j = null.select(*keys, one, F.col("value").alias("_null")).join(
-        F.broadcast(observed.select(*keys, one, F.col("value").alias("observed"))), ["_k", *keys])
+        observed.select(*keys, one, F.col("value").alias("observed")), ["_k", *keys])
     return j.groupBy("_k", *keys).agg(
         F.first("observed").alias("observed"),
         F.avg((F.col("_null") >= F.col("observed")).cast("double")).alias("p")).drop("_k")
@@ -448,7 +448,7 @@ def band_power(spectra: DataFrame, bands: DataFrame, keys: Sequence[str]) -> Dat
     """Trapezoid integral of the channel-mean spectrum inside each ``(band, fmin, fmax)``."""
     keys = list(keys)
     psd = spectra.groupBy(*keys, "freq").agg(F.avg("power").alias("p"))
-    inside = psd.join(F.broadcast(bands), (F.col("freq") >= F.col("fmin")) & (F.col("freq") <= F.col("fmax")))
+    inside = psd.join(sized_broadcast(bands, 10_000), (F.col("freq") >= F.col("fmin")) & (F.col("freq") <= F.col("fmax")))
     w = W.partitionBy(*keys, "band").orderBy("freq")
     area = (F.col("p") + F.lag("p").over(w)) / 2 * (F.col("freq") - F.lag("freq").over(w))
     return inside.withColumn("_a", area).groupBy(*keys, "band").agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("power"))

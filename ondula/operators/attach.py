@@ -13,6 +13,14 @@ SMALL_ROWS = 200_000
 SALTS = 32
 
 
+def sized_broadcast(small: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast hint for a parameter table, after counting it."""
+    n = small.count()
+    if n > limit:
+        raise ValueError(f"a parameter table of {n} rows is too large to send to every executor")
+    return F.broadcast(small)
+
+
 def attach(rows: DataFrame, stats: DataFrame, on: Sequence[str], spread: Sequence[str]) -> DataFrame:
     """Inner join of ``rows`` with one row of ``stats`` per group.
 

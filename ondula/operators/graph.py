@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ondula.operators import ordered
+from ondula.operators.attach import sized_broadcast
 from ondula.operators.quantiles import quantiles
 from ondula.operators.sets import symmetrise
 from ondula.session import cut
@@ -90,7 +91,7 @@ def breadth_first(adjacency: DataFrame, nodes: DataFrame) -> list[DataFrame]:
     """
     e = cut(adjacency.select("graph", F.col("src").alias("node"), F.col("dst").alias("next")))
     levels = [cut(nodes.select("graph", F.col("node").alias("source"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")))]
-    # two levels are enough to recognise a visited node only in undirected graphs, so keep all
+    # all levels are kept: in a directed graph a node of any earlier level can come up again
     seen = levels[0].select("graph", "source", "node")
     while True:
         step = levels[-1].join(e, ["graph", "node"]).groupBy("graph", "source", F.col("next").alias("node")).agg(
@@ -297,7 +298,7 @@ def lesion_sweep(edges: DataFrame, lesions: DataFrame, graph_function: Callable[
     fields = schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ")
     sets = lesions.groupBy("lesion").agg(F.collect_set("region").alias("_r"))
     hit = lambda c: F.when(F.array_contains("_r", F.col(c)), F.lit(float(strength))).otherwise(1.0)
-    cutaway = edges.withColumn("_k", F.lit(0)).join(F.broadcast(sets.withColumn("_k", F.lit(0))), "_k").select(
+    cutaway = edges.join(sized_broadcast(sets), how="inner").select(
         "graph", "lesion", "src", "dst", (F.col("weight") * hit("src") * hit("dst")).alias("weight"))
     whole = edges.select("graph", F.lit(None).cast("int").alias("lesion"), "src", "dst", "weight")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ondula.operators.attach import attach
+from ondula.operators.attach import attach, sized_broadcast
 from ondula.operators.quantiles import quantiles
 
 
@@ -101,7 +101,7 @@ def tissue_rule(t1: str = "t1", bpf: str = "bpf") -> Column:
 
 def in_range(values: DataFrame, ranges: DataFrame, on: str = "map") -> DataFrame:
     """Scale each parameter by its unit and keep the open range of its row in ``ranges``."""
-    j = values.join(F.broadcast(ranges), on).withColumn("value", F.col("value") * F.col("scale"))
+    j = values.join(sized_broadcast(ranges), on).withColumn("value", F.col("value") * F.col("scale"))
     return j.where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high"))).drop("scale", "low", "high")
 
 
