@@ -180,8 +180,8 @@ def global_rank(df: DataFrame, keys: Sequence[str], by: Sequence, name: str = "r
     cols = [F.col(c) if isinstance(c, str) else c for c in by]
     tmp = [f"_o{i}" for i in range(len(cols))]
     tagged = df.select(*df.columns, *[c.alias(n) for c, n in zip(cols, tmp)])
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(tagged.repartitionByRange(n, *keys, *tmp).withColumn("_pid", F.spark_partition_id()))
+    # no fixed number: adaptive execution merges small neighbouring ranges, which keeps their order
+    placed = cut(tagged.repartitionByRange(*keys, *tmp).withColumn("_pid", F.spark_partition_id()))
     sizes = placed.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select(*keys, "_pid", F.coalesce(before, F.lit(0)).alias("_before"))
