@@ -8,7 +8,6 @@ from ondula.operators import sets as S
 from ondula.operators import windows as Wn
 from ondula.plans import adapters as ad
 from ondula.plans.adapters import with_
-from ondula.plans.aggregates import CORR
 from ondula.plans.joins import EPOCH, epoch_rows
 from ondula.plans.registry import query
 
