@@ -21,9 +21,10 @@ from ondula.llm.features import REMEMBERED
 BITS = 18
 #: Texts to learn from, the first by a hash of their ids: confirmed toxic ones and unlabelled ones.
 POSITIVE_ROWS, UNLABELLED_ROWS = 8_192, 16_384
-#: A word counts if it occurs in this many of the texts to learn from.
-LEAST_TEXTS = 5
-STEPS, BATCH, RATE, DECAY = 1_500, 512, 0.05, 2e-5
+#: A word counts if it occurs in this many of the texts to learn from, and in the toxic and the unlabelled ones at rates that differ by so many
+#: standard errors.
+LEAST_TEXTS, LEAST_ERRORS = 5, 4.0
+STEPS, BATCH, RATE, DECAY = 1_200, 4_096, 0.1, 2e-5
 #: Lengths of the beginnings of words that count beside the words: inflected forms of one stem share them.
 BEGINNINGS = (4, 5)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -67,8 +68,10 @@ def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     size = 1 << BITS
     if not positive or not unlabelled:
         return np.append(np.zeros(size), -5.0)
-    texts = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=size)
-    allowed = texts >= LEAST_TEXTS
+    p, u = (np.bincount(np.concatenate(side), minlength=size) for side in (positive, unlabelled))
+    rate = (p + u) / (len(positive) + len(unlabelled))
+    error = np.sqrt(rate * (1 - rate) * (1 / len(positive) + 1 / len(unlabelled)))
+    allowed = (p + u >= LEAST_TEXTS) & (np.abs(p / len(positive) - u / len(unlabelled)) >= LEAST_ERRORS * error) & (error > 0)
     columns = np.flatnonzero(allowed)
     number = np.full(size, -1)
     number[columns] = np.arange(len(columns))
