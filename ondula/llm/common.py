@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Upper bound, in bytes of rows, of a table that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
+#: Cells of the count that finds crowded keys: a table of fixed size.
+CELLS = 65536
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,6 +70,25 @@ def look_up(rows: DataFrame, table: DataFrame, on: list[str], row_bytes: int, ho
     return dealt.join(salted, [*on, "__salt"], how).drop("__salt")
 
 
+def units(placed: DataFrame, key: str, member: str, crowd: int) -> DataFrame:
+    """``placed`` with ``unit`` (long) and ``own`` (int): all members of a key share a unit, but for crowded keys.
+
+    Keys are counted in ``CELLS`` cells. Keys of cells with over ``crowd`` rows beyond four times their share are dealt to tiles by a hash of
+    the member; every two tiles make a unit, so each pair of members meets, and many tasks share the work. A member's own tile is ``own``.
+    """
+    placed = placed.withColumn("__cell", F.pmod(F.hash(key), F.lit(CELLS)))
+    counts = written(placed.groupBy("__cell").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    crowded = counts.where(F.col("n") > crowd + 4 * total / CELLS).select("__cell", F.ceil(F.col("n") / crowd).cast("int").alias("__tiles"))
+    if crowded.isEmpty():
+        return placed.withColumn("unit", F.col(key).cast("long")).withColumn("own", F.lit(0)).drop("__cell")
+    tiled = placed.join(F.broadcast(crowded), "__cell", "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1)))
+    tiled = tiled.withColumn("own", F.pmod(F.xxhash64(member), F.col("__tiles")).cast("int"))
+    tiled = tiled.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
+    pair = F.xxhash64(key, F.least("own", "__other"), F.greatest("own", "__other"))
+    return tiled.withColumn("unit", F.when(F.col("__tiles") == 1, F.col(key).cast("long")).otherwise(pair)).drop("__cell", "__tiles", "__other")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` of longs: every node that has an edge to another node, and the smallest node reachable.
 

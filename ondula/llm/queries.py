@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import decontamination, mixing, pii, quality, simhash, toxicity
+from ondula.llm import chat, decontamination, embeddings, licenses, mixing, pii, quality, secrets, simhash, toxicity
 from ondula.llm.common import word_count, written
 
 WEIGHTS = (5, 2, 1)
@@ -30,6 +30,28 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql("""SELECT CAST(-1 AS BIGINT) AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+                       FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)""")
+    return chat.read_back(chat.format_turns(rows.unionByName(own)))
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+
+    return found.select("doc_id", count(0), count(1), count(2), sha(secrets.listed(base)).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -37,6 +59,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         sha(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_notices"),
+                        F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("licenses"),
+                        F.round(F.array_max("licenses.coverage"), 6).alias("coverage"), F.array_join(spans, ",").alias("spans"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.held_out("doc_id", 4, 2)
@@ -67,5 +97,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op5_decontamination, op7_quality, op8_pii, op9_simhash, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_chat, op3_embeddings, op4_secrets, op5_decontamination, op6_licenses, op7_quality, op8_pii, op9_simhash, op10_toxicity)
 }

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ondula.llm.common import components, smallest_labels, written
+from ondula.llm.common import components, smallest_labels, units, written
 
 SHINGLE = 3
 SEED = 42
@@ -29,8 +29,8 @@ THRESHOLD = 3
 BITS, CHECK = 23, 11
 #: Fixed value: the generator polynomial of the [23, 12] Golay code.
 GENERATOR = 0b110001110101
-#: Cells of the count that finds crowded anchors, and members of an anchor that one comparison takes.
-CELLS, CROWD = 65536, 20000
+#: Members of an anchor that one comparison takes.
+CROWD = 20000
 #: Members up to which all near pairs of an anchor are listed at once; beyond, they are walked from pivot to pivot.
 LISTED = 128
 
@@ -176,25 +176,10 @@ def _walk(fps: np.ndarray):
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all fingerprints of ``fps(fp)`` (distinct longs) at ``THRESHOLD`` or fewer differing bits.
-
-    Anchors are counted in ``CELLS`` cells, a table of fixed size. The members of cells beyond their share are dealt to tiles, so that a
-    crowd at one anchor is compared by many tasks, two tiles at a time.
-    """
-    placed = fps.mapInArrow(_anchored, "anchor int, fp long, near boolean").withColumn("cell", F.pmod(F.hash("anchor"), F.lit(CELLS)))
-    counts = written(placed.groupBy("cell").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    crowded = written(counts.where(F.col("n") > CROWD + 4 * total / CELLS).select("cell", F.ceil(F.col("n") / CROWD).cast("int").alias("tiles")))
-    if not crowded.count():
-        units = placed.select(F.col("anchor").cast("long").alias("unit"), "fp", "near")
-    else:
-        tiled = placed.join(F.broadcast(crowded), "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("own", own)
-        unit = F.when(F.col("tiles") == 1, F.col("anchor").cast("long")).otherwise(
-            F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")))
-        units = tiled.select(unit.alias("unit"), "fp", "near")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare, "u long, v long")
+    """Links (u, v) that connect all fingerprints of ``fps(fp)`` (distinct longs) at ``THRESHOLD`` or fewer differing bits."""
+    placed = fps.mapInArrow(_anchored, "anchor int, fp long, near boolean")
+    met = units(placed, "anchor", "fp", CROWD).select("unit", "fp", "near")
+    return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -31,16 +31,17 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 class Words:
-    """The set of a text's hashed words and beginnings of words, whole texts of any length."""
+    """The set of a text's hashed words and beginnings of words, whole texts of any length; with weights, of those that have one."""
 
-    def __init__(self) -> None:
+    def __init__(self, weights: np.ndarray | None = None) -> None:
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.weights = weights
 
-    @staticmethod
-    def _hashed(word: str) -> tuple[int, ...]:
+    def _hashed(self, word: str) -> tuple[int, ...]:
         low = word.lower()
         parts = [low, *[f"{low[:n]}*" for n in BEGINNINGS if len(low) > n]]
-        return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) >> (32 - BITS) for p in parts)
+        found = (zlib.crc32(p.encode("utf-8", "surrogatepass")) >> (32 - BITS) for p in parts)
+        return tuple(h for h in found if self.weights is None or self.weights[h])
 
     def __call__(self, text: str | None) -> np.ndarray:
         if len(self.seen) > REMEMBERED:
@@ -50,7 +51,8 @@ class Words:
             h = self.seen.get(w)
             if h is None:
                 h = self.seen[w] = self._hashed(w)
-            out.update(h)
+            if h:
+                out.update(h)
         return np.array(sorted(out), np.int64)
 
 
@@ -139,9 +141,9 @@ def score(text: Column, weights: np.ndarray, df: DataFrame) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        if not words:
-            words.append(Words())
         w = sent.value
+        if not words:
+            words.append(Words(w))
         z = np.array([w[words[0](t)].sum() + w[-1] for t in texts], float)
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
