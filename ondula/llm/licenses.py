@@ -117,7 +117,18 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         matched += anchors
         edges = [(a - 1, c - 1), *anchors, (b, d)]
         stack += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:])]
-    return sorted(matched)
+    return _pulled(sorted(matched), text, template)
+
+
+def _pulled(pairs: list[tuple[int, int]], text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """Words that were matched far off, where the same word also follows (or precedes) its neighbour as in the template, moved there."""
+    for order in (range(len(pairs) // 2 + 1, len(pairs)), range(len(pairs) // 2 - 1, -1, -1)):
+        for k in order:
+            i, j = pairs[k - order.step]
+            near = i + pairs[k][1] - j
+            if abs(near - i) < abs(pairs[k][0] - i) and text[near] == template[pairs[k][1]]:
+                pairs[k] = near, pairs[k][1]
+    return pairs
 
 
 @dataclass(frozen=True)
