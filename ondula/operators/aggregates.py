@@ -17,7 +17,7 @@ from ondula.session import cut
 
 # ---------------------------------------------------------------- connectivity
 
-FLAT = 1e-13  # a variance below this share of the mean square is rounding noise of a constant channel
+FLAT = 1e-26  # a centred variance below this share of the mean square is rounding noise of a constant channel
 
 
 def correlation_of(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -422,16 +422,21 @@ def quality_report(stds: DataFrame, line: DataFrame, heart: DataFrame, muscle: D
 
 
 def recovery(clean: DataFrame, original: DataFrame, injected: DataFrame, scenario: Sequence[str] = (),
-             on: Sequence[str] = ("channel", "t")) -> DataFrame:
-    """How well an injected signal survives: correlation, SNR, error, amplitude ratio, distortion."""
-    sc, on = list(scenario), list(on)
+             on: Sequence[str] = ("recording", "channel", "t")) -> DataFrame:
+    """How well an injected signal survives: correlation, SNR, error, amplitude ratio, distortion.
+
+    Tables meet on the columns of ``on`` that they have: an ``injected`` signal
+    without a recording goes into every recording. A series is what ``clean``
+    has of ``on`` but its last; correlations are averaged over series.
+    """
+    sc, on = list(scenario), [c for c in on if c in clean.columns]
     inj_keys = [c for c in [*sc, *on] if c in injected.columns]
     j = clean.select(*sc, *on, F.col("value").alias("_c")).join(
         original.select(*[c for c in [*sc, *on] if c in original.columns], F.col("value").alias("_o")),
         [c for c in [*sc, *on] if c in original.columns]).join(
         injected.select(*inj_keys, F.col("value").alias("inj")), inj_keys)
     j = j.withColumn("rec", F.col("_c") - F.col("_o")).withColumn("_k", F.lit(0))
-    ch = j.groupBy("_k", *sc, on[0]).agg(
+    ch = j.groupBy("_k", *sc, *on[:-1]).agg(
         F.when((F.stddev_pop("inj") > 0) & (F.stddev_pop("rec") > 0), F.corr("inj", "rec")).alias("r"),
         F.sum(F.col("inj") ** 2).alias("pi"), F.sum(F.col("rec") ** 2).alias("pr"),
         F.sum((F.col("rec") - F.col("inj")) ** 2).alias("pn"), F.count("*").alias("n"))
@@ -448,7 +453,7 @@ def band_power(spectra: DataFrame, bands: DataFrame, keys: Sequence[str]) -> Dat
     """Trapezoid integral of the channel-mean spectrum inside each ``(band, fmin, fmax)``."""
     keys = list(keys)
     psd = spectra.groupBy(*keys, "freq").agg(F.avg("power").alias("p"))
-    inside = psd.join(sized_broadcast(bands, 10_000), (F.col("freq") >= F.col("fmin")) & (F.col("freq") <= F.col("fmax")))
+    inside = psd.join(sized_broadcast(bands), (F.col("freq") >= F.col("fmin")) & (F.col("freq") <= F.col("fmax")))
     w = W.partitionBy(*keys, "band").orderBy("freq")
     area = (F.col("p") + F.lag("p").over(w)) / 2 * (F.col("freq") - F.lag("freq").over(w))
     return inside.withColumn("_a", area).groupBy(*keys, "band").agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("power"))
@@ -548,9 +553,12 @@ def common_correlation(a: DataFrame, b: DataFrame, on: Sequence[str], least: int
 
 
 def component_regressor_correlation(components: DataFrame, regressors: DataFrame, conditions: Sequence[str]) -> DataFrame:
-    """Pearson of each component with each regressor, and the largest magnitude, strongest first."""
-    j = components.select("component", "t", "value").join(
-        regressors.select("condition", "t", F.col("value").alias("_x")), "t")
+    """Pearson of each component with each regressor, and the largest magnitude, strongest first.
+
+    Time courses of several recordings meet within their recording; regressors without one hold for all.
+    """
+    at = _shared(components, regressors, ["recording", "t"])
+    j = components.select("component", *at, "value").join(regressors.select("condition", *at, F.col("value").alias("_x")), at)
     r = j.groupBy("component", "condition").agg(F.round(F.corr("value", "_x"), 4).alias("r"))
     best = r.groupBy("component").agg(F.max(F.abs("r")).alias("max_abs_corr"))
     wide = r.groupBy("component").pivot("condition", list(conditions)).agg(F.first("r"))
@@ -559,9 +567,14 @@ def component_regressor_correlation(components: DataFrame, regressors: DataFrame
     return wide.join(best, "component").orderBy(F.desc("max_abs_corr"), "component")
 
 
+def _shared(a: DataFrame, b: DataFrame, names: Sequence[str]) -> list[str]:
+    return [c for c in names if c in a.columns and c in b.columns]
+
+
 def best_component(components: DataFrame, target: DataFrame, on: str) -> DataFrame:
-    """Component with the largest absolute correlation to a map or time course."""
-    j = components.select("component", on, "value").join(target.select(on, F.col("value").alias("_x")), on)
+    """Component with the largest absolute correlation to a map or time course, within recordings where both tables have them."""
+    at = _shared(components, target, ["recording", on])
+    j = components.select("component", *at, "value").join(target.select(*at, F.col("value").alias("_x")), at)
     r = j.groupBy("component").agg(F.corr("value", "_x").alias("r"))
     return r.agg(F.max_by(F.struct("component", "r"), F.struct(F.abs("r"), -F.col("component"))).alias("_b")).select("_b.*")
 

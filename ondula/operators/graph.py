@@ -155,13 +155,20 @@ def random_graphs(sizes: DataFrame, n_random: int, seed: int = 0) -> DataFrame:
     dense = F.col("m") > pairs / 2
     s = sizes.withColumn("_dense", dense).withColumn("_want", F.when(dense, pairs - F.col("m")).otherwise(F.col("m")))
     s = s.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_random - 1))))
-    # a draw gives a new pair with probability of at least 1/2 * (n-1)/n >= 1/4; eight times plus a margin never runs out in practice
-    draws = (F.col("_want") * 8 + 64).cast("bigint")
-    d = s.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), draws)))
     h = lambda salt: F.pmod(F.xxhash64(F.lit(seed), "graph", "trial", "draw", F.lit(salt)), F.col("n"))
-    d = d.withColumn("_i", h(1)).withColumn("_j", h(2)).where("_i <> _j")
-    first = d.groupBy("graph", "trial", "n", "_dense", "_want", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j")).agg(
-        F.min("draw").alias("draw"))
+
+    def distinct_pairs(times: int) -> DataFrame:
+        draws = (F.col("_want") * times + 64).cast("bigint")
+        d = s.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), draws)))
+        d = d.withColumn("_i", h(1)).withColumn("_j", h(2)).where("_i <> _j")
+        return cut(d.groupBy("graph", "trial", "n", "_dense", "_want", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j")).agg(
+            F.min("draw").alias("draw")))
+
+    # a draw gives a new pair with probability of at least 1/2 * (n-1)/n >= 1/4; where eight times do not suffice, draw on
+    times, first = 8, distinct_pairs(8)
+    while not first.groupBy("graph", "trial", "_want").count().where("count < _want").isEmpty():
+        times *= 2
+        first = distinct_pairs(times)
     ranked = ordered.running(first, ["graph", "trial"], "draw", F.lit(1), "_rank")
     chosen = ranked.where(F.col("_rank") <= F.col("_want"))
     sparse_part = chosen.where(~F.col("_dense")).select("graph", "trial", "i", "j")

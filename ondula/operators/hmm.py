@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ondula.operators.attach import attach
 from ondula.operators.joins import project_frames
 from ondula.operators.matrix import moments
 from ondula.session import cut
@@ -76,7 +77,7 @@ class GaussianHMM:
         else:
             mean, cov = m.mean, m.cov
         cov = cov * m.n / (m.n - 1)
-        blocks = cut(session_blocks(frames, block))
+        blocks = cut(_with_first(session_blocks(frames, block)))
         warm = min(5, n_epochs)
         best = None
         for i in range(n_init):
@@ -315,8 +316,12 @@ def _bordered(blocks: DataFrame, k: _Kernel) -> DataFrame:
             v = v / v.sum()
         return pdf[["recording", "blk"]].assign(left=left, right=right[::-1], ll=ll)
 
-    first = blocks.groupBy("recording").agg(F.min("blk").alias("first"))
-    marked = blocks.join(first, "recording")
+    marked = blocks if "first" in blocks.columns else _with_first(blocks)
     borders = marked.mapInPandas(reduce, "recording string, blk bigint, m array<double>, scale double").groupBy("recording").applyInPandas(
         chain, "recording string, blk bigint, left array<double>, right array<double>, ll double")
-    return marked.join(borders, ["recording", "blk"])
+    return attach(marked, borders, ["recording", "blk"], ["blk"])  # a small row per block is sent to the blocks, not the blocks to it
+
+
+def _with_first(blocks: DataFrame) -> DataFrame:
+    """The blocks with the number of their session's first block."""
+    return attach(blocks, blocks.groupBy("recording").agg(F.min("blk").alias("first")), ["recording"], ["blk"])

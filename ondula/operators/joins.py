@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ondula.operators import ordered
 from ondula.operators.gram import collect_matrix, matrix_of
 
-SMALL = 5_000_000  # cells; a weight matrix up to this size (40 MB) is sent to every executor
+SMALL = 5_000_000  # cells; a block of weights of this size (40 MB) is sent to every executor at a time
 
 
 def map_with_labels(voxels: DataFrame, seg: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -130,12 +130,20 @@ def project_frames(frames: DataFrame, weights: DataFrame | np.ndarray, offset: n
                    x: str = "x") -> DataFrame:
     """S = W (x - offset) on array frames, one matrix product per Arrow batch.
 
-    The weights are channel-sized; their size is checked before they are sent.
+    A table of weights is sent in blocks of sources of at most ``SMALL`` cells;
+    each block appends its sources to the frames.
     """
     if isinstance(weights, DataFrame):
-        cells = weights.count()
-        if cells > SMALL:
-            raise ValueError(f"{cells} weights are too many to send to every executor; use apply_weights")
+        size = weights.agg(F.count("*"), F.max("i"), F.max("j")).first()
+        if size[0] > SMALL:
+            step = max(1, SMALL // (size[2] + 1))
+            out = frames.withColumn("_s", F.array().cast("array<double>"))
+            for lo in range(0, size[1] + 1, step):
+                rows = min(step, size[1] + 1 - lo)
+                part = weights.where(F.col("i").between(lo, lo + rows - 1)).withColumn("i", F.col("i") - lo)
+                w = collect_matrix(part, "v", rows, size[2] + 1)
+                out = project_frames(out.withColumn("_p", F.col(x)), w, offset, "_p").withColumn("_s", F.concat("_s", "_p")).drop("_p")
+            return out.withColumn(x, F.col("_s")).drop("_s")
         w = collect_matrix(weights, "v")
     else:
         w = np.asarray(weights, dtype=float)

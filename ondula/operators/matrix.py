@@ -21,7 +21,6 @@ from ondula.operators.spectral import analytic, to_frames
 from ondula.operators.windows import embed, global_rank, overlap_add, slide
 from ondula.session import cut
 
-LARGEST = 4096  # channels; a Gram up to this width is collected to the driver
 
 # -------------------------------------------------------------------- components
 
@@ -47,8 +46,6 @@ def moments(frames: DataFrame, x: str = "x") -> Moments:
     g = gram(frames.withColumn("_k", F.lit(0)), ["_k"], x)
     got = g.select("i", "j", "n", "mean_i", "cov").toPandas()
     width = int(got["i"].max()) + 1
-    if width > LARGEST:
-        raise ValueError(f"{width} columns are too many for one covariance")
     cov, mean = np.zeros((width, width)), np.zeros(width)
     cov[got["i"], got["j"]] = got["cov"]
     mean[got["i"]] = got["mean_i"]
@@ -120,10 +117,22 @@ def prepare(frames: DataFrame, methods: dict[str, dict]) -> DataFrame:
 # ----------------------------------------------------------------- linear models
 
 
-def _cross(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Sums of [1 x y]^T [1 x y]."""
+def _origin(rows: DataFrame, x: str, y: str) -> np.ndarray:
+    """Columns of some row, y last: a shift by them leaves every standardised fit as it is and keeps sums of squares small."""
+    got = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y).first()
+    v = np.array([*got[0], got[1]], dtype=float) if got else np.zeros(0)
+    return np.where(np.isfinite(v), v, 0.0)
+
+
+def _moved(fit: dict, origin: np.ndarray) -> dict:
+    """A fit of shifted columns as one of the columns themselves."""
+    return fit | {"intercept": fit["intercept"] + origin[-1] - fit["slope"] @ origin[:-1]}
+
+
+def _cross(rows: DataFrame, keys: list[str], x: str, y: str, origin: np.ndarray) -> DataFrame:
+    """Sums of [1 x y]^T [1 x y], columns shifted by the origin."""
     def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        m = np.column_stack([np.ones(len(a)), a, b])
+        m = np.column_stack([np.ones(len(a)), np.column_stack([a, b]) - origin])
         return m.T @ m
 
     return partial_sums(rows, keys, [x, y], kernel)
@@ -134,7 +143,7 @@ def _ridge(g: np.ndarray, p: int, alpha: float) -> dict:
     n = g[0, 0]
     mx, my = g[0, 1:p + 1] / n, g[0, p + 1] / n
     sd = np.sqrt(np.maximum(np.diag(g)[1:p + 1] / n - mx ** 2, 0))
-    sd[sd <= 1e-12 * np.maximum(np.abs(mx), 1e-300)] = 1.0
+    sd[sd <= 1e-12 * np.maximum(np.abs(mx), 1e-300)] = 1.0  # mx is that of shifted columns: 0 for a constant one
     xtx = (g[1:p + 1, 1:p + 1] - n * np.outer(mx, mx)) / np.outer(sd, sd)
     xty = (g[1:p + 1, p + 1] - n * mx * my) / sd
     beta = np.linalg.solve(xtx + alpha * np.eye(p), xty)
@@ -154,11 +163,12 @@ def _total(g: np.ndarray, p: int) -> float:
 def ridge(rows: DataFrame, alpha: float = 1.0, x: str = "x", y: str = "y") -> tuple[dict, DataFrame]:
     """Ridge on standardised columns: coefficients, R2 and MSE, and the rows with ``y_pred``."""
     r = rows.withColumn("_y", F.array(F.col(y).cast("double")))
-    g = collect_matrix(_cross(r, [], x, "_y"), "v")
+    origin = _origin(rows, x, y)
+    g = collect_matrix(_cross(r, [], x, "_y", origin), "v")
     p = g.shape[0] - 2
     fit = _ridge(g, p, alpha)
     rss = _residual(g, p, fit)
-    fit |= {"r2": 1 - rss / (_total(g, p) + 1e-10), "mse": rss / g[0, 0]}
+    fit = _moved(fit, origin) | {"r2": 1 - rss / (_total(g, p) + 1e-10), "mse": rss / g[0, 0]}
     return fit, rows.withColumn("y_pred", _predict(F.col(x), fit))
 
 
@@ -167,8 +177,8 @@ def _predict(x: Column, fit: dict) -> Column:
     return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(fit["intercept"])), lambda s, v: s + v)
 
 
-def _fold_grams(rows: DataFrame, keys: list[str], x: str, y: str) -> dict:
-    got = _cross(rows.withColumn("_y", F.array(F.col(y).cast("double"))), [*keys, "fold"], x, "_y").toPandas()
+def _fold_grams(rows: DataFrame, keys: list[str], x: str, y: str, origin: np.ndarray) -> dict:
+    got = _cross(rows.withColumn("_y", F.array(F.col(y).cast("double"))), [*keys, "fold"], x, "_y", origin).toPandas()
     out = {}
     for key, part in got.groupby([*keys, "fold"]):
         m = np.zeros((int(part["i"].max()) + 1,) * 2)
@@ -190,13 +200,14 @@ def cross_validate(folds: DataFrame, alpha: float = 1.0, x: str = "x", y: str =
 
     Returns R2, MSE and full-data coefficients, and the rows with held-out ``y_pred``.
     """
-    grams = {k[0]: g for k, g in _fold_grams(folds, [], x, y).items()}
+    origin = _origin(folds, x, y)
+    grams = {k[0]: g for k, g in _fold_grams(folds, [], x, y, origin).items()}
     r2, mse, fits = _cv(grams, alpha)
     whole = sum(grams.values())
     full = _ridge(whole, whole.shape[0] - 2, alpha)
     pred = F.lit(None).cast("double")
     for f, fit in fits.items():
-        pred = F.when(F.col("fold") == int(f), _predict(F.col(x), fit)).otherwise(pred)
+        pred = F.when(F.col("fold") == int(f), _predict(F.col(x), _moved(fit, origin))).otherwise(pred)
     return {"r2": r2, "mse": mse, "beta": full["beta"]}, folds.withColumn("y_pred", pred)
 
 
@@ -217,7 +228,8 @@ def feature_importance(folds: DataFrame, names: Sequence[str], alpha: float = 1.
     mixed = place.join(donor, ["feature", "_r"]).groupBy(row).agg(
         F.sort_array(F.collect_list(F.struct("feature", "_v"))).getField("_v").alias("_p"))
     both = base.join(mixed, row).withColumn(x, F.concat(x, "_p"))
-    grams = {k[0]: g for k, g in _fold_grams(both, [], x, y).items()}
+    origin = _origin(base, x, y)
+    grams = {k[0]: g for k, g in _fold_grams(both, [], x, y, np.concatenate([origin[:-1], origin])).items()}
     at = lambda cols: {k: g[np.ix_([0, *cols, 2 * p + 1], [0, *cols, 2 * p + 1])] for k, g in grams.items()}
     own = list(range(1, p + 1))
     base_r2 = _cv(at(own), alpha)[0]
@@ -231,13 +243,15 @@ def feature_importance(folds: DataFrame, names: Sequence[str], alpha: float = 1.
 
 @dataclass
 class LinearModel:
-    """Least-squares coefficients (regressor, sensor) with what its statistics need."""
+    """Least-squares coefficients (regressor, sensor) with what its statistics need; ``yty`` and ``rss`` are of Y less ``origin``."""
 
     beta: np.ndarray
     xtx_inv: np.ndarray
     rss: np.ndarray
     yty: np.ndarray
     n: int
+    origin: np.ndarray
+    constant: np.ndarray
 
     def t_values(self, contrast: Sequence[float]) -> np.ndarray:
         c = np.asarray(contrast, dtype=float)
@@ -246,16 +260,33 @@ class LinearModel:
 
 
 def fit_glm(frames: DataFrame, design: str = "d", x: str = "x") -> LinearModel:
-    """Least squares of every sensor on the design columns, from X^T X, X^T Y and the squares of Y."""
+    """Least squares of every sensor on the design columns, from X^T X, X^T Y and the squares of Y.
+
+    Where the design spans a constant, Y is shifted by one of its rows first: the fit
+    moves along, and an offset of the data costs the residuals no digits.
+    """
+    some = frames.where(F.col(x).isNotNull()).select(x).first()
+    origin = np.array(some[0] if some else [], dtype=float)
+    origin = np.where(np.isfinite(origin), origin, 0.0)
+
     def kernel(d: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.vstack([np.column_stack([d.T @ d, d.T @ y]), np.concatenate([[len(d)], np.zeros(d.shape[1] - 1), (y ** 2).sum(axis=0)])[None, :]])
+        p, z = d.shape[1], y - origin
+        wide = np.zeros((2, p + z.shape[1]))
+        wide[0, 0], wide[0, p:] = len(d), (z ** 2).sum(axis=0)
+        wide[1, :p], wide[1, p:] = d.sum(axis=0), z.sum(axis=0)
+        return np.vstack([np.column_stack([d.T @ d, d.T @ z]), wide])
 
     g = collect_matrix(partial_sums(frames, [], [design, x], kernel), "v")
-    p = g.shape[0] - 1
+    p = g.shape[0] - 2
     inv = np.linalg.pinv(g[:p, :p])
-    xty, yty, n = g[:p, p:], g[p, p:], int(g[p, 0])
+    xty, yty, n, ones = g[:p, p:], g[p, p:], int(g[p, 0]), g[p + 1, :p]
+    constant = inv @ ones
+    if abs(n - ones @ constant) > 1e-9 * n:  # no constant in the design: back to Y itself
+        yty = yty + 2 * origin * g[p + 1, p:] + n * origin ** 2
+        xty, origin = xty + np.outer(ones, origin), np.zeros_like(origin)
     beta = inv @ xty
-    return LinearModel(beta, inv, np.maximum(yty - np.sum(beta * xty, axis=0), 0.0), yty, n)
+    rss = np.maximum(yty - np.sum(beta * xty, axis=0), 0.0)
+    return LinearModel(beta + np.outer(constant, origin), inv, rss, yty, n, origin, constant)
 
 
 def residual_frames(frames: DataFrame, model: LinearModel, design: str = "d", x: str = "x") -> DataFrame:
@@ -286,9 +317,11 @@ def permutation_test(frames: DataFrame, contrast: Sequence[float], n_perms: int
         F.sort_array(F.collect_list(F.struct("perm", F.col(design).alias("d")))).alias("_d"))
     pair = frames.select(order, x).join(drawn, order).select(x, F.flatten("_d.d").alias("_d"))
     p, c = m.beta.shape
-    xty = collect_matrix(partial_sums(pair, [], ["_d", x], lambda d, y: d.T @ y), "v", n_perms * p, c).reshape(n_perms, p, c)
+    origin = m.origin
+    xty = collect_matrix(partial_sums(pair, [], ["_d", x], lambda d, y: d.T @ (y - origin)), "v", n_perms * p, c).reshape(n_perms, p, c)
     beta = np.einsum("pq,nqc->npc", m.xtx_inv, xty)
     rss = np.maximum(m.yty - np.einsum("npc,npc->nc", beta, xty), 0.0)
+    beta = beta + np.outer(m.constant, origin)
     cv = np.asarray(contrast, dtype=float)
     null = np.abs(np.einsum("p,npc->nc", cv, beta) / np.sqrt(rss / (m.n - p) * (cv @ m.xtx_inv @ cv))).max(axis=1)
     t = m.t_values(contrast)

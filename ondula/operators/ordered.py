@@ -90,10 +90,9 @@ def halo(df: DataFrame, keys: Sequence[str], order: str, before: int, after: int
 
     Adds ``_blk`` and ``_own``. A frame of ``before`` rows back and ``after``
     rows ahead on a dense ``order`` can then run inside ``(keys, _blk)``; keep
-    the rows with ``_own``.
+    the rows with ``_own``. A wider frame widens the blocks.
     """
-    if max(before, after) > block:
-        raise ValueError("the frame must not be wider than a block")
+    block = max(block, before, after)
     b = _block(order, block)
     touched = F.sequence(F.floor((F.col(order) - F.lit(after)) / block).cast("bigint"),
                          F.floor((F.col(order) + F.lit(before)) / block).cast("bigint"))

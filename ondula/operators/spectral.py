@@ -22,7 +22,7 @@ from ondula.operators.windows import slide
 from ondula.session import cut
 
 KEY = ("recording", "channel")
-TAPER_LENGTH = 4096  # tapers come from a dense eigenproblem of the window length
+DENSE = 1024  # up to this length tapers come from the dense eigenproblem, beyond from its leading vectors alone
 
 # ----------------------------------------------------------------- FFT filters
 
@@ -120,17 +120,79 @@ def spectrogram(samples: DataFrame, fs: float, width: int, step: int | None = No
                     ((F.col("re") ** 2 + F.col("im") ** 2) / (fs * nfft)).alias("power"))
 
 
+def leading_vectors(diag: np.ndarray, off: np.ndarray, count: int) -> np.ndarray:
+    """Eigenvectors (rows) of the ``count`` largest eigenvalues of a symmetric tridiagonal matrix, in time and space linear in its size.
+
+    Intervals of the eigenvalues are cut into 32 parts at a time by the signs of
+    the pivots of T - x; inverse iteration with partial pivoting gives the vectors.
+    """
+    n = len(diag)
+    radius = np.abs(np.concatenate([off, [0.0]])) + np.abs(np.concatenate([[0.0], off]))
+    lo, hi = np.full(count, (diag - radius).min()), np.full(count, (diag + radius).max())
+    tiny, square = np.finfo(float).tiny, off ** 2
+    while (hi - lo > 4e-16 * np.maximum(np.abs(lo), np.abs(hi))).any():
+        grid = lo[:, None] + (hi - lo)[:, None] * np.linspace(0, 1, 33)[1:-1]
+        q, below = diag[0] - grid, np.zeros(grid.shape, dtype=np.int64)
+        for i in range(n):
+            if i:
+                q = diag[i] - grid - square[i - 1] / q
+            q = np.where(np.abs(q) < tiny, -tiny, q)
+            below += q < 0
+        more = n - below > np.arange(count)[:, None]  # the eigenvalue lies above this point
+        edges = np.column_stack([lo, grid, hi])
+        k = more.sum(axis=1)
+        new_lo, new_hi = edges[np.arange(count), k], edges[np.arange(count), k + 1]
+        if (new_lo == lo).all() and (new_hi == hi).all():
+            break
+        lo, hi = new_lo, new_hi
+    v = np.random.default_rng(0).standard_normal((n, count))
+    for _ in range(3):
+        v = _tridiagonal_solve(diag[:, None] - (lo + hi) / 2, off, v)
+        v, _ = np.linalg.qr(v)
+    return v.T
+
+
+def _tridiagonal_solve(diag: np.ndarray, off: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Solve as many symmetric tridiagonal systems as ``diag`` and ``rhs`` have columns, with row exchanges."""
+    n, b = len(diag), rhs.copy()
+    main, upper, second = diag.copy(), np.zeros_like(diag), np.zeros_like(diag)
+    upper[:-1] = off[:, None]
+    small = np.finfo(float).eps * np.abs(off).max()
+    for i in range(n - 1):
+        a, c = main[i].copy(), np.full(main.shape[1], off[i])
+        swap = np.abs(c) > np.abs(a)
+        row, nxt = (a, upper[i].copy(), second[i].copy()), (c, main[i + 1].copy(), upper[i + 1].copy())
+        main[i], upper[i], second[i] = (np.where(swap, y, x) for x, y in zip(row, nxt))
+        low = [np.where(swap, x, y) for x, y in zip(row, nxt)]
+        main[i] = np.where(main[i] == 0, small, main[i])
+        f = low[0] / main[i]
+        main[i + 1], upper[i + 1] = low[1] - f * upper[i], low[2] - f * second[i]
+        bi, bn = np.where(swap, b[i + 1], b[i]), np.where(swap, b[i], b[i + 1])
+        b[i], b[i + 1] = bi, bn - f * bi
+    main[-1] = np.where(np.abs(main[-1]) < small, small, main[-1])
+    x = np.zeros_like(b)
+    for i in range(n - 1, -1, -1):
+        x[i] = b[i]
+        if i + 1 < n:
+            x[i] -= upper[i] * x[i + 1]
+        if i + 2 < n:
+            x[i] -= second[i] * x[i + 2]
+        x[i] /= main[i]
+    return x
+
+
 @lru_cache(maxsize=32)
 def tapers(length: int, bandwidth: float = 4.0, count: int | None = None) -> np.ndarray:
     """Orthonormal DPSS tapers (count, length), largest concentration first, positive at the centre."""
-    if length > TAPER_LENGTH:
-        raise ValueError(f"tapers are for windows up to {TAPER_LENGTH} samples; slide the series first")
     count = count or int(2 * bandwidth - 1)
     i = np.arange(length)
     diag = ((length - 1) / 2 - i) ** 2 * np.cos(2 * np.pi * bandwidth / length)
     off = i[1:] * (length - i[1:]) / 2
-    _, v = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))
-    t = v[:, ::-1][:, :count].T
+    if length > DENSE:
+        t = leading_vectors(diag, off, count)
+    else:
+        _, v = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))
+        t = v[:, ::-1][:, :count].T
     return t * np.where(t[:, [length // 2]] < 0, -1.0, 1.0)
 
 

@@ -30,6 +30,12 @@ def samples(spark: SparkSession, sf: str, split: bool = False) -> DataFrame:
     return f.select("recording", "t", F.posexplode("x").alias("channel", "value"))
 
 
+def interleaved(spark: SparkSession, sf: str) -> DataFrame:
+    """Four recordings over the same times: frames dealt by turns."""
+    return samples(spark, sf).withColumn("recording", F.concat(F.lit("r"), (F.col("t") % 4).cast("string"))).withColumn(
+        "t", F.floor(F.col("t") / 4).cast("bigint"))
+
+
 def event_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Irregular samples: one recording per user, one channel per event type."""
     return table(spark, sf, "events").select(
@@ -112,6 +118,7 @@ CTE = {
     "frames4": ((), "SELECT 'r' || (label % 4) AS recording, vec_id AS t, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"),
     "samples": (("frames",), "SELECT recording, t, unnest(range(64)) AS channel, unnest(x) AS value FROM frames"),
     "samples4": (("frames4",), "SELECT recording, t, unnest(range(64)) AS channel, unnest(x) AS value FROM frames4"),
+    "interleaved": (("samples",), "SELECT 'r' || (t % 4) AS recording, t // 4 AS t, channel, value FROM samples"),
     "esamples": ((), "SELECT 'u' || user_id AS recording, event_type AS channel, event_id AS t, value FROM events"),
     "states": ((), "SELECT 'all' AS recording, vec_id AS t, label AS state FROM embeddings"),
     "daily0": ((), f"SELECT l_returnflag AS channel, date_diff('day', DATE '{DAY0}', CAST(l_shipdate AS DATE)) AS t, "

@@ -377,12 +377,12 @@ def _(spark, sf):
 
 
 @query("agg_34_recovery_metrics", "correlation:6 snr_db:6 rmse:8 amplitude_ratio:6 distortion:6",
-       with_("samples") + ", p AS (SELECT channel, t, value AS inj, 0.9 * value + 0.01 * sin(t) AS rec FROM samples), "
-       "c AS (SELECT avg(r) AS r FROM (SELECT corr(inj, rec) AS r FROM p GROUP BY channel)), "
+       with_("interleaved") + ", p AS (SELECT recording, channel, t, value AS inj, 0.9 * value + 0.01 * sin(t) AS rec FROM interleaved), "
+       "c AS (SELECT avg(r) AS r FROM (SELECT corr(inj, rec) AS r FROM p GROUP BY recording, channel)), "
        "g AS (SELECT avg(inj ** 2) AS pi, avg(rec ** 2) AS pr, avg((rec - inj) ** 2) AS pn FROM p) "
        "SELECT r AS correlation, 10 * log10(pi / pn) AS snr_db, sqrt(pn) AS rmse, sqrt(pr / pi) AS amplitude_ratio, 1 - r AS distortion FROM c, g")
 def _(spark, sf):
-    s = ad.samples(spark, sf)
+    s = ad.interleaved(spark, sf)
     clean = s.withColumn("value", 1.9 * F.col("value") + 0.01 * F.sin("t"))
     return A.recovery(clean, s, s)
 
@@ -561,22 +561,22 @@ def _(spark, sf):
 
 
 @query("agg_53_component_regressors", "component:l corr_a:4 corr_b:4 max_abs_corr:4",
-       with_("samples") + ", x AS (SELECT 'a' AS condition, t, value AS x FROM samples WHERE channel = 1 UNION ALL SELECT 'b', t, value FROM samples WHERE channel = 2), "
-       "r AS (SELECT channel AS component, condition, round(corr(value, x), 4) AS r FROM samples JOIN x USING (t) GROUP BY 1, 2) "
+       with_("interleaved") + ", x AS (SELECT 'a' AS condition, recording, t, value AS x FROM interleaved WHERE channel = 1 UNION ALL SELECT 'b', recording, t, value FROM interleaved WHERE channel = 2), "
+       "r AS (SELECT channel AS component, condition, round(corr(value, x), 4) AS r FROM interleaved JOIN x USING (recording, t) GROUP BY 1, 2) "
        "SELECT component, max(CASE WHEN condition = 'a' THEN r END) AS corr_a, max(CASE WHEN condition = 'b' THEN r END) AS corr_b, max(abs(r)) AS max_abs_corr FROM r GROUP BY 1")
 def _(spark, sf):
-    s = ad.samples(spark, sf)
-    reg = s.where("channel IN (1, 2)").select(F.when(F.col("channel") == 1, "a").otherwise("b").alias("condition"), "t", "value")
+    s = ad.interleaved(spark, sf)
+    reg = s.where("channel IN (1, 2)").select(F.when(F.col("channel") == 1, "a").otherwise("b").alias("condition"), "recording", "t", "value")
     return A.component_regressor_correlation(s.withColumnRenamed("channel", "component"), reg, ["a", "b"])
 
 
 @query("agg_54_best_component", "kind component:l score:6",
-       with_("samples") + ", r AS (SELECT s.channel AS component, corr(s.value, x.value) AS r FROM samples s JOIN samples x ON x.t = s.t AND x.channel = 7 WHERE s.channel <> 7 GROUP BY 1), "
+       with_("interleaved") + ", r AS (SELECT s.channel AS component, corr(s.value, x.value) AS r FROM interleaved s JOIN interleaved x ON x.recording = s.recording AND x.t = s.t AND x.channel = 7 WHERE s.channel <> 7 GROUP BY 1), "
        "b AS (SELECT t AS component, coalesce(sum(value ** 2) FILTER (channel * 2.0 BETWEEN 38 AND 42), 0) / (sum(value ** 2) + 1e-12) AS q FROM samples GROUP BY 1) "
        "SELECT 'time' AS kind, arg_max(component, abs(r)) AS component, arg_max(r, abs(r)) AS score FROM r UNION ALL SELECT 'band', arg_max(component, q), max(q) FROM b")
 def _(spark, sf):
-    s = ad.samples(spark, sf)
-    t = A.best_component(s.where("channel <> 7").withColumnRenamed("channel", "component"), s.where("channel = 7"), "t")
+    s, i = ad.samples(spark, sf), ad.interleaved(spark, sf)
+    t = A.best_component(i.where("channel <> 7").withColumnRenamed("channel", "component"), i.where("channel = 7"), "t")
     b = A.best_component_by_band(s.select(F.col("t").alias("component"), (F.col("channel") * 2.0).alias("freq"), (F.col("value") ** 2).alias("power")), 40.0)
     return t.select(F.lit("time").alias("kind"), "component", F.col("r").alias("score")).unionByName(
         b.select(F.lit("band").alias("kind"), "component", F.col("ratio").alias("score")))

@@ -372,7 +372,7 @@ def _(spark, sf):
     reg = Registry()
     reg.add("none", identity)
     reg.add("band", band)
-    s = ad.samples(spark, sf).where("channel < 8").withColumn("recording", F.lit("all"))
+    s = ad.interleaved(spark, sf)
     t = s.select("t").distinct()
     signals = t.select(F.lit("slow").alias("signal"), "t", F.sin(F.col("t") * 0.25).alias("value")).unionByName(
         t.select(F.lit("fast").alias("signal"), "t", F.sin(F.col("t") * 1.1).alias("value")))

@@ -9,6 +9,7 @@ from ondula.plans import adapters as ad
 from ondula.plans.adapters import with_
 from ondula.plans.registry import query
 from ondula.streaming import hopping, runs
+from ondula.session import fresh_folder
 from ondula.streaming.sinks import drain
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -57,10 +58,15 @@ def _(spark, sf):
        "WITH s AS (SELECT 'u' || user_id AS recording, event_id AS t, length(event_type) AS state FROM events), g AS (SELECT *, lag(state) OVER w AS p FROM s WINDOW w AS (PARTITION BY recording ORDER BY t)), "
        "i AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> state THEN 1 ELSE 0 END) OVER (PARTITION BY recording ORDER BY t) AS run FROM g), "
        "r AS (SELECT recording, run, any_value(state) AS state, min(t) AS first, max(t) AS last, count(*) AS length FROM i GROUP BY 1, 2) "
-       "SELECT recording, state, first, last, length, 0 AS dropped FROM r WHERE run < (SELECT max(run) FROM r x WHERE x.recording = r.recording)")
+       "SELECT recording, state, first, last, length, 0 AS dropped FROM r")
 def _(spark, sf):
     s = live(spark, sf).select("recording", "t", F.length("channel").cast("bigint").alias("state"))
-    return drain(runs.run_lengths(s))
+    # what ends a recording comes as a file of its own, with a later time and no state
+    ends = ad.event_samples(spark, sf).groupBy("recording").agg((F.max("t") + 1).alias("t")).withColumn("state", F.lit(None).cast("bigint"))
+    path = fresh_folder(spark, "ends")
+    ends.write.parquet(path)
+    with runs.with_state_store(spark):
+        return drain(runs.run_lengths(s.unionByName(spark.readStream.schema(ends.schema).parquet(path))))
 
 
 # --------------------------------------------------------------- user functions

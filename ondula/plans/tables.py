@@ -6,6 +6,7 @@ from ondula.operators import projections as P
 from ondula.plans import adapters as ad
 from ondula.plans.adapters import with_
 from ondula.plans.registry import query
+from ondula.session import fresh_folder
 from ondula.sources import arrays, catalog, sinks, text
 
 NAMES = ("rec/sflip_parc.npy", "run-1_preproc-raw.fif", "task-rest_run-2_meg.dat", "task-rest_run-2_meg.hdr", "atlas-aal_desc-sift2_connectivity.csv",
@@ -60,26 +61,27 @@ def _(spark, sf):
     return catalog.availability(files(spark, sf), "dat", "hdr")
 
 
-def matrix_lines(spark, sf):
-    """One text row per frame, five numbers each, below a header line."""
-    e = ad.frames(spark, sf)
-    body = e.select(F.lit("m.csv").alias("path"), (F.col("t") + 1).alias("line_no"),
-                    F.array_join(F.transform(F.slice("x", 1, 5), lambda v: F.format_string("%.6f", v)), ",").alias("line"))
-    return body
+def file_of(spark, lines, header):
+    """The folder of one text file: a header and the given ``line_no, line`` in order."""
+    path = fresh_folder(spark, "text")
+    whole = lines.unionByName(spark.createDataFrame([(-1, header)], "line_no bigint, line string"))
+    whole.repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+    return path
 
 
 @query("src_07_matrix_scan", "path i:l j:l v:6",
-       "SELECT 'm.csv' AS path, vec_id AS i, unnest(range(5)) AS j, unnest(list_transform(embedding[1:5], lambda v: CAST(printf('%.6f', CAST(v AS DOUBLE)) AS DOUBLE))) AS v FROM embeddings")
+       "SELECT 'm' AS path, row_number() OVER (ORDER BY vec_id) - 1 AS i, unnest(range(64)) AS j, unnest(list_transform(embedding, lambda v: CAST(printf('%.6f', CAST(v AS DOUBLE)) AS DOUBLE))) AS v FROM embeddings")
 def _(spark, sf):
-    return text.matrix_cells(matrix_lines(spark, sf))
+    rows = ad.frames(spark, sf).select(F.col("t").alias("line_no"), F.array_join(
+        F.transform("x", lambda v: F.format_string("%.6f", v)), ",").alias("line"))
+    return text.matrix_scan(spark, file_of(spark, rows, ",".join(f"c{k}" for k in range(64)))).withColumn("path", F.lit("m"))
 
 
 @query("src_08_region_labels", "path region:l label",
        "SELECT 'l.txt' AS path, row_number() OVER (ORDER BY p_partkey) - 1 AS region, p_brand AS label FROM part")
 def _(spark, sf):
-    p = ad.table(spark, sf, "part").select(F.lit("l.txt").alias("path"), (F.col("p_partkey") + 1).alias("line_no"),
-                                           F.concat_ws("\t", "p_partkey", "p_type", "p_brand").alias("line"))
-    return text.label_rows(p)
+    p = ad.table(spark, sf, "part").select(F.col("p_partkey").cast("bigint").alias("line_no"), F.concat_ws("\t", "p_partkey", "p_type", "p_brand").alias("line"))
+    return text.label_scan(spark, file_of(spark, p, "key\ttype\tlabel")).withColumn("path", F.lit("l.txt"))
 
 
 @query("src_09_atlases", "atlas", FILES + "SELECT DISTINCT regexp_extract(path, 'atlas-([^_.]+)', 1) AS atlas FROM files WHERE path LIKE '%\\_connectivity.%' ESCAPE '\\'")
@@ -227,11 +229,7 @@ def _(spark, sf):
 
 def _written(spark, kind, write):
     """A fresh folder below the session's checkpoint folder for a sink query."""
-    import uuid
-
-    from ondula.session import cut
-    cut(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/sink-{kind}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, f"sink-{kind}")
     write(path)
     return path
 

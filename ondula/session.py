@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     lost executor never takes the rows with it. Only a local session without
     that setting gets a folder of its own.
     """
-    spark = df.sparkSession
+    _set_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A path for new files below the checkpoint folder."""
+    _set_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def _set_folder(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -38,4 +49,3 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
             folder = tempfile.mkdtemp(prefix="ondula-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -16,7 +17,8 @@ class RunLengths(StatefulProcessor):
     """Keeps the open run of a recording; a state change closes it.
 
     Rows of a batch are sorted by time. A row at or before the last seen time
-    is dropped and counted.
+    is dropped and counted. A row without a state ends the recording: it closes
+    the open run.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -24,18 +26,22 @@ class RunLengths(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         run = self._open.get() if self._open.exists() else None
-        state, first, last, length, dropped = run if run else (None, 0, -1, 0, 0)
+        state, first, last, length, dropped = run if run else (None, 0, -(1 << 62), 0, 0)
         batch = pd.concat(list(rows)).sort_values("t")
         closed = []
         for t, s in zip(batch["t"].tolist(), batch["state"].tolist()):
-            if state is not None and t <= last:
+            if t <= last:
                 dropped += 1
+            elif pd.isna(s):
+                if state is not None:
+                    closed.append((key[0], state, first, last, length, dropped))
+                state, last, length = None, t, 0
             elif s == state:
                 last, length = t, length + 1
             else:
                 if state is not None:
                     closed.append((key[0], state, first, last, length, dropped))
-                state, first, last, length = s, t, t, 1
+                state, first, last, length = int(s), t, t, 1
         self._open.update((state, first, last, length, dropped))
         if closed:
             yield pd.DataFrame(closed, columns=["recording", "state", "first", "last", "length", "dropped"])
@@ -44,7 +50,21 @@ class RunLengths(StatefulProcessor):
         pass
 
 
+@contextmanager
+def with_state_store(spark: SparkSession) -> Iterator[None]:
+    """The session's state store is ``PROVIDER`` inside, and what it was before outside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def run_lengths(states: DataFrame) -> DataFrame:
-    """Closed runs ``recording, state, first, last, length`` of a live state table ``recording, t, state``."""
-    states.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    """Closed runs ``recording, state, first, last, length`` of a live state table ``recording, t, state``.
+
+    The session must use the state store ``PROVIDER``, as ``with_state_store`` sees to while a stream starts.
+    """
     return states.groupBy("recording").transformWithStateInPandas(RunLengths(), OUTPUT, "Append", "None")

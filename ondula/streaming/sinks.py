@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ondula.session import cut
+from ondula.session import fresh_folder
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all available input into Parquet below the checkpoint folder and return it as a table."""
     spark: SparkSession = stream.sparkSession
-    cut(spark.range(1))  # makes sure that the folder is set
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "stream")
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/log")
          .trigger(availableNow=True).start())
     q.awaitTermination()

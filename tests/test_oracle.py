@@ -1,9 +1,4 @@
-"""Registered queries against their SQL oracle at the smallest scale.
-
-A quarter of them by default; ONDULA_ORACLE=all runs every one.
-"""
-
-import os
+"""Every registered query against its SQL oracle at the smallest scale."""
 
 import pytest
 from oracle import differs, duck
@@ -12,7 +7,6 @@ from ondula.plans import load
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(load())
-CHOSEN = NAMES if os.environ.get("ONDULA_ORACLE") == "all" else NAMES[::4]
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +14,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     q = load()[name]
     df = q.run(spark, SF)
