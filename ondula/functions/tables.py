@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
-
-
-class WindowIds:
-    """Windows of ``width`` samples every ``step`` that contain sample ``t``."""
-
-    def eval(self, t: int, width: int, step: int):
-        for win in range(max(-((width - 1 - t) // step), 0), t // step + 1):
-            yield (win,)
 
 
 def register_window_ids(spark: SparkSession, name: str = "window_ids") -> None:
-    """Register the SQL form; in DataFrames ``windows.slide`` does the same in generated code."""
-    spark.udtf.register(name, udtf(WindowIds, returnType="win: bigint"))
+    """``name(t, width, step)``: the windows of ``width`` samples every ``step`` that contain sample ``t``, as a SQL table function.
+
+    In DataFrames ``windows.slide`` does the same.
+    """
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(t BIGINT, width BIGINT, step BIGINT) RETURNS TABLE (win BIGINT)
+        RETURN SELECT w FROM (SELECT explode(sequence(greatest(CAST(ceil((t - width + 1) / step) AS BIGINT), 0), greatest(t div step, 0))) AS w)
+        WHERE w * step <= t AND t < w * step + width""")

@@ -146,6 +146,7 @@ def valid_values(df: DataFrame, value: str = "value", low: float | None = None,
 def region_stats(values: DataFrame, keys: Sequence[str], value: str = "value", least: int = 5) -> DataFrame:
     """Mean, median, population deviation, 5th and 95th percentile and count per region."""
     keys = list(keys)
+    values = cut(values.select(*keys, value))  # read four times; the joins before it are run once
     basic = values.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
                                       F.count(value).alias("n")).where(F.col("n") >= least)
     return basic.join(quantiles(values, keys, value, {"p5": 0.05, "median": 0.5, "p95": 0.95}), keys)
@@ -155,6 +156,7 @@ def tissue_stats(values: DataFrame, tissues: DataFrame, keys: Sequence[str], val
                  least: int = 10) -> DataFrame:
     """Statistics per tissue; a tissue with fewer than ``least`` values keeps NULLs and n = 0."""
     keys = list(keys)
+    values = cut(values.select(*keys, value))
     basic = values.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
                                       F.count(value).alias("n"))
     got = basic.join(quantiles(values, keys, value, {"median": 0.5}), keys)

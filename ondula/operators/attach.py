@@ -33,16 +33,16 @@ def sized_broadcast(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if table_bytes(small) <= SMALL_BYTES else small
 
 
-def attach(rows: DataFrame, stats: DataFrame, on: Sequence[str], spread: Sequence[str]) -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, on: Sequence[str], spread: Sequence[str], written: bool = False) -> DataFrame:
     """Inner join of ``rows`` with one row of ``stats`` per group.
 
-    ``stats`` is computed and written once, so its size is known: up to
+    ``stats`` is computed and written once (unless it is ``written`` already), so its size is known: up to
     ``SMALL_BYTES`` it is broadcast. Beyond that both sides are salted, by a
     hash of the ``spread`` columns, so that a group with a large share of the
     rows is still spread over ``SALTS`` tasks.
     """
     on = list(on)
-    small = cut(stats)
+    small = stats if written else cut(stats)
     if table_bytes(small) <= SMALL_BYTES:
         return rows.join(F.broadcast(small), on)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

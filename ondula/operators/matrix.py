@@ -390,6 +390,7 @@ class Independent:
     unmixing: np.ndarray
     mixing: np.ndarray
     n_iter: int
+    converged: bool
 
     def apply(self, frames: DataFrame) -> DataFrame:
         return project_frames(frames, self.unmixing, self.mean)
@@ -412,7 +413,7 @@ def fast_ica(frames: DataFrame, n: int | None = None, max_iter: int = 200, tol:
         w = new
         if change < tol:
             break
-    return Independent(white.mean, w @ white.matrix, white.back @ w.T, it)
+    return Independent(white.mean, w @ white.matrix, white.back @ w.T, it, bool(change < tol))
 
 
 def probabilistic_ica(frames: DataFrame, n: int | None = None, seed: int = 0, max_iter: int = 200) -> tuple[Independent, DataFrame]:

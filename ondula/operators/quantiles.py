@@ -36,7 +36,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(
         F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
     ).otherwise(F.lit(0)).cast("int")
-    binned = attach(v, span, keys, ["_v"]).select(*keys, "_v", "_w", cell.alias("_bin"))
+    binned = attach(v, span, keys, ["_v"], written=True).select(*keys, "_v", "_w", cell.alias("_bin"))
     hist = binned.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_c"))
     upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_bin"))
     hist = hist.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_c"))
@@ -51,7 +51,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     ranks = span.select(*keys, F.inline(F.array(*wanted)))
     placed = cut(ranks.join(hist, keys).where("rank >= _start AND rank < _end").select(
         *keys, "_bin", "q", "w", (F.col("rank") - F.col("_start")).alias("_r")))
-    counted = attach(binned, placed.select(*keys, "_bin").distinct(), [*keys, "_bin"], ["_v"]).groupBy(*keys, "_bin", "_v").agg(F.sum("_w").alias("_c"))
+    bins_of = placed.select(*keys, "_bin").distinct()  # of a written table: cheap to make twice
+    counted = attach(binned, bins_of, [*keys, "_bin"], ["_v"], written=True).groupBy(*keys, "_bin", "_v").agg(F.sum("_w").alias("_c"))
     end = F.sum("_c").over(W.partitionBy(*keys, "_bin").orderBy("_v"))
     hit = counted.withColumn("_e", end).join(placed, [*keys, "_bin"]).where("_r < _e AND _r >= _e - _c")
     out = hit.groupBy(*keys).agg(*[

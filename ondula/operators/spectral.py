@@ -16,7 +16,7 @@ from ondula.functions import complex as cx
 from ondula.functions.types import doubles
 from ondula.operators import fourier, ordered
 from ondula.operators.attach import attach
-from ondula.operators.aggregates import average_edits, connectivity, transient_outliers
+from ondula.operators.aggregates import average_edits, transient_outliers
 from ondula.operators.gram import partial_sums
 from ondula.operators.windows import slide
 from ondula.session import cut
@@ -434,7 +434,29 @@ def to_frames(samples: DataFrame, value: str = "value") -> DataFrame:
 
 
 def envelope_correlation(samples: DataFrame) -> DataFrame:
-    return connectivity(to_frames(analytic(samples), "envelope"))
+    """Pearson of the envelopes of two channels over the times that both have: ``recording, i, j, r``, channels numbered in their order.
+
+    An envelope is not negative and about as large as its deviation, so plain sums do.
+    """
+    names = [r[0] for r in samples.select("channel").distinct().orderBy("channel").collect()]  # channel-sized
+    c = len(names)
+    at = F.map_from_entries(F.collect_list(F.struct("channel", "envelope")))
+    frames = analytic(samples).groupBy("recording", "t").agg(at.alias("_m")).select(
+        "recording", F.array(*[F.coalesce(F.try_element_at("_m", F.lit(n)), F.lit(float("nan"))) for n in names]).alias("x"))
+
+    def kernel(m: np.ndarray) -> np.ndarray:
+        have = ~np.isnan(m)
+        z = np.where(have, m, 0.0)
+        return np.hstack([have.T.astype(float) @ have, z.T @ have, (z * z).T @ have, z.T @ z])
+
+    cells = partial_sums(frames, ["recording"], ["x"], kernel).withColumn("k", F.floor(F.col("j") / c)).withColumn("j", F.col("j") % c)
+    part = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(n) for k, n in enumerate(("n", "s", "q", "p"))]
+    one = cells.groupBy("recording", "i", "j").agg(*part)
+    other = one.select("recording", F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("_s"), F.col("q").alias("_q"))
+    var = lambda s, q: F.col("n") * F.col(q) - F.col(s) ** 2
+    scale = F.sqrt(var("s", "q") * var("_s", "_q"))
+    r = F.when(scale > 0, (F.col("n") * F.col("p") - F.col("s") * F.col("_s")) / scale).otherwise(0.0)
+    return one.join(other, ["recording", "i", "j"]).select("recording", "i", "j", r.alias("r"))
 
 
 def phase_amplitude(phase: DataFrame, amplitude: DataFrame, on: Sequence[str] = ("recording", "channel", "t"),

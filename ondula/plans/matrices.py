@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ondula.operators import matrix as M
 from ondula.operators import spectral as S
 from ondula.operators import windows as Wn
+from ondula.operators.gram import gram
 from ondula.operators.hmm import GaussianHMM
 from ondula.operators.sweep import Registry, recovery_sweep
 from ondula.plans import adapters as ad
@@ -121,7 +122,6 @@ def _(spark, sf):
 @query("mat_09_whitening", "i:l j:l cov:6", "SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS cov FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(16)) AS j)")
 def _(spark, sf):
     f = ad.frames(spark, sf)
-    from ondula.operators.gram import gram
     return gram(M.whiten(f, 16).transform(f)).select("i", "j", "cov")
 
 
@@ -151,7 +151,7 @@ def _(spark, sf):
 def _(spark, sf):
     f = ad.frames(spark, sf).withColumn("x", F.slice("x", 1, 4))
     w = M.whiten(f, 4)
-    model = M.Independent(w.mean, w.matrix, w.back, 0)
+    model = M.Independent(w.mean, w.matrix, w.back, 0, True)
     s = model.apply(f)
     from ondula.operators.joins import project_frames
     return project_frames(s, w.back).select("t", F.posexplode("x").alias("channel", "value"))
@@ -240,7 +240,6 @@ def _(spark, sf):
 
 def epoch_covs(spark, sf):
     """Covariance of four channels per epoch of 25 frames."""
-    from ondula.operators.gram import gram
     f = ad.frames(spark, sf).select(F.floor(F.col("t") / 25).alias("epoch"), F.slice("x", 1, 4).alias("x"))
     g = gram(f, ["epoch"]).groupBy("epoch").agg(F.sort_array(F.collect_list(F.struct("i", "j", "cov"))).alias("_c"))
     return g.select("epoch", F.col("_c.cov").alias("c"))
@@ -264,6 +263,41 @@ def _(spark, sf):
     return t.select("epoch", F.size("tangent").alias("n"), F.sqrt(F.aggregate("tangent", F.lit(0.0), lambda s, v: s + v * v)).alias("norm"))
 
 
+# commuting matrices, for which the geometry has closed forms: the diagonal of all channels, and pairs of neighbouring channels
+VARIANCES = with_("samples") + ", d AS (SELECT t // 25 AS epoch, channel, var_pop(value) AS v FROM samples GROUP BY 1, 2), m AS (SELECT channel, exp(avg(ln(v))) AS r FROM d GROUP BY 1) "
+
+
+def diagonal_covs(spark, sf):
+    f = ad.frames(spark, sf).select(F.floor(F.col("t") / 25).alias("epoch"), "x")
+    g = gram(f, ["epoch"]).withColumn("v", F.when(F.col("i") == F.col("j"), F.col("cov")).otherwise(0.0))
+    return g.groupBy("epoch").agg(F.sort_array(F.collect_list(F.struct("i", "j", "v"))).alias("_c")).select("epoch", F.col("_c.v").alias("c"))
+
+
+@query("mat_21b_diagonal_mean", "i:l j:l v:9",
+       VARIANCES + "SELECT a.channel AS i, b.channel AS j, CASE WHEN a.channel = b.channel THEN a.r ELSE 0 END AS v FROM m a, m b")
+def _(spark, sf):
+    m = M.covariance_mean(diagonal_covs(spark, sf))
+    return _table(spark, "i int, j int, v double", [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m))])
+
+
+@query("mat_22b_pair_distances", "epoch:l pair:l distance:6",
+       with_("samples") + ", p AS (SELECT a.t // 25 AS epoch, a.channel // 2 AS pair, var_pop(a.value) AS a, var_pop(b.value) AS b, covar_pop(a.value, b.value) AS c FROM samples a JOIN samples b "
+       "ON a.t = b.t AND a.channel % 2 = 0 AND b.channel = a.channel + 1 GROUP BY 1, 2), r AS (SELECT *, sqrt((a - b) ** 2 / 4 + c ** 2) AS h FROM p) "
+       "SELECT epoch, pair, sqrt(ln(((a + b) / 2 + h) / 0.01) ** 2 + ln(((a + b) / 2 - h) / 0.01) ** 2) AS distance FROM r")
+def _(spark, sf):
+    f = ad.frames(spark, sf).select(F.floor(F.col("t") / 25).alias("epoch"), F.posexplode(
+        F.transform(F.sequence(F.lit(0), F.size("x") - 2, F.lit(2)), lambda k: F.slice("x", k + 1, 2))).alias("pair", "x"))
+    c = gram(f, ["epoch", "pair"]).groupBy("epoch", "pair").agg(F.sort_array(F.collect_list(F.struct("i", "j", "cov"))).alias("_c"))
+    return M.spd_distances(c.select("epoch", "pair", F.col("_c.cov").alias("c")), np.eye(2) * 0.01)
+
+
+@query("mat_23b_diagonal_tangent", "epoch:l n:l norm:6",
+       VARIANCES + "SELECT epoch, 2080 AS n, sqrt(sum((r * ln(v / r)) ** 2)) AS norm FROM d JOIN m USING (channel) GROUP BY 1")
+def _(spark, sf):
+    t = M.tangent_space(diagonal_covs(spark, sf))
+    return t.select("epoch", F.size("tangent").alias("n"), F.sqrt(F.aggregate("tangent", F.lit(0.0), lambda s, v: s + v * v)).alias("norm"))
+
+
 @query("mat_24_artifact_epochs", "epoch:l z:5 artifact:b")
 def _(spark, sf):
     return M.artifact_epochs(epoch_covs(spark, sf), 2.0)

@@ -100,6 +100,14 @@ def _(spark, sf):
     return N.svd_entropy(ad.samples(spark, sf), block=128)
 
 
+@query("nlt_09b_svd_entropy_of_pairs", "channel:l svd_entropy:6",
+       with_("samples") + "SELECT channel, -(p * log2(greatest(p, 1e-10)) + (1 - p) * log2(greatest(1 - p, 1e-10))) AS svd_entropy FROM (SELECT channel, sqrt(m + h) / (sqrt(m + h) + sqrt(m - h)) AS p "
+       "FROM (SELECT channel, (a + b) / 2 AS m, sqrt(((a - b) / 2) ** 2 + c ** 2) AS h FROM (SELECT x.channel, sum(x.value ** 2) AS a, sum(y.value ** 2) AS b, sum(x.value * y.value) AS c "
+       "FROM samples x JOIN samples y ON y.channel = x.channel AND y.t = x.t + 2 GROUP BY 1)))")
+def _(spark, sf):
+    return N.svd_entropy(ad.samples(spark, sf), dim=2, block=128)
+
+
 SPECTRAL = (", n AS (SELECT max(t) + 1 AS n FROM samples), f AS (SELECT channel, k, power(sum(value * cos(2 * pi() * ((k * t) % n) / n)), 2) + power(sum(value * sin(2 * pi() * ((k * t) % n) / n)), 2) AS p FROM samples, n, "
             "(SELECT unnest(range(1, (SELECT n // 2 + 1 FROM n))) AS k) GROUP BY 1, 2), q AS (SELECT channel, p / sum(p) OVER (PARTITION BY channel) AS p FROM f) ")
 
