@@ -160,12 +160,12 @@ def _(spark, sf):
 
 
 @query("agg_17_fractional_occupancy", "recording state:l occupancy:6 soft:6",
-       "WITH k AS (SELECT unnest(range(12)) AS state) SELECT 'all' AS recording, state, "
+       "WITH k AS (SELECT unnest(range(64)) AS state) SELECT 'all' AS recording, state, "
        "(SELECT count(*) FROM embeddings WHERE label = state) / (SELECT count(*) FROM embeddings) AS occupancy, "
-       "CASE WHEN state < 10 THEN (SELECT avg(abs(embedding[state + 1])) FROM embeddings) END AS soft FROM k")
+       "(SELECT avg(abs(embedding[state + 1])) FROM embeddings) AS soft FROM k")
 def _(spark, sf):
-    hard = A.occupancy(ad.states(spark, sf), "recording", "state", 12)
-    gamma = ad.samples(spark, sf).where("channel < 10").select(
+    hard = A.occupancy(ad.states(spark, sf), "recording", "state", 64)
+    gamma = ad.samples(spark, sf).select(
         "recording", F.col("channel").alias("state"), F.abs(F.col("value").cast("float")).cast("double").alias("p"))
     return hard.join(A.soft_occupancy(gamma, ["recording", "state"]).withColumnRenamed("occupancy", "soft"),
                      ["recording", "state"], "left")

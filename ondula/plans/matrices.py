@@ -42,7 +42,7 @@ def _(spark, sf):
 
 @query("mat_03_embedded_components", "component:l variance:8 n:l")
 def _(spark, sf):
-    p = M.prepare(ad.frames(spark, sf).withColumn("x", F.slice("x", 1, 8)), {"tde_pca": {"n_embeddings": 5, "n_components": 10}})
+    p = M.prepare(ad.frames(spark, sf), {"tde_pca": {"n_embeddings": 5, "n_components": 10}})
     return p.select(F.posexplode("x").alias("component", "v")).groupBy("component").agg(F.var_pop("v").alias("variance"), F.count("*").alias("n"))
 
 
@@ -147,10 +147,10 @@ def _(spark, sf):
     return z.select(F.posexplode("x").alias("component", "v")).groupBy("component").agg(F.stddev_pop("v").alias("std"), F.count("*").alias("n"))
 
 
-@query("mat_12_apply_unmixing", "t:l channel:l value:5", with_("samples") + ", m AS (SELECT channel, avg(value) AS m FROM samples GROUP BY 1) SELECT t, channel, value - m AS value FROM samples JOIN m USING (channel) WHERE channel < 4")
+@query("mat_12_apply_unmixing", "t:l channel:l value:5", with_("samples") + ", m AS (SELECT channel, avg(value) AS m FROM samples GROUP BY 1) SELECT t, channel, value - m AS value FROM samples JOIN m USING (channel)")
 def _(spark, sf):
-    f = ad.frames(spark, sf).withColumn("x", F.slice("x", 1, 4))
-    w = M.whiten(f, 4)
+    f = ad.frames(spark, sf)
+    w = M.whiten(f, 64)
     model = M.Independent(w.mean, w.matrix, w.back, 0, True)
     s = model.apply(f)
     from ondula.operators.joins import project_frames
@@ -158,11 +158,11 @@ def _(spark, sf):
 
 
 @query("mat_13_dimension_evidence", "k:l aic:2 bic:2",
-       "WITH v AS (SELECT s_suppkey + 1 AS k, 1.0 / (s_suppkey + 1) AS v FROM supplier WHERE s_suppkey < 20), d AS (SELECT count(*) AS d FROM v), "
+       "WITH v AS (SELECT s_suppkey + 1 AS k, 1.0 / (s_suppkey + 1) AS v FROM supplier), d AS (SELECT count(*) AS d FROM v), "
        "c AS (SELECT k, sum(ln(v)) OVER w AS l, (SELECT sum(v) FROM v) - sum(v) OVER w AS r FROM v WINDOW w AS (ORDER BY k)), "
        "e AS (SELECT k, -500 * (l + (d - k) * ln(greatest(r / (d - k), 1e-19))) AS ll, d * k - 0.5 * k * (k + 1) AS m FROM c, d WHERE k < d) SELECT k, ll - m AS aic, ll - 0.5 * m * ln(1000) AS bic FROM e")
 def _(spark, sf):
-    s = ad.table(spark, sf, "supplier").where("s_suppkey < 20").select((F.col("s_suppkey") + 1).alias("k"), (1.0 / (F.col("s_suppkey") + 1)).alias("value"))
+    s = ad.table(spark, sf, "supplier").select((F.col("s_suppkey") + 1).alias("k"), (1.0 / (F.col("s_suppkey") + 1)).alias("value"))
     return M.evidence(s, 1000)
 
 
@@ -173,7 +173,7 @@ def _(spark, sf):
 
 
 def positive(spark, sf):
-    return ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 16), lambda v: F.abs(v)).alias("v"))
+    return ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), F.transform(F.col("embedding").cast("array<double>"), lambda v: F.abs(v)).alias("v"))
 
 
 @query("mat_14_nonnegative_factors", "row:l w0:4 w1:4 error:4")
@@ -187,7 +187,7 @@ def _(spark, sf):
 
 @query("mat_15_spectral_components", "state:l component:l k:l psd:6")
 def _(spark, sf):
-    e = ad.table(spark, sf, "embeddings").select((F.col("label") % 3).alias("state"), F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 32)).alias("p", "v"))
+    e = ad.table(spark, sf, "embeddings").select((F.col("label") % 3).alias("state"), F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "v"))
     psd = e.groupBy("state", (F.col("p") % 8).alias("k"), F.floor(F.col("p") / 8).cast("int").alias("channel")).agg(F.avg(F.col("v") ** 2).alias("psd"))
     return M.spectral_components(psd, 2, 15)[0]
 
@@ -212,7 +212,7 @@ def _(spark, sf):
 
 def _hmm(spark, sf, n_epochs=4):
     f = ad.table(spark, sf, "embeddings").select(F.concat(F.lit("s"), F.floor(F.col("vec_id") / 250).cast("string")).alias("recording"), (F.col("vec_id") % 250).alias("t"),
-                                                 F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("x"))
+                                                 F.col("embedding").cast("array<double>").alias("x"))
     h = GaussianHMM(2, seed=1)
     h.fit(f, n_epochs, block=64)
     return h, f
@@ -313,7 +313,7 @@ def _(spark, sf):
 
 @query("mat_26_sign_alignment", "recording channel:l sign:1")
 def _(spark, sf):
-    return M.align_signs(ad.frames(spark, sf, split=True).withColumn("x", F.slice("x", 1, 12)), n_outer=2)
+    return M.align_signs(ad.frames(spark, sf, split=True), n_outer=2)
 
 
 SIGN = with_("samples4") + (", s AS (SELECT recording, channel, t, value, CASE WHEN recording = 'r1' AND channel % 2 = 0 THEN -value ELSE value END AS v2 FROM samples4), "
@@ -332,7 +332,7 @@ def _(spark, sf):
 
 @query("mat_28_mixture_binarise", "t:l state:l active:l")
 def _(spark, sf):
-    g = ad.samples(spark, sf).where("channel < 4").select("t", F.col("channel").alias("state"), F.abs("value").alias("p"))
+    g = ad.samples(spark, sf).select("t", F.col("channel").alias("state"), F.abs("value").alias("p"))
     return M.mixture_binarise(g, 5)
 
 

@@ -55,11 +55,11 @@ def _(spark, sf):
 
 
 @query("spc_04_cross_spectrum", "k:l i:l j:l re:9 im:9 coherence:6",
-       TAPER + ", zz AS (SELECT * FROM z WHERE channel < 8), c AS (SELECT a.k, a.channel AS i, b.channel AS j, avg(a.re * b.re + a.im * b.im) AS re, avg(a.im * b.re - a.re * b.im) AS im FROM zz a JOIN zz b USING (win, taper, k) GROUP BY 1, 2, 3), "
+       TAPER + ", zz AS (SELECT * FROM z), c AS (SELECT a.k, a.channel AS i, b.channel AS j, avg(a.re * b.re + a.im * b.im) AS re, avg(a.im * b.re - a.re * b.im) AS im FROM zz a JOIN zz b USING (win, taper, k) GROUP BY 1, 2, 3), "
        "s AS (SELECT k, i, j, re * s AS re, im * s AS im FROM (SELECT *, CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END / (250.0 * 64) AS s FROM c)) "
        "SELECT s.k, s.i, s.j, s.re, s.im, least(greatest((s.re * s.re + s.im * s.im) / greatest(p.re * q.re, 1e-20), 0), 1) AS coherence FROM s JOIN s p ON p.k = s.k AND p.i = s.i AND p.j = s.i JOIN s q ON q.k = s.k AND q.i = s.j AND q.j = s.j")
 def _(spark, sf):
-    return S.cross_spectrum(_samples(spark, sf).where("channel < 8"), 250.0, 64, bandwidth=3.0)
+    return S.cross_spectrum(_samples(spark, sf), 250.0, 64, bandwidth=3.0)
 
 
 ANALYTIC = with_("series", "sn") + DFT + f", g AS (SELECT *, {TWO} AS g FROM f)" + BACK

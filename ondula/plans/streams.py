@@ -78,13 +78,13 @@ def line_model(p, protocol):
 
 
 @query("udf_02_user_forward_model", "label:l a:3 b:3 rmse:5",
-       "WITH e AS (SELECT label, unnest(range(8)) AS k, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS v FROM embeddings), m AS (SELECT label, k, 1 + 0.5 * k + avg(v) AS y FROM e GROUP BY 1, 2), "
+       "WITH e AS (SELECT label, unnest(range(64)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings), m AS (SELECT label, k, 1 + 0.5 * k + avg(v) AS y FROM e GROUP BY 1, 2), "
        "f AS (SELECT label, regr_intercept(y, k) AS a, regr_slope(y, k) AS b FROM m GROUP BY 1) SELECT label, any_value(a) AS a, any_value(b) AS b, sqrt(avg((y - a - b * k) ** 2)) AS rmse FROM m JOIN f USING (label) GROUP BY 1")
 def _(spark, sf):
     import numpy as np
-    e = ad.table(spark, sf, "embeddings").select("label", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 8)).alias("k", "v"))
+    e = ad.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "v"))
     m = e.groupBy("label", "k").agg((1 + 0.5 * F.col("k") + F.avg("v")).alias("y")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "y"))).alias("c"))
-    f = M.VoxelFitter(line_model, (-5.0, -5.0), (5.0, 5.0)).fit(m.select("label", F.col("c.y").alias("x")), {"x": np.arange(8.0)}, (0.5, 0.1))
+    f = M.VoxelFitter(line_model, (-5.0, -5.0), (5.0, 5.0)).fit(m.select("label", F.col("c.y").alias("x")), {"x": np.arange(64.0)}, (0.5, 0.1))
     return f.select("label", F.get("params", F.lit(0)).alias("a"), F.get("params", F.lit(1)).alias("b"), "rmse")
 
 

@@ -168,9 +168,9 @@ def _(spark, sf):
 
 
 @query("win_21_centre_mixing", "win:l state:l p:8",
-       with_("samples") + f", w AS (SELECT DISTINCT win FROM ({WINDOWS.format(w=50, s=20)})) SELECT win, channel AS state, value AS p FROM w JOIN samples ON t = win * 20 + 25 WHERE channel < 4")
+       with_("samples") + f", w AS (SELECT DISTINCT win FROM ({WINDOWS.format(w=50, s=20)})) SELECT win, channel AS state, value AS p FROM w JOIN samples ON t = win * 20 + 25")
 def _(spark, sf):
-    g = ad.samples(spark, sf).where("channel < 4").select("recording", "t", F.col("channel").alias("state"), F.col("value").alias("p"))
+    g = ad.samples(spark, sf).select("recording", "t", F.col("channel").alias("state"), F.col("value").alias("p"))
     return Wn.centre_mixing(Wn.slide(ad.frames(spark, sf), 50, 20), g)
 
 
@@ -185,9 +185,9 @@ def _(spark, sf):
 # ---------------------------------------------------------------------- ranking
 
 
-@query("top_01_hard_states", "t:l state:l", with_("samples") + "SELECT t, arg_max(channel, value) AS state FROM samples WHERE channel < 10 GROUP BY 1")
+@query("top_01_hard_states", "t:l state:l", with_("samples") + "SELECT t, arg_max(channel, value) AS state FROM samples GROUP BY 1")
 def _(spark, sf):
-    return R.hard_states(ad.samples(spark, sf).where("channel < 10").select("recording", "t", F.col("channel").alias("state"), F.col("value").alias("p")))
+    return R.hard_states(ad.samples(spark, sf).select("recording", "t", F.col("channel").alias("state"), F.col("value").alias("p")))
 
 
 @query("top_02_density_threshold", "src:l dst:l weight:1", with_("adj") + "SELECT src, dst, 1.0 AS weight FROM adj")
@@ -207,9 +207,9 @@ def _(spark, sf):
 
 
 @query("top_05_mode_order", "win:l mode:l rank:l",
-       with_("samples") + "SELECT t AS win, channel AS mode, row_number() OVER (PARTITION BY t ORDER BY abs(value) DESC, channel) AS rank FROM samples WHERE channel < 6")
+       with_("samples") + "SELECT t AS win, channel AS mode, row_number() OVER (PARTITION BY t ORDER BY abs(value) DESC, channel) AS rank FROM samples")
 def _(spark, sf):
-    return R.order_modes(ad.samples(spark, sf).where("channel < 6").select(F.col("t").alias("win"), F.col("channel").alias("mode"), F.col("value").alias("freq")), ["win"])
+    return R.order_modes(ad.samples(spark, sf).select(F.col("t").alias("win"), F.col("channel").alias("mode"), F.col("value").alias("freq")), ["win"])
 
 
 @query("top_06_peak_in_window", "dyn:l edit:l ppm:3 magnitude:7",
