@@ -84,25 +84,31 @@ def _chirp(rows: DataFrame, keys: list[str], sign: int) -> DataFrame:
     return y.select(*keys, "n", "k", *turn(re, im, half(F.col("k"))))
 
 
-def dft(rows: DataFrame, keys: Sequence[str], inverse: bool = False, limit: int = LIMIT) -> DataFrame:
+def lengths(rows: DataFrame, keys: Sequence[str], limit: int = LIMIT) -> tuple[DataFrame, list[int]]:
+    """The length of every series (written), and the distinct lengths beyond the limit, a handful of numbers."""
+    n = cut(rows.groupBy(*keys).agg((F.max("t") + 1).cast("bigint").alias("n")))
+    return n, [r[0] for r in n.where(F.col("n") > limit).select("n").distinct().collect()]
+
+
+def dft(rows: DataFrame, keys: Sequence[str], inverse: bool = False, limit: int = LIMIT,
+        known: tuple[DataFrame, list[int]] | None = None) -> DataFrame:
     """Transform of rows ``keys, t, re, im`` (t from 0, dense) to ``keys, n, k, re, im``.
 
     The inverse takes ``keys, n, k, re, im`` and gives ``keys, n, t, re, im``,
     scaled by 1 / n. The lengths of the long series, a handful of numbers,
-    choose their layout on the driver.
+    choose their layout on the driver; who has them ``known`` saves a pass over
+    the rows, and the inverse a run of the plan before it.
     """
     keys = list(keys)
     if inverse:
         base = rows.select(*keys, "n", F.col("k").alias("t"), "re", "im")
-        sizes = base.select("n").distinct()
+        long = known[1] if known else [r[0] for r in base.where(F.col("n") > limit).select("n").distinct().collect()]
     else:
-        n = cut(rows.groupBy(*keys).agg((F.max("t") + 1).cast("bigint").alias("n")))
-        base = attach(rows, n, keys, ["t"]).select(*keys, "n", F.col("t").cast("bigint").alias("t"), "re", "im")
-        sizes = n.select("n").distinct()
+        n, long = known or lengths(rows, keys, limit)
+        base = attach(rows, n, keys, ["t"], written=True).select(*keys, "n", F.col("t").cast("bigint").alias("t"), "re", "im")
     sign = 1 if inverse else -1
     grid, chirp = {}, {}
-    for r in sizes.where(F.col("n") > limit).collect():
-        size = int(r["n"])
+    for size in map(int, long):
         n1, n2 = _split(size, limit)
         if n2 <= limit:
             grid[size] = (n1, n2)
@@ -134,7 +140,9 @@ def bin_frequency(fs: float) -> Column:
 
 def spectral_map(samples: DataFrame, keys: Sequence[str], gain: Column, limit: int = LIMIT) -> DataFrame:
     """Multiply the spectrum of each series by a real ``gain`` of (k, n) and go back: ``keys, t, re, im``."""
-    f = dft(real_rows(samples, keys), keys, limit=limit)
+    rows = real_rows(samples, keys)
+    known = lengths(rows, keys, limit)
+    f = dft(rows, keys, limit=limit, known=known)
     g = f.withColumn("_g", gain).where("_g <> 0").select(
         *keys, "n", "k", (F.col("re") * F.col("_g")).alias("re"), (F.col("im") * F.col("_g")).alias("im"))
-    return dft(g, keys, inverse=True, limit=limit).select(*keys, "t", "re", "im")
+    return dft(g, keys, inverse=True, limit=limit, known=known).select(*keys, "t", "re", "im")

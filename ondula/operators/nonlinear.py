@@ -199,14 +199,16 @@ def block_shuffle(samples: DataFrame, size: int = 50, seed: int = 0, keys: Seque
 def phase_randomise(samples: DataFrame, seed: int = 0, keys: Sequence[str] = KEY, limit: int = fourier.LIMIT) -> DataFrame:
     """Keep the amplitudes, draw the phases; DC and Nyquist phases are 0, channels are independent."""
     keys = list(keys)
-    f = fourier.dft(fourier.real_rows(samples, keys), keys, limit=limit)
+    rows = fourier.real_rows(samples, keys)
+    known = fourier.lengths(rows, keys, limit)
+    f = fourier.dft(rows, keys, limit=limit, known=known)
     k, n = F.col("k"), F.col("n")
     half = F.least(k, n - k)
     draw = 2 * math.pi * _uniform(seed, *keys, half)
     phi = F.when((k == 0) | (2 * k == n), 0.0).when(2 * k < n, draw).otherwise(-draw)
     amp = F.hypot("re", "im")
     g = f.select(*keys, "n", "k", (amp * F.cos(phi)).alias("re"), (amp * F.sin(phi)).alias("im"))
-    return fourier.dft(g, keys, inverse=True, limit=limit).select(*keys, "t", F.col("re").alias("value"))
+    return fourier.dft(g, keys, inverse=True, limit=limit, known=known).select(*keys, "t", F.col("re").alias("value"))
 
 
 def amplitude_adjusted(samples: DataFrame, seed: int = 0, keys: Sequence[str] = KEY, limit: int = fourier.LIMIT) -> DataFrame:
