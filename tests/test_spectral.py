@@ -51,11 +51,9 @@ def test_iir_matches_recursion(spark):
 
 
 def test_tapers_orthonormal():
-    for n, k in ((128, 3), (256, 4)):
+    for n, k in ((128, 3), (256, 4), (5000, 4)):
         t = S.tapers(n, 3.0, k)
         np.testing.assert_allclose(t @ t.T, np.eye(k), atol=1e-10)
-    with pytest.raises(ValueError):
-        S.tapers(100_000)
 
 
 def test_lag_five(spark):
