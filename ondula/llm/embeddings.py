@@ -159,14 +159,14 @@ def _linked(cosine: float):
     """For each unit: (id, number of links counted here) and (id, smallest linked id of its component within the unit)."""
     def emit(table: pa.Table):
         first, size = _bounds(_column(table, "unit"))
-        key, own, ids, copies = (_column(table, c) for c in ("key", "own", "id", "copies"))
+        key, own, other, ids, copies = (_column(table, c) for c in ("key", "own", "other", "id", "copies"))
         codes, x = _lists(table, "codes", np.int64), _lists(table, "embedding", np.float64)
         norm = np.linalg.norm(x, axis=1)
         who, root, links = [], [], []
         for a, m in zip(first[size > 1].tolist(), size[size > 1].tolist()):
             at = slice(a, a + m)
             tiles = own[at]
-            mixed = len(np.unique(tiles)) > 1
+            mixed = own[a] != other[a]
             left, right = [], []
             for k in range(a, a + m, 256):
                 rows = slice(k, min(k + 256, a + m))
@@ -238,8 +238,8 @@ def _links(classes: DataFrame, size: int, cosine: float) -> DataFrame:
     mean, projection = learn(np.array([r[0] for r in sample], float), b * tables)
     model = classes.sparkSession.sparkContext.broadcast((mean, projection))
     placed = classes.select("id", "embedding").mapInArrow(_placed(model, b), "key long, id long, codes array<int>")
-    met = units(placed, "key", "id", CROWD).select("unit", "key", "own", "id", "codes")
+    met = units(placed, "key", "id", CROWD).select("unit", "key", "own", "other", "id", "codes")
     met = met.repartition("unit").sortWithinPartitions("unit").mapInArrow(
-        _members(limit), "unit long, key long, own int, id long, codes array<int>")
-    full = met.join(classes.select("id", "copies", "embedding"), "id").select("unit", "key", "own", "id", "copies", "codes", "embedding")
+        _members(limit), "unit long, key long, own int, other int, id long, codes array<int>")
+    full = met.join(classes.select("id", "copies", "embedding"), "id").select("unit", "key", "own", "other", "id", "copies", "codes", "embedding")
     return full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_linked(cosine), "u long, v long, links long")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ondula.llm import common, embeddings
 
@@ -42,6 +43,18 @@ def test_recall_and_counts(spark, vectors, monkeypatch, crowd):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_small_key_in_a_crowded_cell_is_counted_once(spark):
+    cell = F.pmod(F.hash("id"), F.lit(common.CELLS))
+    small = spark.range(1, 1 << 21).where(cell == spark.range(1).select(cell).first()[0]).first()[0]  # a key in the cell of key 0
+    rows = [(0, i, [0, 0], 1, [float(i + 1), 1.0]) for i in range(100, 1100)] + [(small, i, [small, small], 1, [1.0, float(i) / 100]) for i in range(12)]
+    placed = spark.createDataFrame(rows, "key long, id long, codes array<int>, copies long, embedding array<double>")
+    met = common.units(placed, "key", "id", 100)
+    met = met.select("unit", *[c for c in met.columns if c != "unit"]).repartition(8, "unit").sortWithinPartitions("unit")
+    out = met.mapInArrow(embeddings._linked(0.9), "u long, v long, links long").groupBy("u").agg(F.sum("links").alias("n")).collect()
+    assert {r.u: r.n for r in out if r.u < 12} == dict.fromkeys(range(12), 11)
+    assert {r.u: r.n for r in out if r.u >= 100} == dict.fromkeys(range(100, 1100), 999)
+
+
 def test_edges(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, None, 0), (2, [0.0, 0.0, 0.0], 0), (3, [1.0, None, 2.0], 0), (4, [float("nan"), 1.0, 1.0], 0), (5, [float("inf"), 1.0, 1.0], 0), (6, [], 0),
