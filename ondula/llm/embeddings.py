@@ -4,8 +4,11 @@ A rotation of the principal components is learnt so that the signs of the rotate
 The code is cut into tables of b bits. In each table a vector stands under its own code and all codes one bit away, so two vectors meet there
 if their codes differ in at most two bits. Vectors that meet, and whose whole codes are near, are compared by their original components.
 
-b follows the number of vectors (a bucket holds about as many at every size) and the number of tables follows b, so that a pair at the
-threshold meets with probability ``RECALL`` or more; pairs above the threshold meet more surely.
+b follows the number of vectors (a bucket holds about as many at every size). The number of tables follows b and the angle that a pair at the
+threshold has where the codes see it, so that it meets with probability ``RECALL`` or more; pairs above the threshold meet more surely. That
+angle is not the one of the vectors: codes are signs of vectors less their mean, and where vectors share a direction, all of them or a large
+group, little is left beside it and the same distance is a wider angle. It is taken from the sample, for the vectors to which that happens most.
+Where so little is left that the tables would be too many, the mean stays in and the angle is that of the vectors.
 """
 
 from __future__ import annotations
@@ -21,42 +24,85 @@ from ondula.llm.common import components, smallest_labels, units, written
 
 #: Vectors that the rotation is learnt from, the first by a hash, and a bound of their components.
 SAMPLE_ROWS, SAMPLE_VALUES = 10_000, 1 << 22
+#: Leading components that are turned together, and directions in which the sample is probed.
+WIDTH, DIRECTIONS = 64, 4
 ITERATIONS = 30
 RECALL = 0.97
+#: Words of code in a batch of places.
+PLACED_VALUES = 1 << 22
 #: Members of a bucket that one comparison takes.
 CROWD = 4096
 #: Standard deviations beyond its mean that the number of differing bits of a pair at the threshold may have.
 SLACK = 3.5
 
 
-def layout(n: int, cosine: float) -> tuple[int, int, int]:
-    """(bits of a table, tables, most differing bits of a whole code) for n vectors."""
-    p = math.acos(min(1.0, cosine)) / math.pi
+def _meeting(p, b: int):
+    """The probability that two codes of ``b`` bits, each of which differs with probability ``p``, meet in a table."""
+    return sum(math.comb(b, k) * p**k * (1 - p) ** (b - k) for k in range(3))
+
+
+def layout(n: int, p: float) -> tuple[int, int, int]:
+    """(bits of a table, tables, most differing bits of a whole code) for n vectors and a share ``p`` of differing bits in a pair at the threshold."""
     b = min(28, max(8, round(math.log2(max(n, 2)))))
-    meet = sum(math.comb(b, k) * p**k * (1 - p) ** (b - k) for k in range(3))
-    tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, 1 - meet))))
+    tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, 1 - _meeting(p, b)))))
     bits = b * tables
     return b, tables, math.ceil(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
 
-def learn(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to ``bits`` balanced signs): principal components turned by iterative quantisation, from as many starts as the bits need."""
+def geometry(x: np.ndarray, mean: np.ndarray, cosine: float) -> tuple[np.ndarray, float]:
+    """(principal components of ``x - mean``, share of differing bits in a pair at ``cosine``) for the sample ``x``.
+
+    A pair at the threshold is a unit vector of the sample and the vector at ``cosine`` from it towards the difference of two others. What
+    is left of their distance where the bits are, less the mean and in the leading components, gives an angle between vectors as far from the
+    mean as the first. The share is that of the tenth of the sample with the widest angles, but for a twentieth of it, and a half at most.
+    """
+    rng = np.random.default_rng(0)
+    vectors = np.linalg.eigh((x - mean).T @ (x - mean))[1][:, ::-1][:, : min(x.shape[1], WIDTH)]
+    z = (x - mean) @ vectors
+    plain = math.acos(min(1.0, cosine)) / math.pi
+    angles = []
+    for _ in range(DIRECTIONS):
+        w = x[rng.permutation(len(x))] - x[rng.permutation(len(x))]
+        w -= (w * x).sum(1, keepdims=True) * x
+        length = np.linalg.norm(w, axis=1, keepdims=True)
+        step = (cosine - 1) * x + math.sqrt(max(0.0, 1 - cosine**2)) * w / np.where(length > 0, length, 1)
+        turn = 1 - ((step @ vectors) ** 2).sum(1) / np.maximum(2 * (z**2).sum(1), 1e-12)
+        angles.append(np.where(length[:, 0] > 1e-9, np.arccos(np.clip(turn, 0, 1)) / math.pi, plain))
+    widest = np.sort(np.mean(angles, 0))[::-1]
+    tenth = widest[len(widest) // 200 : max(1, len(widest) // 10) + len(widest) // 200]
+    return vectors, max(plain, float(tenth.mean()))
+
+
+def turned(v: np.ndarray, start: int) -> np.ndarray:
+    """The rotation of ``v`` by iterative quantisation from a numbered start."""
+    rotation = np.linalg.qr(np.random.default_rng(start).standard_normal((v.shape[1], v.shape[1])))[0]
+    for _ in range(ITERATIONS):
+        u, _, w = np.linalg.svd(np.where(v @ rotation > 0, 1.0, -1.0).T @ v)
+        rotation = (u @ w).T
+    return rotation
+
+
+def learn(sample: np.ndarray, n: int, cosine: float) -> tuple[tuple[int, int, int], np.ndarray, np.ndarray]:
+    """(layout for ``n`` vectors, mean, projection to signs): principal components turned by iterative quantisation, from as many starts as the bits need.
+
+    Of codes without and with the mean those are taken that need the fewer words of code, counted over the places of a vector and the others
+    that it meets there.
+    """
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = x.mean(0)
-    x = x - mean
-    _, vectors = np.linalg.eigh(x.T @ x)
-    parts = []
-    while sum(p.shape[1] for p in parts) < bits:
-        width = min(x.shape[1], 64)
-        rng = np.random.default_rng(len(parts))
-        rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
-        main = vectors[:, ::-1][:, :width]
-        v = x @ main
-        for _ in range(ITERATIONS):
-            u, _, w = np.linalg.svd(np.where(v @ rotation > 0, 1.0, -1.0).T @ v)
-            rotation = (u @ w).T
-        parts.append(main @ rotation)
-    return mean, np.concatenate(parts, 1)[:, :bits]
+    plans = []
+    for mean in (x.mean(0), np.zeros(x.shape[1])):
+        main, p = geometry(x, mean, cosine)
+        shape = b, tables, _ = layout(n, p)
+        v = (x - mean) @ main
+        rotation = turned(v, 0)
+        bits = v @ rotation[:, :b] > 0
+        met = (np.sum(bits != bits[np.random.default_rng(0).permutation(len(bits))], 1) <= 2).mean()
+        plans.append((tables**2 * (b + 1 + n * float(met)), shape, mean, main, v, rotation))
+    _, shape, mean, main, v, rotation = min(plans, key=lambda plan: plan[0])
+    parts = [main @ rotation]
+    while sum(p.shape[1] for p in parts) < shape[0] * shape[1]:
+        parts.append(main @ turned(v, len(parts)))
+    return shape, mean, np.concatenate(parts, 1)[:, : shape[0] * shape[1]]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -72,10 +118,11 @@ def _placed(model, b: int):
     def place(batches):
         mean, projection = model.value
         flips = np.concatenate([[0], 1 << np.arange(b)])
-        for batch in batches:
+        tables = projection.shape[1] // b
+        step = max(1, PLACED_VALUES // (tables * tables * len(flips)))
+        for batch in (whole.slice(k, step) for whole in batches for k in range(0, max(1, whole.num_rows), step)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            codes = _codes(_matrix(batch.column(1)), mean, projection, b) if len(ids) else np.empty((0, 1), np.int64)
-            tables = codes.shape[1]
+            codes = _codes(_matrix(batch.column(1)), mean, projection, b) if len(ids) else np.empty((0, tables), np.int64)
             key = (codes[:, :, None] ^ flips | (np.arange(tables) << 32)[:, None]).reshape(-1)
             row = np.repeat(np.arange(len(ids)), tables * len(flips))
             own = codes[row].astype(np.int32)
@@ -234,8 +281,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
 
 def _links(classes: DataFrame, size: int, cosine: float) -> DataFrame:
     sample = classes.orderBy("__a", "__b").limit(max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // size))).select("embedding").collect()
-    b, tables, limit = layout(classes.count(), cosine)
-    mean, projection = learn(np.array([r[0] for r in sample], float), b * tables)
+    (b, _, limit), mean, projection = learn(np.array([r[0] for r in sample], float), classes.count(), cosine)
     model = classes.sparkSession.sparkContext.broadcast((mean, projection))
     placed = classes.select("id", "embedding").mapInArrow(_placed(model, b), "key long, id long, codes array<int>")
     met = units(placed, "key", "id", CROWD).select("unit", "key", "own", "other", "id", "codes")

@@ -55,6 +55,24 @@ def test_small_key_in_a_crowded_cell_is_counted_once(spark):
     assert {r.u: r.n for r in out if r.u >= 100} == dict.fromkeys(range(100, 1100), 999)
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.8])
+def test_recall_with_a_common_direction(spark, mean):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2100, 64))
+    x = np.sqrt(mean) * np.eye(64)[0] + np.sqrt(1 - mean) * x / np.linalg.norm(x, axis=1)[:, None]
+    if mean:  # pairs at the threshold among vectors with a common direction
+        u = rng.standard_normal((700, 64))
+        u -= (u * x[:700]).sum(1, keepdims=True) * x[:700]
+        x[1400:] = 0.902 * x[:700] + np.sqrt(1 - 0.902**2) * u / np.linalg.norm(u, axis=1)[:, None]
+    else:  # a group of a third of all rows, with pairs close to the threshold
+        x[:700] = x[0] + rng.standard_normal((700, 64)) / 8 * 0.33
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    want, links = brute([r[:2] for r in rows])
+    assert links > 800 and all(got[k] <= n for k, (n, _) in want.items())
+    assert sum(got.values()) >= embeddings.RECALL * links, (sum(got.values()), links)
+
+
 def test_edges(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, None, 0), (2, [0.0, 0.0, 0.0], 0), (3, [1.0, None, 2.0], 0), (4, [float("nan"), 1.0, 1.0], 0), (5, [float("inf"), 1.0, 1.0], 0), (6, [], 0),
