@@ -17,7 +17,7 @@ KINDS = ("email", "iban", "date", "ssn", "ip", "phone", "card")
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "date": r"(?<![\w.:/-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
+    "date": r"(?<![\w./-])(?<!\d:)(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!(?!T\d)[\w/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)",
@@ -25,7 +25,14 @@ PATTERNS = {
 }
 #: Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
-ANY = "|".join(PATTERNS.values())
+#: Accounts and cards are sought in whole runs of groups, so that no match ends within the next value.
+RUNS = {
+    "iban": r"(?<![\w-])[A-Z]{2}\d{2}(?=(?: ?[A-Z0-9]{4}){2})[A-Z0-9 ]*(?<! )(?!\w|[./:@+-]\w)",
+    "card": r"(?<![\w.-])\d(?=(?:[ -]?\d){11})[\d -]*(?<=\d)(?![\w-]|[./:@+]\w)",
+}
+#: Characters of the shortest and the longest value that may stand in a run.
+SHORTEST, LONGEST = 7, 44
+ANY = "|".join((PATTERNS | RUNS).values())
 
 
 def _let(value: Column, body) -> Column:
@@ -199,20 +206,56 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
             .when(kind == "phone", _new_phone(m, key)).when(kind == "card", _new_card(m, key)).otherwise(m))
 
 
+def _hits(m: Column) -> Column:
+    """The values within a match that is none as a whole, (start, size, kind) in order: at each place the longest one that is valid."""
+    def at(start: Column) -> Column:
+        def one(size: Column) -> Column:
+            return F.struct(start.alias("start"), size.alias("size"), _let(F.substr(m, start, size), _kind).alias("kind"))
+
+        last = F.least(F.lit(LONGEST), F.length(m) - start + 1)
+        sizes = F.when(last >= SHORTEST, F.sequence(last, F.lit(SHORTEST), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        ends = F.filter(sizes, lambda n: F.substr(m, start + n - 1, F.lit(3)).rlike(r"^[\w)](?![\w-]|[./:@+]\w)"))
+        return F.get(F.filter(F.transform(ends, one), lambda x: x["kind"].isNotNull()), F.lit(0))
+
+    def step(acc: Column, start: Column) -> Column:
+        free = F.aggregate(acc, F.lit(1), lambda _, x: x["start"] + x["size"])
+        return F.when(start < free, acc).otherwise(_let(at(start), lambda hit: F.when(hit.isNull(), acc).otherwise(F.concat(acc, F.array(hit)))))
+
+    starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i == 1) | F.substr(m, i - 1, F.lit(2)).rlike(r"^[^\w.+(/-][\w+(]"))
+    return F.aggregate(starts, F.array().cast("array<struct<start:int,size:int,kind:string>>"), step)
+
+
+def _replaced(m: Column, key: str) -> Column:
+    """(text, found) of a match: with pseudonyms for the match or, where it is no value, for the values within it."""
+    def write(acc: Column, hit: Column) -> Column:
+        def put(new: Column) -> Column:
+            return F.struct(F.concat(acc["text"], F.substr(m, acc["at"], hit["start"] - acc["at"]), new).alias("text"), (hit["start"] + hit["size"]).alias("at"),
+                            F.concat(acc["found"], F.array(F.struct(hit["kind"].alias("kind"), new.alias("value")))).alias("found"))
+
+        return _let(_let(F.substr(m, hit["start"], hit["size"]), lambda v: pseudonym(v, hit["kind"], key)), put)
+
+    def woven(hits: Column) -> Column:
+        start = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"), F.array().cast("array<struct<kind:string,value:string>>").alias("found"))
+        return F.aggregate(hits, start, write, lambda acc: F.struct(
+            F.concat(acc["text"], F.substr(m, acc["at"], F.length(m))).alias("text"), acc["found"].alias("found")))
+
+    whole = _let(_kind(m), lambda k: F.when(k.isNotNull(), F.array(F.struct(F.lit(1).alias("start"), F.length(m).alias("size"), k.alias("kind")))))
+    return _let(F.coalesce(whole, _hits(m)), woven)
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and ``pii``: an array of (kind, pseudonym) in the order of the text.
 
-    Numbers that fail their validation (a card's or an account's check digits, a day that is none, an octet over 255) stay as they are. A null
+    Numbers that fail their validation (a card's or an account's check digits, a day that is none, an octet over 255) stay as they are; valid values within or beside them are
+    still found. A null
     text stays null with no findings; texts without a digit or an @ are passed on unread. Domains of e-mail addresses and
     country codes stay. Nothing is shuffled; a column named ``pii`` is replaced.
     """
     t = F.col(text)
 
-    def changed(m: Column) -> Column:
-        return _let(_kind(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("value")))
-
-    found = F.when(t.rlike(r"@|\d"), F.transform(F.regexp_extract_all(t, F.lit(f"({ANY})"), 1), changed))
-    out = docs.withColumn("__all", F.coalesce(found, F.array().cast("array<struct<kind:string,value:string>>")))
-    woven = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col("__all.value"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = out.withColumn(text, F.when(F.exists("__all", lambda x: x["kind"].isNotNull()), woven).otherwise(t))
-    return out.withColumn("pii", F.filter("__all", lambda x: x["kind"].isNotNull())).drop("__all")
+    nothing = F.array().cast("array<struct<text:string,found:array<struct<kind:string,value:string>>>>")
+    found = F.when(t.rlike(r"@|\d"), F.transform(F.regexp_extract_all(t, F.lit(f"({ANY})"), 1), lambda m: _replaced(m, key)))
+    out = docs.withColumn("__all", F.coalesce(found, nothing))
+    woven = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col("__all.text"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    out = out.withColumn(text, F.when(F.exists("__all", lambda x: F.size(x["found"]) > 0), woven).otherwise(t))
+    return out.withColumn("pii", F.flatten("__all.found")).drop("__all")

@@ -51,6 +51,20 @@ def test_invalid_values_stay(spark):
     assert [t for t, _ in one(spark, texts)] == texts
 
 
+def test_values_beside_other_characters(spark):
+    card, account = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = [(f"{card} 12/27", card, "card"), (f"{card} 123", card, "card"), (f"2 {card}", card, "card"), (f"12 34 56 {card}", card, "card"), (f"CARD:{card} EXP", card, "card"),
+             (f"{account} EUR", account, "iban"), (f"IBAN:{account} 12 EUR", account, "iban"), (f"{account} PAID 2 TIMES", account, "iban"),
+             ("DOB:1990-01-01", "1990-01-01", "date"), ("2001-02-28T10:00", "2001-02-28", "date"), ("AT 7:28.02.2001", None, None),
+             ("SSN:123-45-6789 US", "123-45-6789", "ssn"), ("IP:203.0.113.77 UP", "203.0.113.77", "ip"), ("TEL:743-555-3824 12", "743-555-3824", "phone"),
+             ("MAIL:anna@mail.example.com 12", "anna@mail.example.com", "email")]
+    for (text, value, kind), (new, found) in zip(cases, one(spark, [c[0] for c in cases])):
+        assert [k for k, _ in found] == ([kind] if kind else []), text
+        assert new == (text.replace(value, found[0][1]) if kind else text) and (value is None or value not in new)
+    both, = one(spark, [f"{account} AAAA {card} 2001-02-28"])
+    assert [k for k, _ in both[1]] == ["iban", "card", "date"] and luhn(both[1][1][1]) and iban(both[1][0][1])
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(17 * 41).select(F.array((F.col("id") % 17).cast("int"), F.floor(F.col("id") / 17).cast("int")).alias("v"))
     ranges = F.array(F.lit(17), F.lit(41))
