@@ -80,4 +80,64 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": MIXING, "op2_chat": CHAT, "op3_embeddings": EMBEDDINGS, "op5_decontamination": DECONTAMINATION}
+
+def _centroids(rounds: int = 10) -> str:
+    """Each round: distances to all centroids, the nearest one, floors of the means. Tables are spelt out round by round."""
+    out = ["""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS j, x AS c FROM v ORDER BY sha256('3:' || vec_id), x LIMIT 8)"""]
+    for t in range(rounds + 1):
+        out.append(f"""a{t} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(d, j)) AS m FROM (
+  SELECT r, vec_id, x, j, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{t}) GROUP BY r)""")
+        if t < rounds:
+            out.append(f"""s{t} AS (SELECT j, i, sum(y)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT m.j AS j, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{t}) GROUP BY j, i),
+c{t + 1} AS MATERIALIZED (SELECT c{t}.j, coalesce(any_value(n.c), any_value(c{t}.c)) AS c FROM c{t} LEFT JOIN (
+  SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{t} GROUP BY j) n ON n.j = c{t}.j GROUP BY c{t}.j)""")
+    return ",\n".join(out) + f"""
+SELECT vec_id, m.j::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.j))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.j = m.j"""
+
+
+def _field(c: str, value: str = "") -> str:
+    value = value or f"{c}::VARCHAR"
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c, n_chars if c == "n_chars" else "") for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+
+#: CRC-32 (the reflected polynomial 0xEDB88320) of a string of ASCII: a value from 0 to 255 is a byte, -1 one step of a bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+MERKLE = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, lang, {_leaf('n_chars::VARCHAR')} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('(n_chars + 1)::VARCHAR')} END AS tampered FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT coalesce('=' || lang, '') AS tree, 0 AS level, k AS j, n, leaf AS h FROM r
+  UNION ALL SELECT tree, level + 1, j // 2, (n + 1) // 2, h FROM (
+    SELECT tree, level, j, n, sha256(h || coalesce(lead(h) OVER (PARTITION BY tree ORDER BY j), '')) AS h FROM t WHERE n > 1) WHERE j % 2 = 0),
+tt AS MATERIALIZED (SELECT * FROM t),
+sub AS MATERIALIZED (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS k, count(*) OVER () AS n, max(level) OVER () AS most, level FROM tt WHERE n = 1),
+u AS (SELECT 0 AS level, k AS j, n, subroot AS h FROM sub
+  UNION ALL SELECT level + 1, j // 2, (n + 1) // 2, h FROM (
+    SELECT level, j, n, sha256(h || coalesce(lead(h) OVER (ORDER BY j), '')) AS h FROM u WHERE n > 1) WHERE j % 2 = 0),
+uu AS MATERIALIZED (SELECT * FROM u),
+root AS (SELECT h AS root FROM uu WHERE n = 1),
+low AS MATERIALIZED (SELECT a.tree, a.level, a.j, b.h FROM tt a LEFT JOIN tt b ON a.tree = b.tree AND a.level = b.level AND b.j = xor(a.j, 1) WHERE a.n > 1),
+up AS MATERIALIZED (SELECT a.level, a.j, b.h FROM uu a LEFT JOIN uu b ON a.level = b.level AND b.j = xor(a.j, 1) WHERE a.n > 1),
+rows AS MATERIALIZED (SELECT row_number() OVER () AS id, r.*, coalesce('=' || lang, '') AS tree FROM r),
+path AS MATERIALIZED (SELECT id, low.level AS s, (rows.k >> low.level) % 2 = 1 AS is_right, coalesce(h, '') AS h FROM rows JOIN low ON rows.tree = low.tree AND low.j = rows.k >> low.level
+  UNION ALL SELECT id, sub.level + up.level, (sub.k >> up.level) % 2 = 1, coalesce(h, '') FROM rows JOIN sub ON rows.tree = sub.tree JOIN up ON up.j = sub.k >> up.level),
+steps AS MATERIALIZED (SELECT id, count(*) AS m, string_agg(h, '' ORDER BY s) AS kin FROM path GROUP BY id),
+fold AS (SELECT id, 0 AS s, coalesce(tampered, leaf) AS h FROM rows
+  UNION ALL SELECT fold.id, fold.s + 1, sha256(CASE WHEN is_right THEN path.h || fold.h ELSE fold.h || path.h END) FROM fold JOIN path ON path.id = fold.id AND path.s = fold.s),
+folded AS (SELECT id, arg_max(h, s) AS h FROM fold GROUP BY id)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(kin, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM rows JOIN sub ON rows.tree = sub.tree CROSS JOIN root JOIN folded f ON f.id = rows.id LEFT JOIN steps ON steps.id = rows.id
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": MIXING, "op2_chat": CHAT, "op3_embeddings": EMBEDDINGS, "op5_decontamination": DECONTAMINATION,
+                           "op12_centroids": _centroids(), "op13_merkle": MERKLE}

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import chat, decontamination, embeddings, licenses, mixing, pii, quality, secrets, simhash, toxicity
+from ondula.llm import centroids, chat, decontamination, embeddings, licenses, merkle, mixing, pii, quality, secrets, simhash, tokens, toxicity
 from ondula.llm.common import word_count, written
 
 WEIGHTS = (5, 2, 1)
 PII_KEY = "ondula"
 GOOD = 0.7
+TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +98,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= GOOD).cast("int"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.token_counts(docs, public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centers = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(assigned, centers).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    docs = docs.withColumn("tampered", F.when(hit, merkle.digest_of(*fields)))
+    rows = merkle.manifest(docs, keep=("tampered",))
+    rows = rows.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", sha(F.array_join("proof.digest", "")).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_chat, op3_embeddings, op4_secrets, op5_decontamination, op6_licenses, op7_quality, op8_pii, op9_simhash, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_chat, op3_embeddings, op4_secrets, op5_decontamination, op6_licenses, op7_quality, op8_pii, op9_simhash, op10_toxicity,
+                              op11_tokens, op12_centroids, op13_merkle)
 }
