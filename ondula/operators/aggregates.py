@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ondula.operators import ordered
 from ondula.operators.attach import attach, sized_broadcast
 from ondula.operators.gram import gram, partial_sums
-from ondula.operators.quantiles import quantiles, small_median_mad
+from ondula.operators.quantiles import part_of, quantiles, small_median_mad, splitters
 from ondula.session import cut
 
 # ---------------------------------------------------------------- connectivity
@@ -146,10 +146,12 @@ def valid_values(df: DataFrame, value: str = "value", low: float | None = None,
 def region_stats(values: DataFrame, keys: Sequence[str], value: str = "value", least: int = 5) -> DataFrame:
     """Mean, median, population deviation, 5th and 95th percentile and count per region."""
     keys = list(keys)
-    values = cut(values.select(*keys, value))  # read four times; the joins before it are run once
-    basic = values.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-                                      F.count(value).alias("n")).where(F.col("n") >= least)
-    return basic.join(quantiles(values, keys, value, {"p5": 0.05, "median": 0.5, "p95": 0.95}), keys)
+    values = cut(values.select(*keys, value))  # read twice; the joins before it are run once
+    return quantiles(values, keys, value, {"p5": 0.05, "median": 0.5, "p95": 0.95}, also=_basic(value)).where(F.col("n") >= least)
+
+
+def _basic(value: str) -> list[Column]:
+    return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n")]
 
 
 def tissue_stats(values: DataFrame, tissues: DataFrame, keys: Sequence[str], value: str = "value",
@@ -157,9 +159,7 @@ def tissue_stats(values: DataFrame, tissues: DataFrame, keys: Sequence[str], val
     """Statistics per tissue; a tissue with fewer than ``least`` values keeps NULLs and n = 0."""
     keys = list(keys)
     values = cut(values.select(*keys, value))
-    basic = values.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-                                      F.count(value).alias("n"))
-    got = basic.join(quantiles(values, keys, value, {"median": 0.5}), keys)
+    got = quantiles(values, keys, value, {"median": 0.5}, also=_basic(value))
     out = tissues.select(*keys).distinct().join(got, keys, "left")
     enough = F.col("n") >= least
     return out.select(*keys, *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "median", "std")],
@@ -271,23 +271,19 @@ def contrast(samples: DataFrame, keys: Sequence[str], condition: str, a, b, valu
 # --------------------------------------------------------- two samples, p-values
 
 
-def ks_statistic(a: DataFrame, b: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 4096) -> DataFrame:
+def ks_statistic(a: DataFrame, b: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Largest gap between two empirical distributions on the pooled points.
 
-    Counts per distinct value first, then running counts in equal-width value
-    blocks, so ties and large samples never meet in one task.
+    Counts per distinct value first, then running counts in parts of about equal numbers of values, so ties and large samples never meet in one
+    task, however the values are spread.
     """
-    keys = list(keys)
+    part = ["_k", *keys]
     v = a.select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_na"), F.lit(0).alias("_nb")).unionByName(
         b.select(*keys, F.col(value).alias("_v"), F.lit(0).alias("_na"), F.lit(1).alias("_nb")))
     v = v.withColumn("_k", F.lit(0))
-    c = v.groupBy("_k", *keys, "_v").agg(F.sum("_na").alias("_na"), F.sum("_nb").alias("_nb"))
-    span = c.groupBy("_k", *keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                      F.sum("_na").alias("_ta"), F.sum("_nb").alias("_tb"))
-    cell = F.when(F.col("_hi") > F.col("_lo"),
-                  F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0)
-    c = c.join(span, ["_k", *keys]).withColumn("_blk", cell)
-    part = ["_k", *keys]
+    c = cut(v.groupBy(*part, "_v").agg(F.sum("_na").alias("_na"), F.sum("_nb").alias("_nb")))
+    span = c.groupBy(*part).agg(F.sum("_na").alias("_ta"), F.sum("_nb").alias("_tb"))
+    c = attach(c, span.join(splitters(c, part, "_v"), part), part, ["_v"]).withColumn("_blk", part_of(F.col("_v"), F.col("_splits"))).drop("_splits")
     before = W.partitionBy(*part).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     tot = c.groupBy(*part, "_blk").agg(F.sum("_na").alias("_a"), F.sum("_nb").alias("_b")).select(
         *part, "_blk", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_pa"),
@@ -467,14 +463,12 @@ def band_mean_power(logs: DataFrame, key: str, fmin: float, fmax: float) -> Data
         F.avg(F.pow(F.lit(10.0), F.col("logp"))).alias("power"))
 
 
-def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, bins: int = 4096) -> DataFrame:
+def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """Smallest value at which the cumulative weight reaches half of the total."""
     keys = ["_k", *keys]
-    c = df.withColumn("_k", F.lit(0)).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    span = c.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_w").alias("_t"))
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.floor(
-        (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0)
-    c = c.join(span, keys).withColumn("_blk", cell)
+    c = cut(df.withColumn("_k", F.lit(0)).groupBy(*keys, value).agg(F.sum(weight).alias("_w")))
+    span = c.groupBy(*keys).agg(F.sum("_w").alias("_t")).join(splitters(c, keys, value), keys)
+    c = attach(c, span, keys, [value]).withColumn("_blk", part_of(F.col(value), F.col("_splits"))).drop("_splits")
     tot = c.groupBy(*keys, "_blk").agg(F.sum("_w").alias("_b")).select(*keys, "_blk", F.coalesce(F.sum("_b").over(
         W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.sum("_w").over(W.partitionBy(*keys, "_blk").orderBy(value))

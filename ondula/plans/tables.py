@@ -1,5 +1,10 @@
 """Source, sink and projection queries. File names and text lines are built from the tables."""
 
+import gzip
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ondula.operators import projections as P
@@ -7,7 +12,7 @@ from ondula.plans import adapters as ad
 from ondula.plans.adapters import with_
 from ondula.plans.registry import query
 from ondula.session import fresh_folder
-from ondula.sources import arrays, catalog, sinks, text
+from ondula.sources import arrays, catalog, npy, sinks, text
 
 NAMES = ("rec/sflip_parc.npy", "run-1_preproc-raw.fif", "task-rest_run-2_meg.dat", "task-rest_run-2_meg.hdr", "atlas-aal_desc-sift2_connectivity.csv",
          "atlas-aal_desc-count_connectivity.csv", "atlas-dk.v2_desc-siftcount_connectivity.csv", "atlas-aal_desc-meanlength_connectivity.csv",
@@ -28,8 +33,11 @@ def files(spark, sf):
 @query("src_01_recording_scan", "recording n_t:l n_channels:l total:6",
        with_("samples4") + "SELECT recording, count(DISTINCT t) AS n_t, 64 AS n_channels, sum(value) AS total FROM samples4 GROUP BY 1")
 def _(spark, sf):
-    return ad.samples(spark, sf, split=True).groupBy("recording").agg(
-        F.count_distinct("t").alias("n_t"), F.count_distinct("channel").alias("n_channels"), F.sum("value").alias("total"))
+    folder = fresh_folder(spark, "arrays")
+    arrays.write_arrays(ad.frames(spark, sf, split=True), folder)
+    per = arrays.array_frames(spark, folder).withColumn("recording", F.regexp_extract("recording", r"([^/]+)\.npy$", 1))
+    return per.groupBy("recording").agg(F.count("t").alias("n_t"), F.max(F.size("x")).alias("n_channels"),
+                                        F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
 @query("src_02_parcellated_files", "path", FILES + "SELECT path FROM files WHERE path LIKE '%/sflip_parc.npy'")
@@ -61,27 +69,47 @@ def _(spark, sf):
     return catalog.availability(files(spark, sf), "dat", "hdr")
 
 
-def file_of(spark, lines, header):
-    """The folder of one text file: a header and the given ``line_no, line`` in order."""
+def files_of(spark, lines, headers):
+    """The folder of text files, one per ``file`` of ``file, line_no, line``, written by as many tasks; each begins with its header."""
     path = fresh_folder(spark, "text")
-    whole = lines.unionByName(spark.createDataFrame([(-1, header)], "line_no bigint, line string"))
-    whole.repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+    whole = lines.select("file", "line_no", "line").unionByName(headers.select("file", F.lit(-1).cast("bigint").alias("line_no"), "line"))
+    whole.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line").write.partitionBy("file").text(path)
     return path
 
 
+FILE_ROWS = 256
+
+
+def _file_name(path="path"):
+    return F.regexp_extract(path, "file=([^/]+)/", 1)
+
+
 @query("src_07_matrix_scan", "path i:l j:l v:6",
-       "SELECT 'm' AS path, row_number() OVER (ORDER BY vec_id) - 1 AS i, unnest(range(64)) AS j, unnest(list_transform(embedding, lambda v: CAST(printf('%.6f', CAST(v AS DOUBLE)) AS DOUBLE))) AS v FROM embeddings")
+       f"SELECT 'm' || vec_id // {FILE_ROWS} AS path, row_number() OVER (PARTITION BY vec_id // {FILE_ROWS} ORDER BY vec_id) - 1 AS i, unnest(range(64)) AS j, "
+       "unnest(list_transform(embedding, lambda v: CAST(printf('%.6f', CAST(v AS DOUBLE)) AS DOUBLE))) AS v FROM embeddings")
 def _(spark, sf):
-    rows = ad.frames(spark, sf).select(F.col("t").alias("line_no"), F.array_join(
+    rows = ad.frames(spark, sf).select(F.concat(F.lit("m"), F.floor(F.col("t") / FILE_ROWS)).alias("file"), F.col("t").alias("line_no"), F.array_join(
         F.transform("x", lambda v: F.format_string("%.6f", v)), ",").alias("line"))
-    return text.matrix_scan(spark, file_of(spark, rows, ",".join(f"c{k}" for k in range(64)))).withColumn("path", F.lit("m"))
+    headers = rows.select("file").distinct().where(F.crc32("file") % 2 == 0).withColumn("line", F.lit(",".join(f"c{k}" for k in range(64))))
+    return text.matrix_scan(spark, files_of(spark, rows, headers), "part-*").withColumn("path", _file_name())
+
+
+@query("src_07b_array_matrix_scan", "path i:l j:l v:6",
+       f"SELECT 'm' || vec_id // {FILE_ROWS} AS path, row_number() OVER (PARTITION BY vec_id // {FILE_ROWS} ORDER BY vec_id) - 1 AS i, unnest(range(64)) AS j, "
+       "unnest(embedding) AS v FROM embeddings")
+def _(spark, sf):
+    folder = fresh_folder(spark, "arrays")
+    arrays.write_arrays(ad.frames(spark, sf).withColumn("recording", F.concat(F.lit("m"), F.floor(F.col("t") / FILE_ROWS))), folder)
+    return text.matrix_scan(spark, folder).withColumn("path", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
 
 
 @query("src_08_region_labels", "path region:l label",
-       "SELECT 'l.txt' AS path, row_number() OVER (ORDER BY p_partkey) - 1 AS region, p_brand AS label FROM part")
+       f"SELECT 'l' || p_partkey // {FILE_ROWS} AS path, row_number() OVER (PARTITION BY p_partkey // {FILE_ROWS} ORDER BY p_partkey) - 1 AS region, p_brand AS label FROM part")
 def _(spark, sf):
-    p = ad.table(spark, sf, "part").select(F.col("p_partkey").cast("bigint").alias("line_no"), F.concat_ws("\t", "p_partkey", "p_type", "p_brand").alias("line"))
-    return text.label_scan(spark, file_of(spark, p, "key\ttype\tlabel")).withColumn("path", F.lit("l.txt"))
+    p = ad.table(spark, sf, "part").select(F.concat(F.lit("l"), F.floor(F.col("p_partkey") / FILE_ROWS)).alias("file"), F.col("p_partkey").cast("bigint").alias("line_no"),
+                                           F.concat_ws("\t", "p_partkey", "p_type", "p_brand").alias("line"))
+    headers = p.select("file").distinct().withColumn("line", F.lit("key\ttype\tlabel"))
+    return text.label_scan(spark, files_of(spark, p, headers), "part-*").withColumn("path", _file_name())
 
 
 @query("src_09_atlases", "atlas", FILES + "SELECT DISTINCT regexp_extract(path, 'atlas-([^_.]+)', 1) AS atlas FROM files WHERE path LIKE '%\\_connectivity.%' ESCAPE '\\'")
@@ -119,15 +147,37 @@ def _(spark, sf):
     return P.resolve_delays(e)
 
 
+def archives_of(spark, lines):
+    """The folder of one tar archive per ``archive`` with a compressed text per trial, from ``archive, trial, line_no, line``."""
+    folder = fresh_folder(spark, "archives")
+
+    def put(key, pdf):
+        store, path, _ = npy.open_store(folder)
+        store.create_dir(path, recursive=True)
+        body = io.BytesIO()
+        with tarfile.open(fileobj=body, mode="w:gz") as tar:
+            for trial, rows in pdf.groupby("trial"):
+                raw = gzip.compress("\n".join(rows.sort_values("line_no")["line"]).encode())
+                info = tarfile.TarInfo(f"{trial}.rd.gz")
+                info.size = len(raw)
+                tar.addfile(info, io.BytesIO(raw))
+        with store.open_output_stream(f"{path}/{key[0]}.tar.gz", compression=None) as out:
+            out.write(body.getvalue())
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    lines.groupBy("archive").applyInPandas(put, "n bigint").agg(F.sum("n")).first()  # an archive holds the trials of one subject
+    return folder
+
+
 @query("src_14_trial_ingest", "archive trial channel t:l value:2",
-       "SELECT 'u' || user_id AS archive, 'x' AS trial, event_type AS channel, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS t, value FROM events "
+       "SELECT 'u' || user_id || '.tar.gz' AS archive, 'x.rd.gz' AS trial, event_type AS channel, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS t, value FROM events "
        "WHERE event_id % 11 <> 0")
 def _(spark, sf):
     e = ad.table(spark, sf, "events")
     line = F.when(F.col("event_id") % 11 == 0, F.lit("# comment 1 2 3")).otherwise(
         F.concat_ws(" ", F.lit("0"), "event_type", F.lit("0"), F.col("value").cast("string")))
-    return arrays.parse_trials(e.select(F.concat(F.lit("u"), "user_id").alias("archive"), F.lit("x").alias("trial"),
-                                        F.col("event_id").alias("line_no"), line.alias("line")))
+    rows = e.select(F.concat(F.lit("u"), "user_id").alias("archive"), F.lit("x").alias("trial"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return arrays.parse_trials(arrays.trial_lines(spark, archives_of(spark, rows)))
 
 
 @query("src_15_common_length", "recording channel t:l value:4",
@@ -149,11 +199,13 @@ def _(spark, sf):
 
 
 @query("src_17_event_table", "recording onset:2 duration:2 trial_type",
-       "SELECT 'u' || user_id AS recording, event_id AS onset, value AS duration, event_type AS trial_type FROM events WHERE event_id % 7 <> 0")
+       "SELECT 'u' || user_id % 16 AS recording, event_id AS onset, value AS duration, event_type AS trial_type FROM events WHERE event_id % 7 <> 0")
 def _(spark, sf):
     e = ad.table(spark, sf, "events")
     line = F.when(F.col("event_id") % 7 == 0, F.col("event_id").cast("string")).otherwise(F.concat_ws("\t", "event_id", "value", "event_type"))
-    return text.event_rows(e.select(F.concat(F.lit("u"), "user_id").alias("path"), (F.col("event_id") + 1).alias("line_no"), line.alias("line")))
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id") % 16).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    headers = rows.select("file").distinct().withColumn("line", F.lit("onset\tduration\ttrial_type"))
+    return text.event_scan(spark, files_of(spark, rows, headers), "part-*").withColumn("recording", _file_name("recording"))
 
 
 @query("src_18_structure_stats", "path name value:2",

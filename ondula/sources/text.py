@@ -3,36 +3,68 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ondula.operators.attach import attach
+from ondula.sources import npy
+from ondula.sources.arrays import array_frames
 
-def lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """Numbered lines of small whole files: ``path, line_no, line``."""
+
+def lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, but: str = "") -> DataFrame:
+    """Lines of all files but those that end in ``but``: lines that are not blank, numbered from 0 in each file: ``path, line_no, line``.
+
+    Files are read split by split, not whole. A line's number is its place in the split plus the lines of the file's earlier splits. Only these counts are
+    gathered, so text is read twice, once to count, and no line is shuffled.
+    """
     r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    t = r.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    return t.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    t = r.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("line"))
+    if but:
+        t = t.where(~F.col("path").endswith(but))
+    t = t.where(F.trim("line") != "").withColumn("_id", F.monotonically_increasing_id())
+    splits = t.groupBy("path", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("path").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("path", "_at", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return attach(t, splits, ["path", "_at"], ["_id"]).select("path", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+
+
+def below_header(rows: DataFrame, is_header: Column) -> DataFrame:
+    """``rows`` without first lines that are headers, and ``row``: the number of each line among those of its file that stay."""
+    heads = rows.where("line_no = 0").groupBy("path").agg(F.max(is_header.cast("int")).alias("_h"))
+    return attach(rows, heads, ["path"], ["line_no"]).where(F.col("line_no") >= F.col("_h")).withColumn("row", F.col("line_no") - F.col("_h")).drop("_h")
 
 
 def matrix_scan(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """Square matrices from CSV, TSV or TXT: ``path, i, j, v``; a first line that is not numeric is skipped."""
-    return matrix_cells(lines(spark, paths, glob))
+    """Matrices from CSV, TSV, TXT or NPY files below folders: ``path, i, j, v``; a first line that is not numeric is skipped.
+
+    An NPY file is split by rows, a text by lines.
+    """
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    found = []
+    names = {root: npy.listed(root, glob or "*")[2] for root in roots}
+    texts = [root for root, n in names.items() if any(not p.endswith(".npy") for p in n)]
+    if texts:
+        found.append(matrix_cells(lines(spark, texts, glob, but=".npy")))
+    for root, n in names.items():
+        if any(p.endswith(".npy") for p in n):
+            x = array_frames(spark, root, (glob or "*").removesuffix(".npy").removesuffix(".*") + ".npy")
+            found.append(x.select(F.col("recording").alias("path"), F.col("t").alias("i"), F.posexplode("x").alias("j", "v")))
+    if not found:
+        raise FileNotFoundError(f"no {glob} below {paths}")
+    return reduce(DataFrame.unionByName, found)
 
 
 def matrix_cells(rows: DataFrame) -> DataFrame:
-    t = rows
+    """Cells of matrices from lines numbered without gaps, as ``lines`` gives them; what is no number becomes NULL."""
     sep = F.when(F.col("path").endswith(".tsv"), "\t").when(F.col("path").endswith(".txt"), "\\s+|,").otherwise(",")
-    cells = t.select("path", "line_no", F.posexplode(F.split(F.trim("line"), sep)).alias("j", "_v"))
-    num = F.expr("try_cast(trim(_v) AS double)")
-    cells = cells.withColumn("v", num)
-    header = cells.groupBy("path", "line_no").agg(F.bool_and(F.col("v").isNotNull()).alias("_ok"))
-    good = header.where("_ok OR line_no > 0").select("path", "line_no", (F.dense_rank().over(
-        W.partitionBy("path").orderBy("line_no")) - 1).alias("i"))
-    return cells.join(good, ["path", "line_no"]).select("path", "i", "j", "v")
+    t = rows.withColumn("_v", F.transform(F.split(F.trim("line"), sep), lambda c: F.trim(c).try_cast("double")))
+    body = below_header(t.drop("line"), F.exists("_v", lambda c: c.isNull()))
+    return body.select("path", F.col("row").alias("i"), F.posexplode("_v").alias("j", "v"))
 
 
 def label_scan(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
@@ -41,10 +73,9 @@ def label_scan(spark: SparkSession, paths: str | Sequence[str], glob: str | None
 
 
 def label_rows(rows: DataFrame) -> DataFrame:
-    t = rows
-    header = (F.col("line_no") == 0) & F.lower("line").rlike("label|name|region")
-    t = t.where(~header).withColumn("label", F.trim(F.element_at(F.split("line", "[\t,]"), -1)))
-    return t.select("path", (F.row_number().over(W.partitionBy("path").orderBy("line_no")) - 1).alias("region"), "label")
+    """Labels of lines numbered without gaps."""
+    body = below_header(rows, F.lower("line").rlike("label|name|region"))
+    return body.select("path", F.col("row").alias("region"), F.trim(F.element_at(F.split("line", "[\t,]"), -1)).alias("label"))
 
 
 def event_scan(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ def test_quantiles(spark):
     rng = np.random.default_rng(3)
     data = {"a": rng.normal(size=501), "b": np.ones(10), "c": np.array([4.0]), "d": np.repeat([1.0, 2.0, 1e9], [50, 3, 1])}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("a", float("nan")), ("a", None)], "k string, v double")
-    got = quantiles(df, ["k"], "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, bins=16).toPandas().set_index("k")
+    got = quantiles(df, ["k"], "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, accuracy=16).toPandas().set_index("k")
     for k, v in data.items():
         np.testing.assert_allclose(got.loc[k, ["p5", "p50", "p95"]].astype(float), np.percentile(v, [5, 50, 95]))
     mm = median_mad(df, ["k"], "v").toPandas().set_index("k")

@@ -87,6 +87,84 @@ def test_trials(spark, tree):
     assert cond == "matched"
 
 
+def test_unreadable_trials_are_counted(spark, tmp_path):
+    with tarfile.open(tmp_path / "a.tar.gz", mode="w:gz") as t:
+        for name, raw in (("x.rd.gz", b"no gzip"), ("y.rd.000", b"\xff\xfe"), ("z.rd.001", b"0 FP1 0 1.5"), ("w.rd.gz", gzip.compress(b"0 FP1 0 1.5" * 99)[:-20])):
+            info = tarfile.TarInfo(name)
+            info.size = len(raw)
+            t.addfile(info, io.BytesIO(raw))
+    lines = arrays.trial_lines(spark, str(tmp_path))
+    assert lines.where("line IS NULL").count() == 3
+    assert [r["value"] for r in arrays.parse_trials(lines).collect()] == [1.5]
+
+
+def test_array_files_are_split_by_rows(spark, tmp_path):
+    x = np.random.default_rng(0).standard_normal((200_000, 3))
+    np.save(tmp_path / "c.npy", x)
+    np.save(tmp_path / "f.npy", np.asfortranarray(x.astype(">f4")))
+    np.save(tmp_path / "i.npy", np.arange(7, dtype=np.int16))
+    np.save(tmp_path / "none.npy", np.empty((0, 2)))
+    df = arrays.array_frames(spark, str(tmp_path), split_bytes=1 << 20)
+    assert df.rdd.getNumPartitions() >= 7
+    got = df.toPandas()
+    for name, want in (("c", x), ("f", x.astype("f4").astype(float)), ("i", np.arange(7.0)[:, None])):
+        rows = got[got["recording"].str.endswith(f"/{name}.npy")].sort_values("t")
+        np.testing.assert_array_equal(np.stack(rows["x"]), want)
+        assert rows["t"].tolist() == list(range(len(want)))
+    assert len(got) == 400_007
+    small = arrays.array_frames(spark, str(tmp_path), "[in]*.npy")
+    assert small.rdd.getNumPartitions() == 1 and small.count() == 7
+
+
+def test_bad_array_files(spark, tmp_path):
+    np.save(tmp_path / "cube.npy", np.zeros((2, 2, 2)))
+    with pytest.raises(Exception, match="one or two axes"):
+        arrays.array_frames(spark, str(tmp_path)).count()
+
+
+def test_arrays_are_written_and_read(spark, tmp_path):
+    rows = [(f"r{k % 3}", k, [float(k), -float(k)]) for k in range(5000)]
+    df = spark.createDataFrame(rows, "recording string, t long, x array<double>").repartition(5)
+    paths = arrays.write_arrays(df, str(tmp_path / "out")).orderBy("path").collect()
+    assert [(r["path"].rsplit("/", 1)[-1], r["rows"]) for r in paths] == [("r0.npy", 1667), ("r1.npy", 1667), ("r2.npy", 1666)]
+    np.testing.assert_array_equal(np.load(tmp_path / "out" / "r1.npy"), [[k, -k] for k in range(1, 5000, 3)])
+    assert arrays.array_frames(spark, str(tmp_path / "out")).count() == 5000
+
+
+@pytest.fixture
+def many_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_line_numbers_over_splits(spark, tmp_path, many_splits):
+    (tmp_path / "a.txt").write_text("".join(f"a{k}\n" if k % 10 else "  \n" for k in range(9000)))
+    (tmp_path / "b.txt").write_text("\r\n".join(f"b{k}" for k in range(3)))
+    got = text.lines(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 5
+    rows = [(r["path"].rsplit("/", 1)[-1], r["line_no"], r["line"]) for r in got.collect()]
+    want = [("a.txt", n, f"a{k}") for n, k in enumerate(k for k in range(9000) if k % 10)] + [("b.txt", k, f"b{k}") for k in range(3)]
+    assert sorted(rows) == sorted(want)
+
+
+def test_matrices_over_splits(spark, tmp_path, many_splits):
+    m = np.round(np.random.default_rng(1).standard_normal((2000, 5)), 4)
+    np.savetxt(tmp_path / "x_connectivity.csv", m, delimiter=",", header="a,b,c,d,e", comments="", fmt="%.4f")
+    np.savetxt(tmp_path / "y_connectivity.tsv", m, delimiter="\t", fmt="%.4f")
+    np.save(tmp_path / "z_connectivity.npy", m)
+    got = text.matrix_scan(spark, str(tmp_path), "*_connectivity.*").toPandas()
+    assert got["path"].nunique() == 3
+    for _, part in got.groupby("path"):
+        np.testing.assert_array_equal(part.pivot(index="i", columns="j", values="v").to_numpy(), m)
+    (tmp_path / "labels.tsv").write_text("index\tname\n" + "".join(f"{k}\tR{k}\n" for k in range(3000)))
+    labels = text.label_scan(spark, str(tmp_path), "labels.tsv").collect()
+    assert sorted((r["region"], r["label"]) for r in labels) == [(k, f"R{k}") for k in range(3000)]
+    (tmp_path / "events.tsv").write_text("onset\tduration\ttrial_type\n" + "".join(f"{k}\t1\tgo\n" for k in range(3000)))
+    assert sorted(r["onset"] for r in text.event_scan(spark, str(tmp_path), "events.tsv").collect()) == [float(k) for k in range(3000)]
+
+
 def test_sinks(spark, tmp_path):
     empty = spark.createDataFrame([], "a int")
     assert sinks.write_stats(empty, str(tmp_path / "none")) is False and not (tmp_path / "none").exists()
