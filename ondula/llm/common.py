@@ -73,21 +73,25 @@ def look_up(rows: DataFrame, table: DataFrame, on: list[str], row_bytes: int, ho
 def units(placed: DataFrame, key: str, member: str, crowd: int) -> DataFrame:
     """``placed`` with ``unit`` (long), ``own`` and ``other`` (int): all members of a key share a unit, but for crowded keys.
 
-    Keys are counted in ``CELLS`` cells. Keys of cells with over ``crowd`` rows beyond four times their share are dealt to tiles by a hash of
+    Rows are counted in ``CELLS`` cells first, then the keys of cells with over ``crowd`` rows one by one. A key with over ``crowd`` rows, whatever the size of
+    the table, is dealt to tiles by a hash of
     the member; every two tiles make a unit, so each pair of members meets, and many tasks share the work. A member's own tile is ``own``; ``other`` is the second tile of
     the unit, the same one in the unit of a tile with itself. So one row tells which tiles its unit is for, whoever else is in it.
     """
     placed = placed.withColumn("__cell", F.pmod(F.hash(key), F.lit(CELLS)))
-    counts = written(placed.groupBy("__cell").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    crowded = counts.where(F.col("n") > crowd + 4 * total / CELLS).select("__cell", F.ceil(F.col("n") / crowd).cast("int").alias("__tiles"))
+    counts = written(placed.groupBy("__cell").agg(F.count("*").alias("n"))).where(F.col("n") > crowd).select("__cell")
+    alone = placed.drop("__cell").withColumn("unit", F.col(key).cast("long")).withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+    if counts.isEmpty():
+        return alone
+    sizes = placed.join(F.broadcast(counts), "__cell", "left_semi").groupBy(key).agg(F.count("*").alias("n"))
+    crowded = written(sizes.where(F.col("n") > crowd).select(key, F.ceil(F.col("n") / crowd).cast("int").alias("__tiles")))
     if crowded.isEmpty():
-        return placed.withColumn("unit", F.col(key).cast("long")).withColumn("own", F.lit(0)).withColumn("other", F.lit(0)).drop("__cell")
-    tiled = placed.join(F.broadcast(crowded), "__cell", "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1)))
+        return alone
+    tiled = look_up(placed.drop("__cell"), crowded, [key], 24, "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1)))
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64(member), F.col("__tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
     pair = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
-    return tiled.withColumn("unit", F.when(F.col("__tiles") == 1, F.col(key).cast("long")).otherwise(pair)).drop("__cell", "__tiles")
+    return tiled.withColumn("unit", F.when(F.col("__tiles") == 1, F.col(key).cast("long")).otherwise(pair)).drop("__tiles")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 WINDOW = 10
 #: Characters of benchmark text in one automaton. A larger benchmark is read in several, each over all texts.
@@ -68,6 +70,11 @@ def scan(text: str | None, machine: Machine) -> tuple[int, list[int], list[tuple
     if marks is None:
         return len(words), [], [], []
     hit = [w for w, mark in enumerate(marks) if mark]
+    return len(words), hit, merged(text, hit), sorted(items)
+
+
+def merged(text: str, hit: Sequence[int]) -> list[tuple[int, int]]:
+    """The spans of the words numbered ``hit`` (ascending) in ``text``, neighbours as one."""
     at = [m.span() for m in _WORD.finditer(text)]
     spans: list[tuple[int, int]] = []
     for k, w in enumerate(hit):
@@ -75,7 +82,12 @@ def scan(text: str | None, machine: Machine) -> tuple[int, list[int], list[tuple
             spans[-1] = spans[-1][0], at[w][1]
         else:
             spans.append(at[w])
-    return len(words), hit, spans, sorted(items)
+    return spans
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _merged(text: pd.Series, hit: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "end": b} for a, b in merged(t or "", h)] for t, h in zip(text, hit)])
 
 
 _BUILT: dict[str, Machine] = {}
@@ -102,7 +114,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     A null or empty text has no words and no hits; so has every text if the benchmark is empty. Items may repeat an id or a text. Columns of ``docs``
     with the new names are replaced. The benchmark is the query set: it is cut into blocks of ``block_chars`` characters, one at a time reaches
-    the driver and then the tasks. With one block no row of ``docs`` is shuffled; with more, each block's hits are joined by the text's digest.
+    the driver and then the tasks. With one block no row of ``docs`` is shuffled; with more, each block's hits are joined by the text's digest,
+    and spans are those of all hits together.
     """
     named = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -120,11 +133,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for k in range(n):
         part = texts.select("__md5", _column(load(k), docs, window)("__text").alias("f")).where(F.size("f.hit") > 0).distinct()
         hits = part if hits is None else hits.unionByName(part)
-    gathered = hits.groupBy("__md5").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"f.{c}")))).alias(c) for c in ("hit", "spans", "items")])
+    gathered = hits.groupBy("__md5").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"f.{c}")))).alias(c) for c in ("hit", "items")])
     nothing = _column([], docs, window)(F.col(text))
-    joined = docs.withColumn("__md5", digest).withColumn("__none", nothing).join(gathered.select("__md5", F.struct("hit", "spans", "items").alias("__hits")), "__md5", "left")
-    both = F.struct(F.col("__none.n_words"), *[F.coalesce(F.col(f"__hits.{c}"), F.col(f"__none.{c}")).alias(c) for c in ("hit", "spans", "items")])
-    return _spread(joined.withColumn("__found", both).drop("__md5", "__none", "__hits"))
+    joined = docs.withColumn("__md5", digest).withColumn("__none", nothing).join(gathered.select("__md5", F.struct("hit", "items").alias("__hits")), "__md5", "left")
+    joined = joined.withColumn("__spans", F.when(F.col("__hits").isNotNull(), _merged(F.when(F.col("__hits").isNotNull(), F.col(text)), F.coalesce("__hits.hit", F.array().cast("array<int>")))))
+    both = F.struct(F.col("__none.n_words"), F.coalesce("__hits.hit", "__none.hit").alias("hit"), F.coalesce("__spans", "__none.spans").alias("spans"),
+                    F.coalesce("__hits.items", "__none.items").alias("items"))
+    return _spread(joined.withColumn("__found", both).drop("__md5", "__none", "__hits", "__spans"))
 
 
 def _spread(df: DataFrame) -> DataFrame:

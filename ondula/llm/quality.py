@@ -73,6 +73,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     return np.frombuffer(trained[0][0], "<f4") if trained else np.zeros((1 << BITS) + 1, "<f4")
 
 
+def learnt(weights: np.ndarray) -> bool:
+    """Whether ``fit`` found any labelled row."""
+    return bool(weights.any())
+
+
 def score(text: Column, weights: np.ndarray, df: DataFrame) -> Column:
     """The probability, 0 to 1, that a text is of label 1; null is scored like the empty text."""
     sent = df.sparkSession.sparkContext.broadcast(weights)

@@ -182,6 +182,17 @@ def links(fps: DataFrame) -> DataFrame:
     return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare, "u long, v long")
 
 
+def _classes(own: DataFrame, key: str) -> DataFrame:
+    """(fingerprint, root, component_id) of the fingerprints of rows with a key: ``root`` names the class, ``component_id`` is its smallest key."""
+    classes = written(own.where(F.col(key).isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("rep")))
+    linked = components(links(classes.select(F.col("fingerprint").alias("fp"))))
+    linked = written(classes.join(linked, F.col("node") == F.col("fingerprint")).select("fingerprint", "rep", "root"))
+    smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    joined = written(linked.join(written(smallest), "root").select("fingerprint", "root", "component_id"))
+    return written(classes.join(joined, "fingerprint", "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "rep").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, component_id) of every row: the smallest key reachable by links, its own included.
 
@@ -190,19 +201,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     each with the class of its own text. An empty table gives an empty result; other columns are not read.
     """
     own = written(fingerprints(docs.select(key, text), text).select(key, "fingerprint"))
-    classes = own.where(F.col(key).isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("rep"))
-    classes = written(classes)
-    linked = components(links(classes.select(F.col("fingerprint").alias("fp"))))
-    linked = written(classes.join(linked, F.col("node") == F.col("fingerprint")).select("fingerprint", "rep", "root"))
-    smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    joined = written(linked.join(written(smallest), "root").select("fingerprint", "component_id"))
-    classes = classes.join(joined, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "rep").alias("component_id"))
-    return own.join(written(classes), "fingerprint", "left").select(
+    return own.join(_classes(own, key).drop("root"), "fingerprint", "left").select(
         key, "fingerprint", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The document with the smallest key of each class, its columns as they were; rows without a key stay. A repeated key is kept once."""
-    kept = near_duplicates(docs, text, key).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    with_key = docs.join(kept, key, "left_semi").dropDuplicates([key])
-    return with_key.unionByName(docs.where(F.col(key).isNull()))
+    """One document of each class, the one with the smallest key, its columns as they were; rows without a key stay.
+
+    Texts of different classes stay, whether they share a key or not. Of rows of a class that share the smallest key one is kept, the first by
+    fingerprint, by the digest of the text and by a hash of all columns, so reruns agree.
+    """
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    own = written(fingerprints(docs.select(key, text), text).select(key, digest.alias("__digest"), "fingerprint"))
+    classes = own.where(F.col(key).isNotNull()).join(_classes(own, key), "fingerprint").where(F.col(key) == F.col("component_id"))
+    kept = classes.groupBy("root").agg(F.min(F.struct("fingerprint", "__digest", key)).alias("__first"))
+    kept = written(kept.select(F.col("__first")[key].alias(key), F.col("__first.__digest").alias("__digest")))
+    found = docs.withColumn("__digest", digest).join(kept, [key, "__digest"], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = found.groupBy(key, "__digest").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+    return one.unionByName(docs.where(F.col(key).isNull()))

@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     """Weights from at most ``positive_rows`` confirmed toxic texts and ``unlabelled_rows`` texts of ``docs`` whatever their label.
 
     Both are the first by a hash of the key; the chosen keys are broadcast (bounded by these parameters) and their texts go to one task. The class
-    prior is the share of label 1 among all rows of ``labels``. Without a confirmed text every score is near 0.
+    prior is the share of label 1 among all rows of ``labels``. A key with differing labels counts as toxic. Without a confirmed text every score is near 0.
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     prior = marked.agg(F.avg("__y")).first()[0] or 0.0

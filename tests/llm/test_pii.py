@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -86,3 +88,46 @@ def test_edges(spark):
     assert pii.pseudonymise(df.where("false"), KEY).count() == 0
     plan = pii.pseudonymise(df, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def greedy(run):
+    """The cards in words of digits (none of three or six, which could be a phone number), by trying at each word the longest text that ends with a word."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", run)]
+    out, free = [], 0
+    for a, _ in words:
+        if a < free:
+            continue
+        for b in sorted((b for _, b in words if a < b <= a + pii.LONGEST), reverse=True):
+            if re.fullmatch(pii.PATTERNS["card"], run[a:b]) and luhn(run[a:b]):
+                out.append((a, b))
+                free = b
+                break
+    return out
+
+
+def test_values_in_long_runs_equal_plain_search(spark):
+    rng = random.Random(5)
+    cards = ["4111 1111 1111 1111", "5500 0055 5555 5559", "340000000000009", "6011-0009-9013-9424"]
+    runs = []
+    for _ in range(12):
+        parts = [rng.choice(cards) if rng.random() < 0.2 else str(rng.randrange(10 ** (n := rng.choice([1, 2, 5, 7, 8])) // 10, 10 ** n)) for _ in range(150)]
+        if rng.random() < 0.5:
+            parts[70] = "7" * 120
+        runs.append(" ".join(parts))
+    for run, (text, found) in zip(runs, one(spark, [f"n: {r}, end" for r in runs])):
+        want = greedy(run)
+        assert len(found) == len(want) > 15 and {k for k, _ in found} == {"card"}
+        rest, at = "", 0
+        for (a, b), (_, new) in zip(want, found):
+            rest += run[at:a] + new
+            at = b
+        assert text == f"n: {rest}{run[at:]}, end"
+
+
+def test_time_grows_with_the_length(spark):
+    blanks = " ".join(str(k % 97) for k in range(60_000))
+    solid, upper = "12" * 500_000, "AB12 " * 30_000
+    start = time.time()
+    out = one(spark, [blanks, solid, upper])
+    assert time.time() - start < 120
+    assert out[1] == (solid, []) and len(out[0][0]) == len(blanks) and len(out[2][0]) == len(upper)

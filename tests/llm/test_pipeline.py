@@ -77,3 +77,35 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+CLASH = ("n_hit", "items", "spans", "n_words", "pii", "size", "fingerprint", "component_id", "score")
+
+
+def odd_documents(spark):
+    """Repeated ids and rows, null and empty texts, columns named like those of the operators."""
+    rows = [(1, "a long text about rivers and their banks in spring", "en", "s", 50), (1, "another text altogether with other words inside it", "en", "s", 50),
+            (1, "another text altogether with other words inside it", "en", "s", 50), (2, None, None, None, None), (3, "", "de", "t", 0), (4, None, "en", None, None),
+            (None, "no id but words 4111 1111 1111 1111 here", "en", "s", 40), (5, "x " * 60000 + "anna@example.com", "en", "t", 120016)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    return df.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASH])
+
+
+def test_odd_documents_pass_every_stage(spark):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in CLASH), name
+    assert sorted(r.text for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).where("doc_id = 1").collect()) == sorted(
+        {r.text for r in docs.where("doc_id = 1").collect()})
+    texts = [r.text for r in corpus_pipeline.pseudonymous(spark, docs, SF).collect()]
+    assert len(texts) == 8 and not any("4111 1111" in (t or "") or "anna@" in (t or "") for t in texts)
+    assert set(docs.columns) <= set(corpus_pipeline.mixed(spark, docs, SF).columns)
+
+
+def test_without_labels_all_stay(spark, monkeypatch):
+    docs = odd_documents(spark)
+    real = queries.table
+    monkeypatch.setattr(queries, "table", lambda s, d, name: real(s, d, name).where("false") if name == "labels" else real(s, d, name))
+    assert corpus_pipeline.good_quality(spark, docs, SF).count() == docs.count()

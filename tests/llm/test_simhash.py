@@ -82,3 +82,24 @@ def test_edges_and_deduplication(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 9]
     assert kept.columns == docs.columns
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_texts_that_share_a_key_stay(spark):
+    rows = [(1, "first of the texts", 1), (1, "quite another one here", 2), (1, "first of the texts", 1), (1, "First of the texts", 3), (2, "first of the texts", 4), (3, "third one that stands alone", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = sorted((r.doc_id, r.text.lower()) for r in simhash.deduplicated(docs).collect())
+    assert kept == [(1, "first of the texts"), (1, "quite another one here"), (3, "third one that stands alone")]
+    first = [tuple(r) for r in simhash.deduplicated(docs).orderBy("doc_id", "text").collect()]
+    assert first == [tuple(r) for r in simhash.deduplicated(docs.repartition(5, "n")).orderBy("doc_id", "text").collect()]
+
+
+def test_units_are_bounded_whatever_the_total(spark):
+    """A key of 3,000 members beside two million others: no unit holds more than twice the bound."""
+    rows = spark.range(0, 2_000_000, 1, 8).select((F.col("id") % 200_000).alias("key"), F.col("id").alias("member"))
+    placed = rows.unionByName(spark.range(3000).select(F.lit(-5).cast("long").alias("key"), F.col("id").alias("member")))
+    met = common.units(placed, "key", "member", 100)
+    assert met.groupBy("unit").count().agg(F.max("count")).first()[0] <= 2 * 1.5 * 100
+    hot = met.where("key = -5")
+    tiles = hot.agg(F.max("own")).first()[0] + 1
+    assert tiles == 30 and hot.count() == 3000 * tiles
+    assert met.where("key <> -5").count() == 2_000_000
