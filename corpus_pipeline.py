@@ -17,29 +17,39 @@ from ondula.llm.common import written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with names that no operator gives to its own columns."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in docs.columns])
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`own_{c}`").alias(c) for c in docs.columns])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at ``queries.GOOD`` or more; it learns from the labelled rows of the given documents."""
+    """Documents that the classifier scores at ``queries.GOOD`` or more; it learns from the labelled rows of the given documents, and keeps all where there are none."""
     labels = queries.table(spark, sf_dir, "labels").where(~quality.held_out("doc_id", 4, 2))
-    return docs.where(quality.score(F.col("text"), quality.fit(docs, labels), docs) >= queries.GOOD)
+    weights = quality.fit(docs, labels)
+    return docs.where(quality.score(F.col("text"), weights, docs) >= queries.GOOD) if quality.learnt(weights) else docs
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
+    """The document with the smallest id of every group of near-duplicates; different texts that share an id stay."""
     return simhash.deduplicated(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontamination.contamination(docs, queries.table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = decontamination.contamination(_apart(docs), queries.table(spark, sf_dir, "benchmark"), text="own_text")
+    return _back(found.where("n_hit = 0"), docs)
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data; ``n_chars`` is that of the new text."""
-    done = pii.pseudonymise(docs, queries.PII_KEY)
+    """All documents, with pseudonyms for personal data; ``n_chars`` is that of the new text. The key is the session's ``spark.ondula.pii.key``."""
+    done = pii.pseudonymise(_apart(docs), spark.conf.get("spark.ondula.pii.key", queries.PII_KEY), text="own_text")
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+        done = done.withColumn("own_n_chars", F.length("own_text").cast(docs.schema["n_chars"].dataType))
+    return _back(done, docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
