@@ -17,6 +17,7 @@ from ondula.operators import fourier, ordered
 from ondula.operators.aggregates import permutation_p
 from ondula.operators.attach import attach
 from ondula.operators.gram import gram
+from ondula.operators.lines import DIAGONAL, VERTICAL, lines_of_pairs
 from ondula.operators.quantiles import quantiles
 from ondula.operators.ranking import order_modes
 from ondula.operators.tiles import pairs_within, template_counts
@@ -58,25 +59,17 @@ def recurrence_rate(pairs: DataFrame, frames: DataFrame, key: str = "recording")
                                          F.coalesce(F.try_divide(F.col("_c"), F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("recurrence_rate"))
 
 
-def diagonal_lines(pairs: DataFrame, key: str = "recording") -> DataFrame:
-    """Lengths of the runs on every diagonal; both triangles are alike, so each run counts twice."""
-    d = pairs.select(key, (F.col("j") - F.col("i")).alias("_d"), "i")
-    island = F.col("i") - F.row_number().over(W.partitionBy(key, "_d").orderBy("i"))
-    return d.withColumn("_r", island).groupBy(key, "_d", "_r").agg(F.count("*").alias("length")).select(key, "length")
-
-
-def vertical_lines(pairs: DataFrame, frames: DataFrame, key: str = "recording") -> DataFrame:
-    """Lengths of the runs in every column, the diagonal point included."""
-    diag = frames.select(key, F.col("t").alias("c"), F.col("t").alias("r"))
-    both = pairs.select(key, F.col("j").alias("c"), F.col("i").alias("r")).unionByName(
-        pairs.select(key, F.col("i").alias("c"), F.col("j").alias("r"))).unionByName(diag)
-    island = F.col("r") - F.row_number().over(W.partitionBy(key, "c").orderBy("r"))
-    return both.withColumn("_r", island).groupBy(key, "c", "_r").agg(F.count("*").alias("length")).select(key, "length")
+def rate_of_lines(lines: DataFrame, frames: DataFrame, key: str = "recording") -> DataFrame:
+    """``recurrence_rate`` from the histogram of lines: diagonal runs hold every recurrent point above the main diagonal."""
+    n = frames.groupBy(key).agg(F.count("*").alias("n"))
+    c = lines.where(F.col("kind") == DIAGONAL).groupBy(key).agg((2 * F.sum(F.col("length") * F.col("n"))).alias("_c"))
+    return n.join(c, key, "left").select(key, "n", F.coalesce("_c", F.lit(0)).alias("points"),
+                                         F.coalesce(F.try_divide(F.col("_c"), F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("recurrence_rate"))
 
 
 def diagonal_measures(lines: DataFrame, rate: DataFrame, l_min: int = 2, key: str = "recording") -> DataFrame:
-    """Determinism, mean and largest length, entropy of the length histogram."""
-    h = lines.groupBy(key, "length").agg((2 * F.count("*")).alias("_n"))
+    """Determinism, mean and largest length, entropy of the length histogram; both triangles are alike, so each run counts twice."""
+    h = lines.where(F.col("kind") == DIAGONAL).select(key, "length", (2 * F.col("n")).alias("_n"))
     ok = F.col("length") >= l_min
     p = F.when(ok, F.col("_n") / F.sum(F.when(ok, F.col("_n"))).over(W.partitionBy(key)))
     m = h.withColumn("_p", p).groupBy(key).agg(
@@ -92,8 +85,9 @@ def diagonal_measures(lines: DataFrame, rate: DataFrame, l_min: int = 2, key: st
 def vertical_measures(lines: DataFrame, rate: DataFrame, v_min: int = 2, key: str = "recording") -> DataFrame:
     """Laminarity (diagonal points in the denominator), trapping time, largest length."""
     ok = F.col("length") >= v_min
-    m = lines.groupBy(key).agg(F.sum(F.when(ok, F.col("length"))).alias("_points"), F.count(F.when(ok, 1)).alias("_lines"),
-                               F.max("length").alias("max_vertical_length"))
+    m = lines.where(F.col("kind") == VERTICAL).groupBy(key).agg(
+        F.sum(F.when(ok, F.col("length") * F.col("n"))).alias("_points"), F.sum(F.when(ok, F.col("n"))).alias("_lines"),
+        F.max("length").alias("max_vertical_length"))
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return rate.join(m, key, "left").select(
         key, z(F.try_divide(F.col("_points"), F.col("points") + F.col("n"))).alias("laminarity"),
@@ -101,11 +95,16 @@ def vertical_measures(lines: DataFrame, rate: DataFrame, v_min: int = 2, key: st
         F.coalesce("max_vertical_length", F.lit(0)).alias("max_vertical_length"))
 
 
-def recurrence_summary(pairs: DataFrame, frames: DataFrame, l_min: int = 2, v_min: int = 2, key: str = "recording") -> DataFrame:
-    pairs = cut(pairs)
-    rate = recurrence_rate(pairs, frames, key)
-    return rate.select(key, "recurrence_rate").join(diagonal_measures(diagonal_lines(pairs, key), rate, l_min, key), key).join(
-        vertical_measures(vertical_lines(pairs, frames, key), rate, v_min, key), key)
+def recurrence_measures(lines: DataFrame, frames: DataFrame, l_min: int = 2, v_min: int = 2, key: str = "recording") -> DataFrame:
+    """All measures of a histogram of lines, as ``recurrence_lines`` or ``lines_of_pairs`` give it."""
+    lines = cut(lines)
+    rate = rate_of_lines(lines, frames, key)
+    return rate.select(key, "recurrence_rate").join(diagonal_measures(lines, rate, l_min, key), key).join(vertical_measures(lines, rate, v_min, key), key)
+
+
+def recurrence_summary(pairs: DataFrame, frames: DataFrame, l_min: int = 2, v_min: int = 2, key: str = "recording", block: int = 512) -> DataFrame:
+    """All measures of given pairs; from frames, ``recurrence_measures`` of ``recurrence_lines`` needs no pairs."""
+    return recurrence_measures(lines_of_pairs(pairs, frames, key, block), frames, l_min, v_min, key)
 
 
 # ----------------------------------------------------------------------- entropy

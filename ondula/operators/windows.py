@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ondula.functions.types import DOUBLES, LONGS
 from ondula.operators import ordered
 from ondula.operators.aggregates import connectivity, ks_statistic
 from ondula.operators.attach import attach
 from ondula.operators.quantiles import quantiles
+from ondula.operators.tiles import pack, squares
 from ondula.session import cut
 
 PI = 3.141592653589793
@@ -107,18 +112,40 @@ def window_connectivity(frames: DataFrame, width: int, step: int, key: str = "re
     return connectivity(slide(frames, width, step, key), [key, "win"]).where("i < j")
 
 
+WINDOWS_PER_TILE = 32
+
+
 def connectivity_dynamics(frames: DataFrame, width: int, step: int, key: str = "recording") -> DataFrame:
-    """Pearson between the connectivity patterns of every two windows: ``key, w1, w2, r``."""
+    """Pearson between the connectivity patterns of every two windows: ``key, w1, w2, r``.
+
+    Patterns are scaled to unit vectors and packed into tiles of windows. Tiles meet in squares, so a recording is not one key; each pair of tiles is one matrix
+    product, and the pairs of a tile above the diagonal give those below it too.
+    """
     fc = cut(window_connectivity(frames, width, step, key))
     stat = fc.groupBy(key, "win").agg(F.avg("r").alias("_m"), (F.stddev_pop("r") * F.sqrt(F.count("*"))).alias("_n"))
     unit = (F.col("r") - F.col("_m")) / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)
     rows = fc.join(stat, [key, "win"]).groupBy(key, "win").agg(
-        F.sort_array(F.collect_list(F.struct("i", "j", unit.alias("r")))).alias("_c")).select(key, "win", F.col("_c.r").alias("p"))
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    rows = cut(rows)  # windows x pairs; read twice below
-    a = rows.select(key, F.col("win").alias("w1"), F.col("p").alias("_a"))
-    b = rows.select(key, F.col("win").alias("w2"), F.col("p").alias("_b"))
-    return a.join(b, key).select(key, "w1", "w2", add(F.zip_with("_a", "_b", lambda u, v: u * v)).alias("r"))
+        F.sort_array(F.collect_list(F.struct("i", "j", unit.alias("r")))).alias("_c")).select(key, F.col("win").alias("t"), F.col("_c.r").alias("x"))
+    tiles = cut(pack(rows, [key], F.floor(F.col("t") / WINDOWS_PER_TILE).cast("int")))  # windows x pairs; read twice below
+    side, every = squares(tiles, "blk")
+    a = tiles.select(key, side.alias("_row"), every.alias("_col"), F.col("blk").alias("ba"), F.col("t").alias("ta"), F.col("x").alias("xa"))
+    b = tiles.select(key, every.alias("_row"), side.alias("_col"), F.col("blk").alias("bb"), F.col("t").alias("tb"), F.col("x").alias("xb"))
+    met = a.join(b, [key, "_row", "_col"]).where("ba <= bb")
+
+    @F.pandas_udf(T.StructType([T.StructField("w1", LONGS), T.StructField("w2", LONGS), T.StructField("r", DOUBLES)]))
+    def products(ta: pd.Series, xa: pd.Series, tb: pd.Series, xb: pd.Series) -> pd.DataFrame:
+        out = {"w1": [], "w2": [], "r": []}
+        for t, x, u, y in zip(ta, xa, tb, xb):
+            t, u = np.asarray(t), np.asarray(u)
+            r = (np.asarray(x, dtype=float).reshape(len(t), -1) @ np.asarray(y, dtype=float).reshape(len(u), -1).T).ravel()
+            left, right = np.repeat(t, len(u)), np.tile(u, len(t))
+            mirror = () if t[0] == u[0] else (1,)
+            for c, one, other in (("w1", left, right), ("w2", right, left), ("r", r, r)):
+                out[c].append(np.concatenate([one, *[other for _ in mirror]]))
+        return pd.DataFrame(out)
+
+    hit = met.select(key, products("ta", "xa", "tb", "xb").alias("_p"))
+    return hit.select(key, F.explode(F.arrays_zip("_p.w1", "_p.w2", "_p.r")).alias("_z")).select(key, "_z.w1", "_z.w2", "_z.r")
 
 
 def dynamics_distance(a: DataFrame, b: DataFrame) -> DataFrame:

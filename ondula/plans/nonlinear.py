@@ -7,6 +7,7 @@ from ondula.operators import graph as G
 from ondula.operators import nonlinear as N
 from ondula.operators import visibility as V
 from ondula.operators import windows as Wn
+from ondula.operators.lines import recurrence_lines
 from ondula.operators.tiles import template_counts
 from ondula.plans import adapters as ad
 from ondula.plans.adapters import with_
@@ -41,6 +42,11 @@ def _pairs(spark, sf):
     return cut(N.recurrence(f, 0.35, metric="supremum", block=128)), f
 
 
+def _lines(spark, sf):
+    f = ad.frames(spark, sf)
+    return cut(recurrence_lines(f, 0.35, metric="supremum", block=128)), f
+
+
 @query("nlt_03_recurrence_rate", "points:l recurrence_rate:8", RP + "SELECT 2 * (SELECT count(*) FROM p) AS points, 2 * (SELECT count(*) FROM p) / (n * (n - 1)) AS recurrence_rate FROM n")
 def _(spark, sf):
     return N.recurrence_rate(*_pairs(spark, sf))
@@ -56,20 +62,20 @@ VM = ("coalesce((SELECT sum(l) FROM vl WHERE l >= 2) / (2 * (SELECT count(*) FRO
 
 @query("nlt_04_diagonal_lines", "determinism:6 average_diagonal_length:6 max_diagonal_length:l diagonal_entropy:6", RP + DIAG + f"SELECT {DM} FROM n")
 def _(spark, sf):
-    p, f = _pairs(spark, sf)
-    return N.diagonal_measures(N.diagonal_lines(p), N.recurrence_rate(p, f))
+    lines, f = _lines(spark, sf)
+    return N.diagonal_measures(lines, N.rate_of_lines(lines, f))
 
 
 @query("nlt_05_vertical_lines", "laminarity:6 trapping_time:6 max_vertical_length:l", RP + VERT + f"SELECT {VM} FROM n")
 def _(spark, sf):
-    p, f = _pairs(spark, sf)
-    return N.vertical_measures(N.vertical_lines(p, f), N.recurrence_rate(p, f))
+    lines, f = _lines(spark, sf)
+    return N.vertical_measures(lines, N.rate_of_lines(lines, f))
 
 
 @query("nlt_06_recurrence_summary", "recurrence_rate:8 determinism:6 laminarity:6 average_diagonal_length:6 trapping_time:6 max_diagonal_length:l max_vertical_length:l diagonal_entropy:6",
        RP + DIAG + VERT + f"SELECT 2 * (SELECT count(*) FROM p) / (n * (n - 1)) AS recurrence_rate, {DM}, {VM} FROM n")
 def _(spark, sf):
-    return N.recurrence_summary(*_pairs(spark, sf))
+    return N.recurrence_measures(*_lines(spark, sf))
 
 
 TEMPL = with_("samples") + (", r AS (SELECT channel, 0.2 * stddev_samp(value) AS r FROM samples GROUP BY 1), "
