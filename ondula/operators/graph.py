@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,64 +83,105 @@ def global_clustering(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
     return clustering(adjacency, nodes).groupBy("graph").agg(F.avg("clustering").alias("clustering"))
 
 
-def breadth_first(adjacency: DataFrame, nodes: DataFrame) -> list[DataFrame]:
-    """Levels of the search from every node: ``graph, source, node, depth, sigma``.
+#: Words of 64 sources in a batch of searches, and sources in a batch of path counts.
+WORDS, SOURCES = 64, 1024
 
-    ``sigma`` counts the shortest paths. One join per hop; each level is
-    written to the checkpoint folder, so the loop's plan does not grow.
+
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(nodes with ``_i``, their number from 0 in each graph; the largest number)."""
+    idx = cut(ordered.running(nodes.select("graph", "node").distinct(), ["graph"], "node", F.lit(1), "_n").select("graph", "node", (F.col("_n") - 1).alias("_i")))
+    last = idx.agg(F.max("_i")).first()[0]
+    return idx, -1 if last is None else int(last)
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(i, F.lit(64)).cast("int"))
+
+
+def _word(i: Column) -> Column:
+    return F.floor(i / 64).cast("bigint")
+
+
+def hop_counts(adjacency: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """Ordered pairs of nodes by distance: ``graph, depth, n``, for depths from 1.
+
+    The search runs from all nodes of a batch at once. A row per node and 64 sources holds two words, the sources that have
+    reached the node and those that just did; a hop is an OR over the neighbours' words. Only counts are kept from hop to hop and batch to batch.
     """
-    e = cut(adjacency.select("graph", F.col("src").alias("node"), F.col("dst").alias("next")))
-    levels = [cut(nodes.select("graph", F.col("node").alias("source"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")))]
-    # all levels are kept: in a directed graph a node of any earlier level can come up again
-    seen = levels[0].select("graph", "source", "node")
+    e = cut(adjacency.select("graph", F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+    idx, last = _numbered(nodes)
+    key = ["graph", "word", "node"]
+    counts = [idx.select("graph", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("n")).where("false")]
+    for first in range(0, last + 1, 64 * words):
+        own = idx.where(F.col("_i").between(first, first + 64 * words - 1))
+        state = own.select("graph", _word(F.col("_i")).alias("word"), "node", _bit(F.col("_i")).alias("front"), _bit(F.col("_i")).alias("seen"))
+        depth = 0
+        while True:
+            depth += 1
+            come = state.where("front <> 0").join(e, ["graph", "node"]).groupBy("graph", "word", F.col("next").alias("node")).agg(F.bit_or("front").alias("come"))
+            none = F.lit(0).cast("bigint")
+            both = state.select(*key, "seen", none.alias("come")).unionByName(come.select(*key, none.alias("seen"), "come"))
+            merged = both.groupBy(*key).agg(F.bit_or("seen").alias("_s"), F.bit_or("come").alias("_c"))
+            state = cut(merged.select(*key, F.col("_c").bitwiseAND(F.bitwise_not("_s")).alias("front"), F.col("_s").bitwiseOR(F.col("_c")).alias("seen")))
+            new = cut(state.where("front <> 0").groupBy("graph").agg(F.sum(F.bit_count("front")).cast("bigint").alias("n")))
+            if new.isEmpty():
+                break
+            counts.append(new.select("graph", F.lit(depth).alias("depth"), "n"))
+    return reduce(DataFrame.unionByName, counts).groupBy("graph", "depth").agg(F.sum("n").alias("n"))
+
+
+def path_length(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Mean finite, non-zero hop distance over ordered pairs; infinite without any edge."""
+    mean = hop_counts(adjacency, nodes).groupBy("graph").agg((F.sum(F.col("depth") * F.col("n")) / F.sum("n")).alias("path_length"))
+    return nodes.select("graph").distinct().join(mean, "graph", "left").fillna(float("inf"), ["path_length"])
+
+
+def path_counts(edges: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """Levels of the search from numbered ``sources`` over ``edges(graph, node, next)``: ``graph, source, node, sigma``.
+
+    ``sigma`` counts the shortest paths. The nodes that were reached are kept as words of 64 sources. One level is written per hop.
+    """
+    i = F.col("source")
+    levels = [cut(sources.select("graph", F.col("_i").alias("source"), "node", F.lit(1.0).alias("sigma")))]
+    key = ["graph", "word", "node"]
+    seen = None
     while True:
-        step = levels[-1].join(e, ["graph", "node"]).groupBy("graph", "source", F.col("next").alias("node")).agg(
-            F.sum("sigma").alias("sigma"))
-        new = step.join(seen, ["graph", "source", "node"], "left_anti").select(
-            "graph", "source", "node", F.lit(len(levels)).alias("depth"), "sigma")
-        new = cut(new)
+        words = levels[-1].groupBy("graph", _word(i).alias("word"), "node").agg(F.bit_or(_bit(i)).alias("seen"))
+        seen = cut(words if seen is None else seen.unionByName(words).groupBy(*key).agg(F.bit_or("seen").alias("seen")))
+        step = levels[-1].join(edges, ["graph", "node"]).groupBy("graph", "source", F.col("next").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        step = step.withColumn("word", _word(i)).join(seen, key, "left")
+        new = cut(step.where(F.coalesce("seen", F.lit(0)).bitwiseAND(_bit(i)) == 0).select("graph", "source", "node", "sigma"))
         if new.isEmpty():
             return levels
         levels.append(new)
-        seen = seen.unionByName(new.select("graph", "source", "node"))
 
 
-def path_length(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Mean finite, non-zero hop distance over ordered pairs; infinite without any edge."""
-    levels = breadth_first(adjacency, nodes)
-    graphs = nodes.select("graph").distinct()
-    if len(levels) == 1:
-        return graphs.withColumn("path_length", F.lit(float("inf")))
-    reach = levels[1]
-    for lv in levels[2:]:
-        reach = reach.unionByName(lv)
-    mean = reach.groupBy("graph").agg(F.avg("depth").alias("path_length"))
-    return graphs.join(mean, "graph", "left").fillna(float("inf"), ["path_length"])
-
-
-def betweenness(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Share of shortest paths through each node over both directions of each pair, / ((N-1)(N-2))."""
-    levels = breadth_first(adjacency, nodes)
-    e = adjacency.select("graph", F.col("src").alias("prev"), F.col("dst").alias("node"))
+def betweenness(adjacency: DataFrame, nodes: DataFrame, sources: int = SOURCES) -> DataFrame:
+    """Share of shortest paths through each node over both directions of each pair, / ((N-1)(N-2)).
+
+    Sources are taken in batches; of each batch the sums per node are kept.
+    """
+    e = cut(adjacency.select("graph", F.col("src").alias("node"), F.col("dst").alias("next")))
+    into = e.select("graph", F.col("node").alias("prev"), F.col("next").alias("node"))
+    idx, last = _numbered(nodes)
     key = ["graph", "source", "node"]
-    parts, delta = [], None
-    for d in range(len(levels) - 1, 0, -1):
-        here = levels[d]
-        here = here.withColumn("delta", F.lit(0.0)) if delta is None else here.join(delta, key, "left").fillna(0.0, ["delta"])
-        parts.append(here.select("graph", "node", "delta"))
-        back = here.join(e, ["graph", "node"]).select(
-            "graph", "source", F.col("prev").alias("node"), ((1 + F.col("delta")) / F.col("sigma")).alias("_g"))
-        up = levels[d - 1].select(*key, F.col("sigma").alias("_s"))
-        delta = cut(back.join(up, key).groupBy(*key).agg(F.sum(F.col("_g") * F.col("_s")).alias("delta")))
+    sums = [idx.select("graph", "node", F.lit(0.0).alias("delta")).where("false")]
+    for first in range(0, last + 1, sources):
+        levels = path_counts(e, idx.where(F.col("_i").between(first, first + sources - 1)))
+        parts, delta = [], None
+        for d in range(len(levels) - 1, 0, -1):
+            here = levels[d]
+            here = here.withColumn("delta", F.lit(0.0)) if delta is None else here.join(delta, key, "left").fillna(0.0, ["delta"])
+            parts.append(here.select("graph", "node", "delta"))
+            back = here.join(into, ["graph", "node"]).select(
+                "graph", "source", F.col("prev").alias("node"), ((1 + F.col("delta")) / F.col("sigma")).alias("_g"))
+            up = levels[d - 1].select(*key, F.col("sigma").alias("_s"))
+            delta = cut(back.join(up, key).groupBy(*key).agg(F.sum(F.col("_g") * F.col("_s")).alias("delta")))
+        if parts:
+            sums.append(cut(reduce(DataFrame.unionByName, parts).groupBy("graph", "node").agg(F.sum("delta").alias("delta"))))
     n = nodes.groupBy("graph").agg(F.count("*").alias("_n"))
-    total = nodes.join(n, "graph")
-    if parts:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        total = total.join(every.groupBy("graph", "node").agg(F.sum("delta").alias("_b")), ["graph", "node"], "left")
-    else:
-        total = total.withColumn("_b", F.lit(0.0))
+    every = reduce(DataFrame.unionByName, sums).groupBy("graph", "node").agg(F.sum("delta").alias("_b"))
+    total = nodes.join(n, "graph").join(every, ["graph", "node"], "left")
     b, nn = F.coalesce("_b", F.lit(0.0)), F.col("_n")
     return total.select("graph", "node", F.when(nn > 2, b / ((nn - 1) * (nn - 2))).otherwise(b).alias("betweenness"))
 
