@@ -9,7 +9,6 @@ from ondula.plans import adapters as ad
 from ondula.plans.adapters import with_
 from ondula.plans.registry import query
 from ondula.streaming import hopping, runs
-from ondula.session import fresh_folder
 from ondula.streaming.sinks import drain
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -38,12 +37,15 @@ def _(spark, sf):
 
 
 @query("str_02_chunked_projection", "t:l source value:6",
-       "SELECT event_id AS t, s AS source, value * CASE s WHEN 'a' THEN length(event_type) ELSE 1 END AS value FROM events, (SELECT unnest(['a', 'b']) AS s) WHERE s = 'a' OR event_type = 'click'")
+       "WITH e AS (SELECT epoch_us(ts) // 3600000000 AS h, event_type, value FROM events) "
+       "SELECT h * 3600 AS t, s AS source, sum(value * CASE s WHEN 'a' THEN length(event_type) ELSE 1 END) AS value FROM e, (SELECT unnest(['a', 'b']) AS s) "
+       "WHERE (s = 'a' OR event_type = 'click') AND h <= (SELECT max(h) - 1 FROM e) GROUP BY 1, 2")
 def _(spark, sf):
     types = ad.table(spark, sf, "events").select(F.col("event_type").alias("j")).distinct()
     a = types.select(F.lit("a").alias("i"), "j", F.length("j").cast("double").alias("v"))
     b = types.where("j = 'click'").select(F.lit("b").alias("i"), "j", F.lit(1.0).alias("v"))
-    return drain(hopping.project_live(live(spark, sf), a.unionByName(b))).select("t", "source", "value")
+    one = live(spark, sf).withColumn("recording", F.lit("all")).withColumn("ts", F.date_trunc("hour", "ts"))
+    return drain(hopping.project_live(one, a.unionByName(b), "1 hour")).select(F.unix_seconds("ts").alias("t"), "source", "value")
 
 
 @query("str_03_artifact_flags", "start:l channel rms:6 artifact:b",
@@ -55,18 +57,20 @@ def _(spark, sf):
 
 
 @query("str_04_state_runs", "recording state:l first:l last:l length:l dropped:l",
-       "WITH s AS (SELECT 'u' || user_id AS recording, event_id AS t, length(event_type) AS state FROM events), g AS (SELECT *, lag(state) OVER w AS p FROM s WINDOW w AS (PARTITION BY recording ORDER BY t)), "
-       "i AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> state THEN 1 ELSE 0 END) OVER (PARTITION BY recording ORDER BY t) AS run FROM g), "
-       "r AS (SELECT recording, run, any_value(state) AS state, min(t) AS first, max(t) AS last, count(*) AS length FROM i GROUP BY 1, 2) "
-       "SELECT recording, state, first, last, length, 0 AS dropped FROM r")
+       "WITH e AS (SELECT 'u' || user_id AS recording, event_id AS t, epoch_us(ts) // 1000 AS ms, length(event_type) AS state FROM events), "
+       "w AS (SELECT max(ms) - 3600000 AS wm FROM e), s AS (SELECT e.* FROM e, w WHERE ms <= wm), "
+       "o AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY ms, t) AS k, max(t) OVER (PARTITION BY recording ORDER BY ms, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s), "
+       "u AS (SELECT *, sum(CASE WHEN t <= top THEN 1 ELSE 0 END) OVER (PARTITION BY recording ORDER BY k) AS lost FROM o), "
+       "g AS (SELECT *, lag(state) OVER x AS p, lag(ms) OVER x AS pm FROM u WHERE top IS NULL OR t > top WINDOW x AS (PARTITION BY recording ORDER BY k)), "
+       "i AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> state OR ms - pm > 43200000 THEN 1 ELSE 0 END) OVER (PARTITION BY recording ORDER BY k) AS run FROM g), "
+       "r AS (SELECT recording, run, any_value(state) AS state, min(t) AS first, max(t) AS last, count(*) AS length, max(ms) AS ms, max(k) AS k FROM i GROUP BY 1, 2), "
+       "n AS (SELECT *, lead(k) OVER (PARTITION BY recording ORDER BY run) AS following FROM r) "
+       "SELECT n.recording, n.state, first, last, length, (SELECT count(*) FROM o WHERE o.recording = n.recording AND o.t <= o.top AND (n.following IS NULL OR o.k < n.following)) AS dropped "
+       "FROM n, w WHERE following IS NOT NULL OR n.ms + 43200000 <= wm")
 def _(spark, sf):
-    s = live(spark, sf).select("recording", "t", F.length("channel").cast("bigint").alias("state"))
-    # what ends a recording comes as a file of its own, with a later time and no state
-    ends = ad.event_samples(spark, sf).groupBy("recording").agg((F.max("t") + 1).alias("t")).withColumn("state", F.lit(None).cast("bigint"))
-    path = fresh_folder(spark, "ends")
-    ends.write.parquet(path)
+    s = live(spark, sf).select("ts", "recording", "t", F.length("channel").cast("bigint").alias("state"))
     with runs.with_state_store(spark):
-        return drain(runs.run_lengths(s.unionByName(spark.readStream.schema(ends.schema).parquet(path))))
+        return drain(runs.run_lengths(s, "1 hour", 12 * 3600.0))
 
 
 # --------------------------------------------------------------- user functions

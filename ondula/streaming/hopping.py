@@ -14,14 +14,15 @@ def hopping_power(samples: DataFrame, length: str = "30 seconds", hop: str = "5
     return w.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "recording", "channel", "n", "mean", "power")
 
 
-def project_live(samples: DataFrame, weights: DataFrame) -> DataFrame:
-    """Contribution of each live sample to each source: a stateless join with the static weights.
+def project_live(samples: DataFrame, weights: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """S = W x of live samples ``ts, recording, channel, value``: one row ``ts, recording, source, value`` per time and source.
 
-    A source value is the sum of its contributions over the channels of one
-    time; the sink or the next batch stage adds them, so no state is kept.
+    The channels of a time may come in any order and in different batches; their sum is kept until the watermark has passed the time, then
+    comes out once. Channels that come later than ``delay`` are left out; Spark counts them as rows dropped by the watermark.
     """
     w = weights.select(F.col("i").alias("source"), F.col("j").alias("channel"), "v")
-    return samples.join(w, "channel").withColumn("value", F.col("v") * F.col("value")).drop("v")
+    live = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).join(w, "channel")
+    return live.groupBy("ts", "recording", "source").agg(F.sum(F.col("v") * F.col("value")).alias("value"))
 
 
 def project_frames_live(frames: DataFrame, weights) -> DataFrame:
