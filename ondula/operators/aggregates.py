@@ -298,8 +298,7 @@ def permutation_p(null: DataFrame, observed: DataFrame, keys: Sequence[str] = ()
     """Share of null values at or above the observed one (no +1)."""
     keys = list(keys)
     one = F.lit(0).alias("_k")
-    j = null.select(*keys, one, F.col("value").alias("_null")).join(
-        observed.select(*keys, one, F.col("value").alias("observed")), ["_k", *keys])
+    j = attach(null.select(*keys, one, F.col("value").alias("_null")), observed.select(*keys, one, F.col("value").alias("observed")), ["_k", *keys], ["_null"])
     return j.groupBy("_k", *keys).agg(
         F.first("observed").alias("observed"),
         F.avg((F.col("_null") >= F.col("observed")).cast("double")).alias("p")).drop("_k")

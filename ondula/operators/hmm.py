@@ -159,11 +159,10 @@ class GaussianHMM:
                 delta = delta - delta.max()
             return pdf[["recording", "blk"]].assign(delta=starts)
 
-        first = blocks.groupBy("recording").agg(F.min("blk").alias("first"))
-        marked = blocks.join(first, "recording")
+        marked = _with_first(blocks)
         starts = marked.mapInPandas(best, "recording string, blk bigint, first bigint, m array<double>").groupBy("recording").applyInPandas(
             chain, "recording string, blk bigint, delta array<double>")
-        ready = cut(marked.join(starts, ["recording", "blk"]))
+        ready = cut(attach(marked, starts, ["recording", "blk"], ["blk"]))
 
         def entry(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in pdfs:
@@ -192,7 +191,7 @@ class GaussianHMM:
                         s = int(row[s])
                     yield pd.DataFrame({"recording": r.recording, "t": np.asarray(r.t), "state": np.array(states[::-1], dtype=np.int32)})
 
-        return ready.join(last, ["recording", "blk"]).mapInPandas(trace, "recording string, t bigint, state int")
+        return attach(ready, last, ["recording", "blk"], ["blk"]).mapInPandas(trace, "recording string, t bigint, state int")
 
 
 class _Kernel:

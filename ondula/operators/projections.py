@@ -51,7 +51,7 @@ def log_standardise(features: DataFrame, keys: Sequence[str], value: str = "valu
 
 
 def flip_signs(samples: DataFrame, signs: DataFrame, on: Sequence[str] = ("recording", "channel")) -> DataFrame:
-    return samples.join(signs, list(on)).withColumn("value", F.col("value") * F.col("sign")).drop("sign")
+    return attach(samples, signs, list(on), ["t"]).withColumn("value", F.col("value") * F.col("sign")).drop("sign")
 
 
 def soft_threshold(x: Column, level) -> Column:

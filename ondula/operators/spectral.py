@@ -360,7 +360,7 @@ def drift_filter(samples: DataFrame, fs: float, cutoff: float, keys: Sequence[st
     coef = rows.groupBy(*keys, "k").agg(F.sum(F.col("value") * basis(F.col("k"))).alias("_w"))
     coef = coef.groupBy(*keys).agg(F.collect_list(F.struct("k", "_w")).alias("_c"))
     trend = F.aggregate("_c", F.lit(0.0), lambda s, c: s + c["_w"] * basis(c["k"]))
-    return j.join(coef, keys).select(*keys, "t", (F.col("value") - trend).alias("value"))
+    return attach(j, coef, keys, ["t"]).select(*keys, "t", (F.col("value") - trend).alias("value"))
 
 
 def _wavelets(fs: float, freqs: Sequence[float], low: float, high: float, zero_mean: bool) -> np.ndarray:

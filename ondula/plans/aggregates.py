@@ -139,10 +139,9 @@ sum(n) OVER (PARTITION BY i, j, kb) AS nb FROM h)
 SELECT i, j, sum(n / tot * ln(n * tot / (na * nb))) AS mi FROM p {w} GROUP BY 1, 2"""
 
 
-@query("agg_14_mutual_information", "i:l j:l mi:6", MI.format(w="WHERE i = 0 AND j = 1"))
+@query("agg_14_mutual_information", "i:l j:l mi:6", MI.format(w="WHERE i = 0 AND j > 0"))
 def _(spark, sf):
-    pair = ad.frames(spark, sf).withColumn("x", F.slice("x", 1, 2))
-    return A.mutual_information(pair).where("i = 0 AND j = 1")
+    return A.mutual_information(ad.frames(spark, sf)).where("i = 0 AND j > 0")
 
 
 @query("agg_15_mutual_information_matrix", "i:l j:l mi:6", MI.format(w=""))

@@ -221,9 +221,11 @@ def _hmm(spark, sf, n_epochs=4):
 @query("mat_18_hmm_fit", "epoch:l loglik:3 state:l occupancy:4")
 def _(spark, sf):
     h, f = _hmm(spark, sf)
-    rows = [(i, float(v)) for i, v in enumerate(h.history)]
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = _table(spark, "epoch int, loglik double", [(i, float(v)) for i, v in enumerate(h.history)])
     occ = h.posterior(f, 64).groupBy("state").agg(F.avg("p").alias("occupancy"))
-    return _table(spark, "epoch int, loglik double", rows).join(occ, F.col("state") == F.col("epoch") % 2)
+    return rows.select("epoch", "loglik", none("int").alias("state"), none("double").alias("occupancy")).unionByName(
+        occ.select(none("int").alias("epoch"), none("double").alias("loglik"), "state", "occupancy"))
 
 
 @query("mat_19_hmm_posterior", "recording t:l total:6 n:l", "SELECT 's' || (vec_id // 250) AS recording, vec_id % 250 AS t, 1.0 AS total, 2 AS n FROM embeddings")
@@ -239,8 +241,8 @@ def _(spark, sf):
 
 
 def epoch_covs(spark, sf):
-    """Covariance of four channels per epoch of 25 frames."""
-    f = ad.frames(spark, sf).select(F.floor(F.col("t") / 25).alias("epoch"), F.slice("x", 1, 4).alias("x"))
+    """Covariance of all channels per epoch of 100 frames; with fewer frames than channels it would be singular."""
+    f = ad.frames(spark, sf).select(F.floor(F.col("t") / 100).alias("epoch"), "x")
     g = gram(f, ["epoch"]).groupBy("epoch").agg(F.sort_array(F.collect_list(F.struct("i", "j", "cov"))).alias("_c"))
     return g.select("epoch", F.col("_c.cov").alias("c"))
 
@@ -254,7 +256,7 @@ def _(spark, sf):
 @query("mat_22_spd_distance", "epoch:l distance:6")
 def _(spark, sf):
     c = epoch_covs(spark, sf)
-    return M.spd_distances(c, np.eye(4) * 0.01)
+    return M.spd_distances(c, np.eye(64) * 0.01)
 
 
 @query("mat_23_tangent_space", "epoch:l n:l norm:6")

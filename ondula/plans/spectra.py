@@ -55,8 +55,8 @@ def _(spark, sf):
 
 
 @query("spc_04_cross_spectrum", "k:l i:l j:l re:9 im:9 coherence:6",
-       TAPER + ", zz AS (SELECT * FROM z), c AS (SELECT a.k, a.channel AS i, b.channel AS j, avg(a.re * b.re + a.im * b.im) AS re, avg(a.im * b.re - a.re * b.im) AS im FROM zz a JOIN zz b USING (win, taper, k) GROUP BY 1, 2, 3), "
-       "s AS (SELECT k, i, j, re * s AS re, im * s AS im FROM (SELECT *, CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END / (250.0 * 64) AS s FROM c)) "
+       TAPER + ", zz AS MATERIALIZED (SELECT * FROM z), c AS (SELECT a.k, a.channel AS i, b.channel AS j, avg(a.re * b.re + a.im * b.im) AS re, avg(a.im * b.re - a.re * b.im) AS im FROM zz a JOIN zz b USING (win, taper, k) GROUP BY 1, 2, 3), "
+       "s AS MATERIALIZED (SELECT k, i, j, re * s AS re, im * s AS im FROM (SELECT *, CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END / (250.0 * 64) AS s FROM c)) "
        "SELECT s.k, s.i, s.j, s.re, s.im, least(greatest((s.re * s.re + s.im * s.im) / greatest(p.re * q.re, 1e-20), 0), 1) AS coherence FROM s JOIN s p ON p.k = s.k AND p.i = s.i AND p.j = s.i JOIN s q ON q.k = s.k AND q.i = s.j AND q.j = s.j")
 def _(spark, sf):
     return S.cross_spectrum(_samples(spark, sf), 250.0, 64, bandwidth=3.0)
@@ -197,16 +197,16 @@ def _(spark, sf):
 
 @query("spc_21_state_spectra", "state:l k:l i:l psd:8",
        "WITH ex AS (SELECT label AS state, vec_id AS t, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), "
-       "cv AS (SELECT state, a.i, b.i AS j, covar_pop(a.x, b.x) AS v FROM ex a JOIN ex b USING (state, t) WHERE a.i < 16 AND b.i < 16 GROUP BY 1, 2, 3), "
-       "c2 AS (SELECT state, a.d AS i, b.d AS j, sum(a.v * cv.v * b.v) AS v FROM cv JOIN (SELECT i, d, CASE WHEN i = d THEN 1.0 ELSE 0 END + 0.01 * (i + d) AS v FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(32)) AS d)) a ON a.i = cv.i "
-       "JOIN (SELECT i, d, CASE WHEN i = d THEN 1.0 ELSE 0 END + 0.01 * (i + d) AS v FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(32)) AS d)) b ON b.i = cv.j GROUP BY 1, 2, 3), "
+       "cv AS (SELECT state, a.i, b.i AS j, covar_pop(a.x, b.x) AS v FROM ex a JOIN ex b USING (state, t) GROUP BY 1, 2, 3), "
+       "c2 AS (SELECT state, a.d AS i, b.d AS j, sum(a.v * cv.v * b.v) AS v FROM cv JOIN (SELECT i, d, CASE WHEN i = d THEN 1.0 ELSE 0 END + 0.01 * (i + d) AS v FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(32)) AS d)) a ON a.i = cv.i "
+       "JOIN (SELECT i, d, CASE WHEN i = d THEN 1.0 ELSE 0 END + 0.01 * (i + d) AS v FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(32)) AS d)) b ON b.i = cv.j GROUP BY 1, 2, 3), "
        "ac AS (SELECT state, j // 8 - i // 8 AS lag, i % 8 AS c1, j % 8 AS c2, avg(v) AS v FROM c2 WHERE j // 8 >= i // 8 GROUP BY 1, 2, 3, 4), "
        "fl AS (SELECT state, lag, c1, v FROM ac WHERE c1 = c2 UNION ALL SELECT state, -lag, c1, v FROM ac WHERE c1 = c2 AND lag > 0) "
        "SELECT state, k, c1 AS i, greatest(sum(v * cos(2 * pi() * k * (lag + 3) / 7)) / 250, 0) AS psd FROM fl, (SELECT unnest(range(4)) AS k) GROUP BY 1, 2, 3")
 def _(spark, sf):
-    f = ad.table(spark, sf, "embeddings").select(F.col("label").alias("state"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("x"))
+    f = ad.table(spark, sf, "embeddings").select(F.col("label").alias("state"), F.col("embedding").cast("array<double>").alias("x"))
     cov = gram(f, ["state"]).select("state", "i", "j", F.col("cov").alias("v"))
-    comp = spark.createDataFrame([(i, d, float(i == d) + 0.01 * (i + d)) for i in range(16) for d in range(32)], "i int, j int, v double")
+    comp = spark.createDataFrame([(i, d, float(i == d) + 0.01 * (i + d)) for i in range(64) for d in range(32)], "i int, j int, v double")
     return S.state_spectra(cov, comp, 8, 4, 250.0).where("psd IS NOT NULL")
 
 
