@@ -1,14 +1,14 @@
 """Gaussian hidden Markov models over long sessions.
 
 A session is cut into blocks. Each block is reduced to one state-by-state
-matrix (a product of transition and emission factors), a short chain over
-these matrices gives the message at every block border, and the blocks are
+matrix (a product of transition and emission factors), a scan over
+these matrices, as a tree, gives the message at every block border, and the blocks are
 then solved independently. Results equal the unsplit recursion.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +22,8 @@ from ondula.operators.matrix import moments
 from ondula.session import cut
 
 BLOCK = 4096
+#: Blocks or groups of blocks that one step of a scan takes.
+FAN = 64
 RIDGE = 1e-6  # fixed: added to every covariance
 
 
@@ -96,9 +98,10 @@ class GaussianHMM:
 
     def _em(self, blocks: DataFrame, n_epochs: int) -> None:
         s, c = self.means.shape
+        deepest = _deepest(blocks)
         for _ in range(n_epochs):
             k = self._kernel()
-            solved = _bordered(blocks, k)
+            solved = _bordered(blocks, k, deepest)
 
             def sums(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 total = None
@@ -148,38 +151,53 @@ class GaussianHMM:
         def best(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in pdfs:
                 m = [k.max_plus(np.asarray(x, dtype=float).reshape(-1, c), b == f) for x, b, f in zip(pdf["x"], pdf["blk"], pdf["first"])]
-                yield pdf[["recording", "blk", "first"]].assign(m=[v.ravel() for v in m])
+                yield pd.DataFrame({"recording": pdf["recording"], "node": pdf["node"], "m": [v.ravel() for v in m]})
 
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("blk")
-            delta, starts = k.log_start, []
+        def folded(ms: list[np.ndarray]) -> np.ndarray:
+            out = ms[0]
+            for m in ms[1:]:
+                out = (out[:, :, None] + m[None]).max(axis=1)
+            return out - out.max()
+
+        def fold(pdf: pd.DataFrame) -> dict:
+            return {"m": folded([np.asarray(m).reshape(s, s) for m in pdf["m"]]).ravel()}
+
+        def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+            delta, starts = k.log_start if pdf["delta"][0] is None else np.asarray(pdf["delta"][0]), []
             for m in pdf["m"]:
                 starts.append(delta)
-                delta = (delta[:, None] + np.asarray(m).reshape(len(delta), -1)).max(axis=0)
+                delta = (delta[:, None] + np.asarray(m).reshape(s, s)).max(axis=0)
                 delta = delta - delta.max()
-            return pdf[["recording", "blk"]].assign(delta=starts)
+            return pdf[["recording", "node"]].assign(delta=starts)
 
+        s = len(k.start)
         marked = _with_first(blocks)
-        starts = marked.mapInPandas(best, "recording string, blk bigint, first bigint, m array<double>").groupBy("recording").applyInPandas(
-            chain, "recording string, blk bigint, delta array<double>")
-        ready = cut(attach(marked, starts, ["recording", "blk"], ["blk"]))
+        parts = marked.mapInPandas(best, "recording string, node bigint, m array<double>")
+        deepest = _deepest(marked)
+        starts = _scanned(parts, deepest, fold, "m array<double>", spread, "delta array<double>")
+        ready = cut(attach(marked, starts, ["recording", "node"], ["node"]))
 
         def entry(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in pdfs:
                 out = [k.path(np.asarray(x, dtype=float).reshape(-1, c), np.asarray(d), b == f) for x, d, b, f in zip(pdf["x"], pdf["delta"], pdf["blk"], pdf["first"])]
-                yield pdf[["recording", "blk"]].assign(enter=[o[1] for o in out], score=[o[2] for o in out])
+                yield pd.DataFrame({"recording": pdf["recording"], "node": pdf["node"], "enter": [o[1] for o in out], "score": [o[2] for o in out]})
+
+        def joined(pdf: pd.DataFrame) -> dict:
+            state = np.arange(s)
+            for e in pdf["enter"][::-1]:
+                state = np.asarray(e)[state]
+            return {"enter": state, "score": pdf["score"].iloc[-1]}
 
         def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("blk", ascending=False)
-            state, out = None, []
-            for e, sc in zip(pdf["enter"], pdf["score"]):
-                state = int(np.argmax(sc)) if state is None else state
+            state = int(np.argmax(pdf["score"].iloc[-1])) if pd.isna(pdf["end"][0]) else int(pdf["end"][0])
+            out = []
+            for e in pdf["enter"][::-1]:
                 out.append(state)
                 state = int(e[state])
-            return pdf[["recording", "blk"]].assign(end=out)
+            return pdf[["recording", "node"]].assign(end=out[::-1])
 
-        last = ready.mapInPandas(entry, "recording string, blk bigint, enter array<int>, score array<double>").groupBy("recording").applyInPandas(
-            ends, "recording string, blk bigint, end int")
+        maps = ready.mapInPandas(entry, "recording string, node bigint, enter array<int>, score array<double>")
+        last = _scanned(maps, deepest, joined, "enter array<int>, score array<double>", ends, "end int")
 
         def trace(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in pdfs:
@@ -191,7 +209,7 @@ class GaussianHMM:
                         s = int(row[s])
                     yield pd.DataFrame({"recording": r.recording, "t": np.asarray(r.t), "state": np.array(states[::-1], dtype=np.int32)})
 
-        return attach(ready, last, ["recording", "blk"], ["blk"]).mapInPandas(trace, "recording string, t bigint, state int")
+        return attach(ready, last, ["recording", "node"], ["node"]).mapInPandas(trace, "recording string, t bigint, state int")
 
 
 class _Kernel:
@@ -289,7 +307,7 @@ class _Kernel:
         return back, enter.astype(int).tolist(), delta.tolist()
 
 
-def _bordered(blocks: DataFrame, k: _Kernel) -> DataFrame:
+def _bordered(blocks: DataFrame, k: _Kernel, deepest: int | None = None) -> DataFrame:
     """Blocks with the forward message before them, the backward message behind them and the session likelihood."""
     c = k.means.shape[1]
     s = k.means.shape[0]
@@ -297,30 +315,74 @@ def _bordered(blocks: DataFrame, k: _Kernel) -> DataFrame:
     def reduce(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             out = [k.product(np.asarray(x, dtype=float).reshape(-1, c), b == f) for x, b, f in zip(pdf["x"], pdf["blk"], pdf["first"])]
-            yield pdf[["recording", "blk"]].assign(m=[o[0].ravel() for o in out], scale=[o[1] for o in out])
+            yield pd.DataFrame({"recording": pdf["recording"], "node": pdf["node"], "m": [o[0].ravel() for o in out], "scale": [o[1] for o in out]})
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("blk")
+    def fold(pdf: pd.DataFrame) -> dict:
+        out, scale = np.eye(s), float(pdf["scale"].sum())
+        for m in pdf["m"]:
+            out = out @ np.asarray(m).reshape(s, s)
+            size = max(out.max(), 1e-300)
+            out, scale = out / size, scale + float(np.log(size))
+        return {"m": out.ravel(), "scale": scale}
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
         ms = [np.asarray(m).reshape(s, s) for m in pdf["m"]]
-        v, ll, left = k.start, 0.0, []
+        top = pdf["left"][0] is None
+        v, ll, left = k.start if top else np.asarray(pdf["left"][0]), 0.0, []
         for m, sc in zip(ms, pdf["scale"]):
             left.append(v)
             v = v @ m
             ll += float(np.log(v.sum())) + sc
             v = v / v.sum()
-        v, right = np.ones(s), []
+        v, right = np.ones(s) if top else np.asarray(pdf["right"][0]), []
         for m in ms[::-1]:
             right.append(v / v.sum())
             v = m @ v
             v = v / v.sum()
-        return pdf[["recording", "blk"]].assign(left=left, right=right[::-1], ll=ll)
+        return pdf[["recording", "node"]].assign(left=left, right=right[::-1], ll=ll if top else pdf["ll"][0])
 
     marked = blocks if "first" in blocks.columns else _with_first(blocks)
-    borders = marked.mapInPandas(reduce, "recording string, blk bigint, m array<double>, scale double").groupBy("recording").applyInPandas(
-        chain, "recording string, blk bigint, left array<double>, right array<double>, ll double")
-    return attach(marked, borders, ["recording", "blk"], ["blk"])  # a small row per block is sent to the blocks, not the blocks to it
+    parts = marked.mapInPandas(reduce, "recording string, node bigint, m array<double>, scale double")
+    borders = _scanned(parts, _deepest(marked) if deepest is None else deepest, fold, "m array<double>, scale double", spread, "left array<double>, right array<double>, ll double")
+    return attach(marked, borders, ["recording", "node"], ["node"])  # a small row per block is sent to the blocks, not the blocks to it
+
+
+def _deepest(marked: DataFrame) -> int:
+    return marked.agg(F.max("node")).first()[0] or 0
+
+
+def _scanned(parts: DataFrame, deepest: int, fold: Callable[[pd.DataFrame], dict], payload: str, spread: Callable[[pd.DataFrame], pd.DataFrame], state: str) -> DataFrame:
+    """A scan over ``recording, node, payload`` as a tree of ``FAN`` nodes: ``recording, node, state``.
+
+    Upward, ``fold`` makes one payload of those of up to ``FAN`` neighbours, in order, until a recording has no more than that; downward, ``spread`` gives each of
+    a group its state from that of the group (None at the top). So no task gets more than ``FAN`` rows of a recording at a time.
+    """
+    def folding(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        one = fold(pdf)
+        return pd.DataFrame({"recording": [pdf["recording"][0]], "node": [pdf["parent"][0]], **{c: [v] for c, v in one.items()}})
+
+    def spreading(pdf: pd.DataFrame) -> pd.DataFrame:
+        return spread(pdf.sort_values("node", ignore_index=True))
+
+    up = F.floor(F.col("node") / FAN).alias("parent")
+    levels = [cut(parts) if deepest >= FAN else parts]
+    while deepest >= FAN:
+        levels.append(cut(levels[-1].select("*", up).groupBy("recording", "parent").applyInPandas(folding, f"recording string, node bigint, {payload}")))
+        deepest //= FAN
+    columns = [c.strip().split(" ", 1) for c in state.split(", ")]
+    out = None
+    for level in reversed(levels):
+        group = level.select("*", up)
+        if out is None:
+            group = group.select("*", *[F.lit(None).cast(t).alias(c) for c, t in columns])
+        else:
+            group = group.join(out.withColumnRenamed("node", "parent"), ["recording", "parent"])
+        out = group.groupBy("recording", "parent").applyInPandas(spreading, f"recording string, node bigint, {state}")
+    return out
 
 
 def _with_first(blocks: DataFrame) -> DataFrame:
-    """The blocks with the number of their session's first block."""
-    return attach(blocks, blocks.groupBy("recording").agg(F.min("blk").alias("first")), ["recording"], ["blk"])
+    """The blocks with the number of their session's first block, and their own from there."""
+    first = blocks.groupBy("recording").agg(F.min("blk").alias("first"))
+    return attach(blocks, first, ["recording"], ["blk"]).withColumn("node", F.col("blk") - F.col("first"))
