@@ -61,35 +61,33 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     extra = [c for c in span.columns if c not in (*by, "_n", "_lo", "_hi", "_ends")]
     while True:
         ends = [(F.get("_ends", F.lit(2 * i)), F.get("_ends", F.lit(2 * i + 1))) for i in range(len(names))]
-        near = attach(v_w, span.select(*by, "_ends"), by, ["_v"])
+        near = attach(v_w, span.select(*by, "_ends"), by, ["_v"], written=True)
         inside = F.lit(False)
         sides = []
         for i, (lo, hi) in enumerate(ends):
-            inside = inside | F.col("_v").between(lo, hi)
+            here = F.col("_v").between(lo, hi)
+            inside = inside | here
             low, high = F.col("_v") < lo, F.col("_v") > hi
-            sides += [F.sum(F.when(low, F.col("_w")).otherwise(0)).alias(f"_b{i}"), F.max(F.when(low, F.col("_v"))).alias(f"_m{i}"),
+            sides += [F.sum(F.when(low, F.col("_w")).otherwise(0)).alias(f"_b{i}"), F.sum(F.when(here, F.col("_w")).otherwise(0)).alias(f"_i{i}"), F.max(F.when(low, F.col("_v"))).alias(f"_m{i}"),
                       F.min(F.when(high, F.col("_v"))).alias(f"_a{i}")]
         table = cut(near.groupBy(*by, F.when(inside, F.col("_v")).alias("_at")).agg(F.sum("_w").alias("_c"), *sides))
-        total = table.groupBy(*by).agg(*[f(f"{c}{i}").alias(f"{c}{i}") for i in range(len(names)) for c, f in (("_b", F.sum), ("_m", F.max), ("_a", F.min))])
+        total = table.groupBy(*by).agg(*[f(f"{c}{i}").alias(f"{c}{i}") for i in range(len(names)) for c, f in (("_b", F.sum), ("_i", F.sum), ("_m", F.max), ("_a", F.min))])
         wanted = []
         for i, name in enumerate(names):
             pos = F.lit(float(probs[name])) * (F.col("_n") - 1)
             low = F.floor(pos).cast("bigint")
             for rank, share in ((low, 1 - (pos - low)), (F.least(low + 1, F.col("_n") - 1), pos - low)):
                 wanted.append(F.struct(F.lit(name).alias("q"), ends[i][0].alias("_from"), ends[i][1].alias("_to"), rank.alias("rank"), share.alias("w"),
-                                       F.col(f"_b{i}").alias("_b"), F.col(f"_m{i}").alias("_m"), F.col(f"_a{i}").alias("_a")))
+                                       F.col(f"_b{i}").alias("_b"), (F.col(f"_b{i}") + F.col(f"_i{i}")).alias("_last"), F.col(f"_m{i}").alias("_m"), F.col(f"_a{i}").alias("_a")))
         ranks = cut(span.join(total, by).select(*by, F.inline(F.array(*wanted))).where("w > 0"))
-        runs = ranks.select(*by, "q", "_from", "_to", "_b").distinct().join(table.where("_at IS NOT NULL").select(*by, "_at", "_c"), by).where("_at BETWEEN _from AND _to")
-        runs = runs.withColumn("_e", F.col("_b") + F.sum("_c").over(W.partitionBy(*by, "q").orderBy("_at")))
-        whole = runs.groupBy(*by, "q").agg(F.max("_e").alias("_last"))
-        placed = ranks.join(whole, [*by, "q"], "left").withColumn("_last", F.coalesce("_last", "_b"))
-        ok = ((F.col("rank") >= F.col("_b") - 1) & (F.col("rank") <= F.col("_last")))
-        if placed.where(~ok).isEmpty():
+        if ranks.where((F.col("rank") < F.col("_b") - 1) | (F.col("rank") > F.col("_last"))).isEmpty():
             break
         span = span.withColumn("_ends", F.flatten(F.array(*[F.array("_lo", "_hi") for _ in names])))
-    edge = F.when(F.col("rank") < F.col("_b"), F.col("_m")).when(F.col("rank") >= F.col("_last"), F.col("_a"))
-    outside = placed.where("rank < _b OR rank >= _last").select(*by, "q", "w", edge.alias("_at"))
+    runs = ranks.select(*by, "q", "_from", "_to", "_b").distinct().join(table.where("_at IS NOT NULL").select(*by, "_at", "_c"), by).where("_at BETWEEN _from AND _to")
+    runs = runs.withColumn("_e", F.col("_b") + F.sum("_c").over(W.partitionBy(*by, "q").orderBy("_at")))
     hit = runs.join(ranks.select(*by, "q", "rank", "w"), [*by, "q"]).where("rank < _e AND rank >= _e - _c").select(*by, "q", "w", "_at")
+    edge = F.when(F.col("rank") < F.col("_b"), F.col("_m")).when(F.col("rank") >= F.col("_last"), F.col("_a"))
+    outside = ranks.where("rank < _b OR rank >= _last").select(*by, "q", "w", edge.alias("_at"))
     out = hit.unionByName(outside).groupBy(*by).agg(*[F.sum(F.when(F.col("q") == name, F.col("w") * F.col("_at"))).alias(name) for name in names])
     if extra:
         out = span.select(*by, *extra).join(out, by)
