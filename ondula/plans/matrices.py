@@ -33,7 +33,7 @@ def _(spark, sf):
     return scores.groupBy("component").agg(F.var_pop("v").alias("v")).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
-@query("mat_02_invertible_components", "t:l channel:l value:7", with_("samples") + "SELECT t, channel, value FROM samples")
+@query("mat_02_invertible_components", "t:l channel:l value:8", with_("samples") + "SELECT t, channel, value FROM samples")
 def _(spark, sf):
     f = ad.frames(spark, sf)
     p = M.principal(f)
@@ -305,7 +305,7 @@ def _(spark, sf):
     return M.artifact_epochs(epoch_covs(spark, sf), 2.0)
 
 
-@query("mat_25_artifact_cleaning", "t:l channel:l value:7", with_("samples") + "SELECT t, channel, value FROM samples WHERE t >= 1 AND t <= (SELECT (max(t) + 1 - 100) // 50 * 50 + 98 FROM samples)")
+@query("mat_25_artifact_cleaning", "t:l channel:l value:8", with_("samples") + "SELECT t, channel, value FROM samples WHERE t >= 1 AND t <= (SELECT (max(t) + 1 - 100) // 50 * 50 + 98 FROM samples)")
 def _(spark, sf):
     f = ad.frames(spark, sf)
     out = M.clean_artifacts(f, M.calibrate(f, 50.0))  # a cutoff nothing reaches: the windows must add up to the input
