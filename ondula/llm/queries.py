@@ -51,7 +51,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
 
     return found.select("doc_id", count(0), count(1), count(2), sha(secrets.listed(base)).alias("base_sha256"),
-                        secrets.listed(F.col("spans")).alias("spans"))
+                        secrets.listed(F.col("spans")).alias("spans"), F.size(F.filter("verdicts", lambda v: v["random"])).cast("long").alias("n_random_base"),
+                        F.round(F.array_max("verdicts.p"), 6).alias("p_base"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

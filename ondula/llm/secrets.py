@@ -2,7 +2,7 @@
 
 A token's encoding is inferred from its characters; its symbols are tested for a uniform alphabet (chi-squared), for runs about the
 alphabet's middle and for serial correlation, and the three p-values are combined by Fisher's method. For random tokens the combined p-value is
-uniform, for ordinary ones it lies near 0. So, among all tokens of an encoding and length class in the corpus, those with p over a half tell how many
+uniform, for ordinary ones it lies near 0. So, among all tokens of an encoding and length class in the corpus, secrets of base spans included, those with p over a half tell how many
 random ones there are, and from that follows the lowest level at which the expected share of ordinary tokens stays within bounds.
 """
 
@@ -101,6 +101,17 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return out
 
 
+def judged(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, float | None, int | None, int | None]]:
+    """(encoding, combined p-value, stratum, bin) of the secret in each base span; nothing where it has no encoding."""
+    out = []
+    for kind, start, end in base:
+        token = ASSIGN.match(text, start)[2] if kind == "assign" else text[start:end]
+        name = encoding(token)
+        p = uniform_p(token, name) if name else None
+        out.append((name, p, stratum(name, len(token)), min(BINS - 1, int(p * BINS))) if name else (None,) * 4)
+    return out
+
+
 def levels(histogram: dict[tuple[int, int], int]) -> dict[int, int]:
     """For each stratum the lowest bin from which tokens are reported; BINS if none is."""
     out = {}
@@ -116,27 +127,35 @@ def levels(histogram: dict[tuple[int, int], int]) -> dict[int, int]:
     return out
 
 
-_FOUND = ("base array<struct<kind: int, start: int, end: int>>, tokens array<struct<start: int, end: int, stratum: int, bin: int>>")
+_FOUND = ("base array<struct<kind: int, start: int, end: int, encoding: string, p: double, stratum: int, bin: int>>, tokens array<struct<start: int, end: int, stratum: int, bin: int>>")
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``spans``: an array of (start, kind, end) by start, then kind (its place in ``KINDS``), code points, end exclusive.
+    """The columns ``keep``, ``spans`` and ``verdicts``.
+
+    ``spans`` is an array of (start, kind, end) by start, then kind (its place in ``KINDS``), code points, end exclusive. ``verdicts`` has the battery's view of each
+    base span: (start, kind, end, encoding, p, random), where ``random`` tells whether p passes the level of its encoding and length class and is 0.01 or more; encoding and p are null, and
+    random is false, where the secret has no encoding (words, or characters of no alphabet). Base spans stay whatever the verdict.
 
     Null and empty texts have none. Whole texts are read, once; the findings are written, the p-values of all tokens of the corpus are counted (a table
     of fixed size: encodings x length classes x bins), and the levels from it decide on each token. A token that repeats is counted
-    as often as it occurs. An empty table gives an empty result. A kept column called ``spans`` is replaced.
+    as often as it occurs. An empty table gives an empty result. Kept columns called ``spans`` or ``verdicts`` are
+    replaced.
     """
     @F.pandas_udf(_FOUND)
     def found(texts: pd.Series) -> pd.DataFrame:
         base, tokens = [], []
         for t in texts:
             own = base_spans(t or "")
-            base.append([{"kind": KINDS.index(k), "start": a, "end": b} for k, a, b in own])
+            base.append([{"kind": KINDS.index(k), "start": a, "end": b, "encoding": v[0], "p": v[1], "stratum": v[2], "bin": v[3]}
+                         for (k, a, b), v in zip(own, judged(t or "", own))])
             tokens.append([dict(zip(("start", "end", "stratum", "bin"), c)) for c in candidates(t or "", own)])
         return pd.DataFrame({"base": base, "tokens": tokens})
 
     rows = written(docs.select(*keep, found(F.col(text)).alias("__found")))
-    counts = rows.select(F.explode("__found.tokens").alias("t")).groupBy("t.stratum", "t.bin").count().collect()
+    seen = F.concat(F.transform("__found.tokens", lambda t: F.struct(t["stratum"].alias("stratum"), t["bin"].alias("bin"))),
+                    F.transform(F.filter("__found.base", lambda t: t["bin"].isNotNull()), lambda t: F.struct(t["stratum"].alias("stratum"), t["bin"].alias("bin"))))
+    counts = rows.select(F.explode(seen).alias("t")).groupBy("t.stratum", "t.bin").count().collect()
     level = levels({(r[0], r[1]): r[2] for r in counts})
     lowest = F.create_map(*[F.lit(x) for pair in sorted(level.items()) for x in pair]) if level else F.create_map(F.lit(-1), F.lit(BINS))
     added = F.filter("__found.tokens", lambda t: t["bin"] >= lowest[t["stratum"]])
@@ -145,7 +164,12 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         return F.struct(x["start"].alias("start"), kind.cast("int").alias("kind"), x["end"].alias("end"))
 
     everything = F.concat(F.transform("__found.base", lambda x: span(x["kind"], x)), F.transform(added, lambda x: span(F.lit(3), x)))
-    return rows.withColumn("spans", F.array_sort(everything)).select(*[c for c in keep if c != "spans"], "spans")
+    def verdict(x: Column) -> Column:
+        passed = F.coalesce((x["bin"] >= lowest[x["stratum"]]) & (x["bin"] > 0), F.lit(False))
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["encoding"].alias("encoding"), x["p"].alias("p"), passed.alias("random"))
+
+    out = rows.withColumn("spans", F.array_sort(everything)).withColumn("verdicts", F.transform("__found.base", verdict))
+    return out.select(*[c for c in keep if c not in ("spans", "verdicts")], "spans", "verdicts")
 
 
 def listed(spans: Column) -> Column:

@@ -59,3 +59,19 @@ def test_random_tokens_are_added_and_words_left(spark):
     line = secrets.scan(docs.where("doc_id = 503").limit(1)).select(secrets.listed(secrets.F.col("spans")).alias("s")).first().s
     assert line == "assign:0:18" and hashlib.sha256(line.encode()).hexdigest()
     assert secrets.scan(docs.where("false")).count() == 0
+
+
+def test_base_spans_carry_a_verdict(spark):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n))
+    texts = [f"token = {key(40)} and 0{''.join(rng.choice('0123456789abcdef') for _ in range(39))}" for _ in range(200)]
+    texts += ["password: changeit now", "secret=aaaaaaaaaaaaaaaa1111111111111111aaaaaaaaaaaaaaaa", None, "token = a.b.c.d.e.f"]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, verdicts string")
+    rows = {r.doc_id: r.verdicts for r in secrets.scan(docs, keep=("doc_id", "verdicts")).collect()}
+    for kind, name in ((0, "base62"), (2, "hex")):
+        own = [v for i in range(200) for v in rows[i] if v.kind == kind]
+        assert len(own) == 200 and sum(v.encoding == name for v in own) >= 195
+        assert sum(v.random for v in own) >= 0.9 * 200
+    assert [(v.encoding, v.p, v.random) for v in rows[200]] == [(None, None, False)]
+    assert [v.random for v in rows[201] if v.kind == 0] == [False] and rows[202] == []
+    assert [v.encoding for v in rows[203]] == [None]
