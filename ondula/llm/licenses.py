@@ -3,6 +3,9 @@
 Words that are unique both in a stretch of text and in a template are anchors; the longest run of anchors that ascends in both is kept, and the gaps between
 them are aligned in the same way, down to gaps without anchors, where equal words at either end are matched. The share of template words that are matched is the
 coverage.
+
+A notice names a license by the words it needs and by phrases that must not stand inside it: licenses that share most of their words are told apart by those,
+not by the coverage.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
-#: Public license notices, by name. Words in ``NEEDED`` must be among the matched ones.
+#: Public license notices, by name. Words in ``NEEDED`` must be among the matched ones, phrases in ``FOREIGN`` must not stand between them.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -35,6 +38,10 @@ TEMPLATES = {
         "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
         sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
         conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+        """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+        OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -46,14 +53,40 @@ TEMPLATES = {
         """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
         the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+        the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    ],
+    "LGPL-2.0": ["""This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as
+        published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    ],
+    "EPL-2.0": ["""This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0"""],
     "MPL-2.0": ["""This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
         this file, You can obtain one at https://mozilla.org/MPL/2.0/."""],
+    "BSD-2-Clause": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+        met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.""",
+    ],
     "BSD-3-Clause": [
         "Released under the BSD License.",
         """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
-        met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.""",
+        met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission.""",
     ],
     "ISC": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
         above copyright notice and this permission notice appear in all copies."""],
@@ -61,14 +94,34 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.",
+                        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.",
+                        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0."],
 }
-#: The words without which a notice names another license.
+#: The words without which a notice names another license; of these, those in the template count.
 NEEDED = {
-    "Apache-2.0": "apache 2.0", "MIT": "", "GPL-3.0": "general public 3", "GPL-2.0": "general public 2", "LGPL-3.0": "lesser", "AGPL-3.0": "affero",
-    "MPL-2.0": "mozilla", "BSD-3-Clause": "", "ISC": "", "Unlicense": "unencumbered", "CC-BY-4.0": "4.0", "CC-BY-SA-4.0": "4.0",
-    "CC-BY-NC-4.0": "4.0", "CC0-1.0": "cc0",
+    "Apache-2.0": "apache 2.0", "MIT": "noninfringement", "GPL-3.0": "general public 3", "GPL-2.0": "general public 2", "LGPL-3.0": "lesser 3",
+    "LGPL-2.1": "lesser 2.1", "LGPL-2.0": "library general 2", "AGPL-3.0": "affero 3", "MPL-2.0": "mozilla", "EPL-2.0": "eclipse 2.0",
+    "BSD-2-Clause": "redistributions binary reproduce", "BSD-3-Clause": "endorse promote neither", "ISC": "", "Unlicense": "unencumbered",
+    "CC-BY-4.0": "4.0 by attribution", "CC-BY-SA-4.0": "4.0 sa sharealike", "CC-BY-NC-4.0": "4.0 nc noncommercial", "CC-BY-ND-4.0": "4.0 nd noderivatives",
+    "CC-BY-NC-SA-4.0": "4.0 nc noncommercial sa sharealike", "CC-BY-NC-ND-4.0": "4.0 nc noncommercial nd noderivatives", "CC0-1.0": "cc0 1.0",
+}
+#: Phrases that make a notice one of another license where they stand inside it.
+FOREIGN = {
+    "GPL-3.0": ["lesser general", "affero general", "library general"], "GPL-2.0": ["lesser general", "affero general", "library general"],
+    "LGPL-3.0": ["affero general"], "AGPL-3.0": ["lesser general"], "BSD-2-Clause": ["neither the name"],
+    "CC-BY-4.0": ["nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike"],
+    "CC-BY-SA-4.0": ["nc", "nd", "noncommercial", "noderivatives", "noderivs"], "CC-BY-NC-4.0": ["nd", "sa", "noderivatives", "noderivs", "sharealike"],
+    "CC-BY-ND-4.0": ["nc", "sa", "noncommercial", "sharealike"],
 }
+#: Words that deny a short notice when they stand up to three words before it in its own clause, unless "only" follows.
+DENIAL = frozenset(["not", "never", "nor", "neither", "cannot", "nicht"])
+SHORT = 12
+_CLAUSE = re.compile(r"[.,;:!?]\s")
+_CONTRACTED = frozenset(["isn", "aren", "wasn", "weren", "hasn", "doesn", "don", "can", "won"])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -136,6 +189,7 @@ class Notice:
     name: str
     words: list[str]
     needed: frozenset[str]
+    foreign: tuple[str, ...] = ()
 
     @staticmethod
     def all() -> list[Notice]:
@@ -144,12 +198,19 @@ class Notice:
         for name, texts in TEMPLATES.items():
             for t in texts:
                 words = words_of(t)
-                own = NEEDED[name].split() or ([name.split("-")[0].lower()] if len(words) < 12 else [])
-                short = ["nc"] if name == "CC-BY-NC-4.0" else ["sa"] if name == "CC-BY-SA-4.0" else []
-                own += [w for w in [*short, "noncommercial", "sharealike"] if w in words]
-                out.append(Notice(name, words, frozenset(w for w in own if w in words)))
+                own = [w for w in NEEDED[name].split() if w in words] or ([name.split("-")[0].lower()] if len(words) < SHORT else [])
+                out.append(Notice(name, words, frozenset(own), tuple(f" {p} " for p in FOREIGN.get(name, ()))))
         return out
 
+    def names(self, words: list[str], a: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the matched ``pairs``, counted from word ``a`` of the text, cover this notice and name its license, not a kin of it."""
+        if len(pairs) < COVERAGE * len(self.words) or not self.needed <= {self.words[j] for _, j in pairs}:
+            return False
+        if not self.foreign:
+            return True
+        inside = f" {' '.join(words[a + pairs[0][0]:a + pairs[-1][0] + 1])} "
+        return not any(p in inside for p in self.foreign)
+
 
 def _stretches(at: list[tuple[int, str]], notice: Notice, width: int) -> list[tuple[int, int]]:
     """Stretches of up to ``width`` words that hold enough of the template's words, each word as often as in the template at most; overlapping ones
@@ -200,15 +261,13 @@ class Scanner:
             for a, b in _stretches(at, notice, len(notice.words) * 3 // 2 + 2):
                 while a < b:
                     pairs = align(words[a:b], notice.words)
-                    if len(pairs) < COVERAGE * len(notice.words) or not notice.needed <= {notice.words[j] for _, j in pairs}:
+                    if not notice.names(words, a, pairs):
                         step = self._split(words, a, b, notice)
                         if step is None:
                             break
-                        a, b_, pairs = step
+                        a, pairs = step
+                    if len(notice.words) >= SHORT or not self._denied(text, spans, words, a + pairs[0][0]):
                         found.append(self._report(spans, a, pairs, notice))
-                        a = b_
-                        continue
-                    found.append(self._report(spans, a, pairs, notice))
                     a += pairs[-1][0] + 1
         found.sort(key=lambda f: (-f[4], -f[3], f[0], f[2]))
         kept: list[tuple] = []
@@ -227,10 +286,20 @@ class Scanner:
             if words[s] not in notice.words:
                 continue
             pairs = align(words[s:min(b, s + n + n // 4 + 1)], notice.words)
-            if len(pairs) >= COVERAGE * n and notice.needed <= {notice.words[j] for _, j in pairs}:
-                return s, s + pairs[-1][0] + 1, pairs
+            if notice.names(words, s, pairs):
+                return s, pairs
         return None
 
+    @staticmethod
+    def _denied(text: str, spans: list[tuple[int, int]], words: list[str], first: int) -> bool:
+        """Whether the clause denies the notice that starts at word ``first``."""
+        for k in range(first - 1, max(first - 4, -1), -1):
+            if _CLAUSE.search(text, spans[k][1], spans[k + 1][0] + 1):
+                return False
+            if (words[k] in DENIAL or words[k] == "t" and k > 0 and words[k - 1] in _CONTRACTED) and words[k + 1] != "only":
+                return True
+        return False
+
     @staticmethod
     def _report(spans: list[tuple[int, int]], a: int, pairs: list[tuple[int, int]], notice: Notice) -> tuple[int, int, str, float, int]:
         return spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1], notice.name, len(pairs) / len(notice.words), len(pairs)
@@ -239,8 +308,9 @@ class Scanner:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``licenses``: an array of (start, end, license, coverage) in the order of the text, code points, end exclusive.
 
-    A notice is found where ``COVERAGE`` of a template's words align, its naming words among them. Whole texts are read; where notices overlap the one with more
-    matched words stays. Null and empty texts have none, repeated rows are scanned each, an empty table gives an empty result; a column ``licenses`` is
+    A notice is found where ``COVERAGE`` of a template's words align, its naming words among them and no phrase of a kindred license between them; a short one that
+    its clause denies ("not licensed under ...") is none. Whole texts are read; a notice is sought in stretches of up to one and a half times its length, so
+    one with longer insertions is not seen. Where notices overlap the one with more matched words stays. Null and empty texts have none, repeated rows are scanned each, an empty table gives an empty result; a column ``licenses`` is
     replaced. Nothing is shuffled.
     """
     scanner: list[Scanner] = []
