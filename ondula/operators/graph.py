@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ondula.operators import ordered
-from ondula.operators.attach import sized_broadcast
+from ondula.operators.attach import attach
 from ondula.operators.quantiles import quantiles
 from ondula.operators.sets import symmetrise
 from ondula.session import cut
@@ -335,31 +333,34 @@ def inverse_distance(points: DataFrame, exponent: float = 3.0, floor: float = 1e
 # ----------------------------------------------------------------------- lesions
 
 
-def lesion_sweep(edges: DataFrame, lesions: DataFrame, graph_function: Callable[[pd.DataFrame], pd.DataFrame],
-                 schema: StructType | str, strength: float = 0.0) -> DataFrame:
-    """Apply a user function of the graph once intact and once per lesion.
+GraphFunction = Callable[[DataFrame, Sequence[str]], DataFrame]
 
-    ``lesions`` has rows ``lesion, region``; the function gets the edges of one
-    graph and returns ``region, t, value``. The output carries the absolute
-    ``difference`` to the intact result.
+
+def lesioned_edges(edges: DataFrame, lesions: DataFrame, strength: float = 0.0) -> DataFrame:
+    """The edges of every lesioned graph: ``graph, lesion, src, dst, weight``; each end inside a lesion scales the weight by ``strength``.
+
+    ``lesions`` has rows ``lesion, region``, or ``graph, lesion, region`` where graphs have lesions of their own.
+    """
+    own = ["graph"] if "graph" in lesions.columns else []
+    sets = lesions.groupBy(*own, "lesion").agg(F.collect_set("region").alias("regions")).groupBy(*own).agg(
+        F.sort_array(F.collect_list(F.struct("lesion", "regions"))).alias("_l"))
+    if not own:
+        sets = edges.select("graph").distinct().join(F.broadcast(sets), how="inner")
+    each = attach(edges, sets, ["graph"], ["src", "dst"]).select("graph", "src", "dst", "weight", F.explode("_l").alias("_l"))
+    hit = lambda c: F.when(F.array_contains("_l.regions", F.col(c)), F.lit(float(strength))).otherwise(1.0)
+    return each.select("graph", F.col("_l.lesion").alias("lesion"), "src", "dst", (F.col("weight") * hit("src") * hit("dst")).alias("weight"))
+
+
+def lesion_sweep(edges: DataFrame, lesions: DataFrame, graph_function: GraphFunction, strength: float = 0.0) -> DataFrame:
+    """Apply a user function of graphs once to the intact ones and once to all lesioned ones.
+
+    The function gets ``keys, src, dst, weight`` and the names of the keys of a graph, and returns ``keys, region, t, value``;
+    all lesions are rows of one plan. The output carries the absolute ``difference`` to the intact result.
     """
-    fields = schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ")
-    sets = lesions.groupBy("lesion").agg(F.collect_set("region").alias("_r"))
-    hit = lambda c: F.when(F.array_contains("_r", F.col(c)), F.lit(float(strength))).otherwise(1.0)
-    cutaway = edges.join(sized_broadcast(sets), how="inner").select(
-        "graph", "lesion", "src", "dst", (F.col("weight") * hit("src") * hit("dst")).alias("weight"))
-    whole = edges.select("graph", F.lit(None).cast("int").alias("lesion"), "src", "dst", "weight")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = graph_function(pdf[["src", "dst", "weight"]])
-        return out.assign(graph=key[0], lesion=key[1])
-
-    ddl = f"graph string, lesion double, {fields}"
-    res = whole.unionByName(cutaway).withColumn("lesion", F.col("lesion").cast("double")).groupBy("graph", "lesion").applyInPandas(run, ddl)
-    res = cut(res)
-    intact = res.where("lesion IS NULL OR isnan(lesion)").select("graph", "region", "t", F.col("value").alias("intact"))
-    done = res.where("lesion IS NOT NULL AND NOT isnan(lesion)").withColumn("lesion", F.col("lesion").cast("int"))
-    return done.join(intact, ["graph", "region", "t"]).select(
+    intact = graph_function(edges.select("graph", "src", "dst", "weight"), ["graph"]).select("graph", "region", "t", F.col("value").alias("intact"))
+    done = graph_function(lesioned_edges(edges, lesions, strength), ["graph", "lesion"])
+    # all lesions of a region meet its intact value, so that value is attached rather than joined by its key
+    return attach(done, intact, ["graph", "region", "t"], ["lesion"]).select(
         "graph", "lesion", "region", "t", "intact", F.col("value").alias("lesioned"), F.abs(F.col("intact") - F.col("value")).alias("difference"))
 
 

@@ -398,6 +398,7 @@ class Independent:
 
 def fast_ica(frames: DataFrame, n: int | None = None, max_iter: int = 200, tol: float = 1e-4, seed: int = 0) -> Independent:
     """Parallel log-cosh FastICA; one pass over the whitened frames per iteration."""
+    frames = frames.where("x IS NOT NULL")
     white = whiten(frames, n)
     x = cut(white.transform(frames).select("x"))
     k = len(white.values)

@@ -1,6 +1,5 @@
 """Graph queries on the trade graph and on meshes built from the tables."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ondula.operators import graph as G
@@ -155,17 +154,17 @@ def _(spark, sf):
     return G.inverse_distance(s)
 
 
-def two_step_flow(edges: pd.DataFrame) -> pd.DataFrame:
+def two_step_flow(edges, keys):
     """A small linear graph function: strength after one and two steps."""
-    e = edges.sort_values(["src", "dst"])
-    one = e.groupby("src")["weight"].sum()
-    two = e.assign(weight=e["weight"] * e["dst"].map(one).fillna(0.0)).groupby("src")["weight"].sum()
-    return pd.concat([pd.DataFrame({"region": s.index.astype("int32"), "t": t, "value": s.to_numpy()}) for t, s in enumerate((one, two))])
+    one = edges.groupBy(*keys, F.col("src").alias("region")).agg(F.sum("weight").alias("value"))
+    ahead = edges.join(one.withColumnRenamed("region", "dst"), [*keys, "dst"], "left")
+    two = ahead.groupBy(*keys, F.col("src").alias("region")).agg(F.sum(F.col("weight") * F.coalesce("value", F.lit(0.0))).alias("value"))
+    return one.withColumn("t", F.lit(0)).unionByName(two.withColumn("t", F.lit(1)))
 
 
 def _sweep(spark, sf):
-    lesions = spark.range(25).select(F.col("id").cast("int").alias("lesion"), F.col("id").cast("int").alias("region"))
-    return G.lesion_sweep(ad.trade(spark, sf), lesions, two_step_flow, "region int, t bigint, value double")
+    lesions = ad.trade_nodes(spark, sf).select("graph", F.col("node").alias("lesion"), F.col("node").alias("region"))
+    return G.lesion_sweep(ad.trade(spark, sf), lesions, two_step_flow)
 
 
 LESION = with_("trade", "nodes") + (

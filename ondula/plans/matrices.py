@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ondula.operators import keyed as K
 from ondula.operators import matrix as M
 from ondula.operators import spectral as S
 from ondula.operators import windows as Wn
@@ -33,6 +34,18 @@ def _(spark, sf):
     return scores.groupBy("component").agg(F.var_pop("v").alias("v")).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
+@query("mat_01b_components_of_recordings", "recording total:7 squares:7 off:7",
+       "WITH e AS (SELECT 'r' || (label % 4) AS recording, vec_id AS t, unnest(range(64)) AS channel, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings), "
+       "c AS (SELECT a.recording, a.channel AS i, b.channel AS j, covar_pop(a.v, b.v) AS c FROM e a JOIN e b ON a.recording = b.recording AND a.t = b.t GROUP BY 1, 2, 3) "
+       "SELECT recording, sum(CASE WHEN i = j THEN c ELSE 0 END) AS total, sum(c * c) AS squares, 0 AS off FROM c GROUP BY 1")
+def _(spark, sf):
+    f = ad.frames(spark, sf, split=True)
+    own = F.col("i") == F.col("j")
+    g = gram(K.transform(f, K.principal(f)))
+    return g.groupBy("recording").agg(F.sum(F.when(own, F.col("cov"))).alias("total"), F.sum(F.when(own, F.col("cov") ** 2)).alias("squares"),
+                                      F.max(F.when(~own, F.abs("cov"))).alias("off"))
+
+
 @query("mat_02_invertible_components", "t:l channel:l value:8", with_("samples") + "SELECT t, channel, value FROM samples")
 def _(spark, sf):
     f = ad.frames(spark, sf)
@@ -282,6 +295,15 @@ def _(spark, sf):
     return _table(spark, "i int, j int, v double", [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m))])
 
 
+@query("mat_21c_geometric_means_by_key", "part:l i:l j:l v:9",
+       VARIANCES + ", k AS (SELECT epoch % 4 AS part, channel, exp(avg(ln(v))) AS r FROM d GROUP BY 1, 2) "
+       "SELECT a.part, a.channel AS i, b.channel AS j, CASE WHEN a.channel = b.channel THEN a.r ELSE 0 END AS v FROM k a JOIN k b ON a.part = b.part")
+def _(spark, sf):
+    covs = diagonal_covs(spark, sf).withColumn("part", F.col("epoch") % 4)
+    cells = K.covariance_mean(covs, ["part"]).select("part", F.posexplode("mean").alias("_p", "v"))
+    return cells.select("part", F.floor(F.col("_p") / 64).alias("i"), (F.col("_p") % 64).alias("j"), "v")
+
+
 @query("mat_22b_pair_distances", "epoch:l pair:l distance:6",
        with_("samples") + ", p AS (SELECT a.t // 25 AS epoch, a.channel // 2 AS pair, var_pop(a.value) AS a, var_pop(b.value) AS b, covar_pop(a.value, b.value) AS c FROM samples a JOIN samples b "
        "ON a.t = b.t AND a.channel % 2 = 0 AND b.channel = a.channel + 1 GROUP BY 1, 2), r AS (SELECT *, sqrt((a - b) ** 2 / 4 + c ** 2) AS h FROM p) "

@@ -98,7 +98,7 @@ def _(spark, sf):
     from ondula.operators.graph import lesion_sweep
     from ondula.plans.graphs import two_step_flow
     none = spark.createDataFrame([(0, -1)], "lesion int, region int")
-    return lesion_sweep(ad.trade(spark, sf), none, two_step_flow, "region int, t bigint, value double").select("region", "t", F.col("lesioned").alias("value"))
+    return lesion_sweep(ad.trade(spark, sf), none, two_step_flow).select("region", "t", F.col("lesioned").alias("value"))
 
 
 @query("udf_04_cleaning_registry", "channel t:l value:6",
