@@ -27,7 +27,7 @@ def files(spark, sf):
     o = ad.table(spark, sf, "orders")
     sub = F.concat(F.lit("/d/sub-"), F.col("o_custkey"), F.lit("/ses-1/sub-"), F.col("o_custkey"), F.lit("_"))
     name = F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("o_orderkey") % 10).cast("int"))
-    return o.select(F.concat(sub, name).alias("path"), (F.round("o_totalprice").cast("bigint") % 3000).alias("length"))
+    return o.select(F.concat(sub, name).alias("path"), (F.rint("o_totalprice").cast("bigint") % 3000).alias("length"))  # halves to even, as the SQL's cast
 
 
 @query("src_01_recording_scan", "recording n_t:l n_channels:l total:6",
