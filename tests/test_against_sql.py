@@ -1,9 +1,13 @@
 """Queries next to their SQL on small tables with the values that larger tables bring."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 
 import oracle
+from ondula.operators import fourier, graph
 from ondula.plans import load
 
 
@@ -24,3 +28,18 @@ def compare(spark, folder, name, **tables):
 def test_lengths_round_halves_to_even(spark, tmp_path, price):
     orders = f"SELECT k AS o_orderkey, 7 AS o_custkey, CAST({price} AS DOUBLE) AS o_totalprice FROM (VALUES (2), (3)) v(k)"
     assert compare(spark, tmp_path, "src_06_availability", orders=orders) is None
+
+
+def joins_of(df):
+    """The executed plan as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_points_are_not_broadcast(spark):
+    points = spark.range(400).selectExpr("'m' AS mesh", "id AS v", "id % 20 * 1.0 AS x", "id DIV 20 * 1.0 AS y", "0.0 AS z")
+    near = graph.within_distance(points, 3.0)
+    assert "Broadcast" not in joins_of(near)
+    found = {(r.src, r.dst): r.length for r in near.collect()}
+    at = [(v % 20, v // 20) for v in range(400)]
+    want = {(a, b): math.dist(at[a], at[b]) for a in range(400) for b in range(400) if a != b and math.dist(at[a], at[b]) < 3}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want) and near.count() == len(want)
