@@ -43,3 +43,14 @@ def test_copies_of_points_are_not_broadcast(spark):
     at = [(v % 20, v // 20) for v in range(400)]
     want = {(a, b): math.dist(at[a], at[b]) for a in range(400) for b in range(400) if a != b and math.dist(at[a], at[b]) < 3}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want) and near.count() == len(want)
+
+
+def test_pairs_of_all_points_are_not_shuffled(spark):
+    points = spark.range(2500).selectExpr("'m' AS mesh", "id AS v", "id % 7 * 1.0 AS x", "id % 11 * 1.0 AS y", "id % 13 * 1.0 AS z")
+    cells = graph.inverse_distance(points)
+    plan = joins_of(cells)
+    # what is exchanged are points and their copies; the last join is not followed by another exchange, nor are pairs sorted
+    assert "SortMergeJoin" not in plan and "NestedLoop" not in plan
+    assert cells.count() == 2500 * 2499
+    sums = cells.groupBy("i").agg({"v": "sum"}).collect()
+    assert len(sums) == 2500 and all(abs(r[1] - 1) < 1e-9 for r in sums)
