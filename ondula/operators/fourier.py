@@ -61,21 +61,23 @@ def _split(n: int, limit: int) -> tuple[int, int]:
     return d, n // d
 
 
-def _chirp(rows: DataFrame, keys: list[str], sign: int) -> DataFrame:
-    """Any length by convolution with a chirp on a power-of-two grid ``m`` >= 2 n."""
+def _chirp(rows: DataFrame, keys: list[str], sign: int, dims: DataFrame) -> DataFrame:
+    """Any length by convolution with a chirp on a power-of-two grid ``m`` >= 2 n.
+
+    The chirp depends on the length alone: it is made and transformed once per length of ``dims``, and met by a shuffle, for the planner takes its rows for few.
+    """
     half = lambda t: sign * math.pi * ((t * t) % (2 * F.col("n"))) / F.col("n")
     turn = lambda re, im, p: ((re * F.cos(p) - im * F.sin(p)).alias("re"), (re * F.sin(p) + im * F.cos(p)).alias("im"))
     re, im = F.col("re"), F.col("im")
     a = rows.select(*keys, "n", "n1", "n2", "t", *turn(re, im, half(F.col("t"))))
-    size = [*keys, "_n", "n1", "n2"]
     fa = _grid(a.withColumnRenamed("n", "_n").withColumn("n", F.col("n1") * F.col("n2")), [*keys, "_n"], -1)
-    b = rows.select(*keys, F.col("n").alias("_n"), "n1", "n2").distinct().withColumn("_u", F.explode(
-        F.sequence(-(F.col("_n") - 1), F.col("_n") - 1)))
+    b = dims.select(F.col("n").alias("_n"), "n1", "n2").withColumn("_u", F.explode(F.sequence(1 - F.col("_n"), F.col("_n") - 1, F.lit(LIMIT).cast("bigint"))))
+    b = b.withColumn("_u", F.explode(F.sequence(F.col("_u"), F.least(F.col("_u") + LIMIT, F.col("_n")) - 1)))
     m = F.col("n1") * F.col("n2")
     ph = -sign * math.pi * ((F.col("_u") * F.col("_u")) % (2 * F.col("_n"))) / F.col("_n")
-    b = b.select(*size, m.alias("n"), F.pmod("_u", m).alias("t"), F.cos(ph).alias("re"), F.sin(ph).alias("im"))
-    fb = _grid(b, [*keys, "_n"], -1).select(*keys, "_n", "k", F.col("re").alias("_br"), F.col("im").alias("_bi"))
-    p = fa.join(fb, [*keys, "_n", "k"]).select(
+    b = b.select("_n", "n1", "n2", m.alias("n"), F.pmod("_u", m).alias("t"), F.cos(ph).alias("re"), F.sin(ph).alias("im"))
+    fb = _grid(b, ["_n"], -1).select("_n", "k", F.col("re").alias("_br"), F.col("im").alias("_bi"))
+    p = fa.join(fb.hint("merge"), ["_n", "k"]).select(
         *keys, "_n", "n", F.col("k").alias("t"), (re * F.col("_br") - im * F.col("_bi")).alias("re"), (re * F.col("_bi") + im * F.col("_br")).alias("im"))
     p = p.withColumn("_l", F.floor(F.log2("n") / 2).cast("int")).withColumn("n1", F.expr("shiftleft(1L, _l)")).withColumn(
         "n2", (F.col("n") / F.col("n1")).cast("bigint"))
@@ -120,7 +122,7 @@ def dft(rows: DataFrame, keys: Sequence[str], inverse: bool = False, limit: int
     for layout, how in ((grid, _grid), (chirp, _chirp)):
         if layout:
             dims = rows.sparkSession.createDataFrame([(s, a, b) for s, (a, b) in layout.items()], "n bigint, n1 bigint, n2 bigint")
-            parts.append(how(base.join(F.broadcast(dims), "n"), keys, sign))
+            parts.append(how(base.join(F.broadcast(dims), "n"), keys, sign, *([dims] if how is _chirp else [])))
     out = parts[0].select(*keys, "n", "k", "re", "im")
     for p in parts[1:]:
         out = out.unionByName(p.select(*keys, "n", "k", "re", "im"))

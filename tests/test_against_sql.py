@@ -54,3 +54,14 @@ def test_pairs_of_all_points_are_not_shuffled(spark):
     assert cells.count() == 2500 * 2499
     sums = cells.groupBy("i").agg({"v": "sum"}).collect()
     assert len(sums) == 2500 and all(abs(r[1] - 1) < 1e-9 for r in sums)
+
+
+def test_chirp_is_made_once_per_length(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3, 202))  # 2 x 101: no factors below the limit
+    rows = spark.createDataFrame([(c, t, float(x[c, t]), 0.0) for c in range(3) for t in range(202)], "channel int, t bigint, re double, im double")
+    f = fourier.dft(rows, ["channel"], limit=50)
+    got = {(r.channel, r.k): complex(r.re, r.im) for r in f.collect()}
+    want = np.fft.fft(x, axis=1)
+    assert len(got) == 606 and max(abs(got[c, k] - want[c, k]) for c in range(3) for k in range(202)) < 1e-9
+    assert "SortMergeJoin" in joins_of(f)
