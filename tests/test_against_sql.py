@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import oracle
-from ondula.operators import fourier, graph
+from ondula.operators import fourier, graph, nonlinear, tiles
 from ondula.plans import load
 
 
@@ -65,3 +65,56 @@ def test_chirp_is_made_once_per_length(spark):
     want = np.fft.fft(x, axis=1)
     assert len(got) == 606 and max(abs(got[c, k] - want[c, k]) for c in range(3) for k in range(202)) < 1e-9
     assert "SortMergeJoin" in joins_of(f)
+
+
+def frames_of(spark, x):
+    return spark.createDataFrame([("all", t, [float(v) for v in row]) for t, row in enumerate(x)], "recording string, t bigint, x array<double>")
+
+
+def test_distances_of_several_metrics_meet_no_join_of_pairs(spark):
+    x = np.random.default_rng(2).normal(size=(90, 5))
+    f = frames_of(spark, x)
+    d = nonlinear.distance_pairs(f, ("euclidean", "manhattan", "supremum"), block=16)
+    assert joins_of(d).split("Initial Plan")[0].count("SortMergeJoin") <= 1 and "Broadcast" not in joins_of(d)  # only blocks meet
+    rows = d.collect()
+    assert len(rows) == 90 * 89 // 2
+    for r in rows:
+        e = np.abs(x[r.i] - x[r.j])
+        assert abs(r.euclidean - math.sqrt((e ** 2).sum())) < 1e-12 and abs(r.manhattan - e.sum()) < 1e-12 and r.supremum == e.max()
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.005, 0.05, 0.5, 0.98, 1.0])
+def test_quantile_of_distances_is_exact_and_writes_no_pairs(spark, rate, monkeypatch):
+    monkeypatch.setattr(tiles, "FEW", 40)  # several passes
+    x = np.random.default_rng(3).normal(size=(60, 3)).round(1)
+    x[40:] = x[:20]  # ties and zeros
+    x[7] = 1e6  # a distant point
+    full = tiles.distances(x, x, "euclidean")
+    got = tiles.distance_quantile(frames_of(spark, x), rate, block=16).first()["_q"]
+    assert abs(got - np.quantile(full, rate)) <= 1e-9 * max(1, got)
+
+
+def test_sides_are_bounded(spark):
+    blocks = spark.range(1000).withColumnRenamed("id", "blk")
+    assert blocks.select(tiles.squares(blocks, "blk")[1].alias("s")).count() == 1000 * tiles.SIDES
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e9])
+def test_supremum_prefilter_loses_and_adds_nothing(scale):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(70, 6)).round(2) * scale, rng.normal(size=(50, 6)).round(2) * scale
+    b[:10] = a[:10] + 0.5 * scale  # distances at the limit
+    b[10] = 50 * scale
+    whole = np.abs(a[:, None] - b[None]).max(axis=2)
+    for limit in (0.0, 0.5 * scale, 1.5 * scale, 1e3 * scale, whole[3, 3]):
+        i, j, d = tiles.close_pairs(a, b, "supremum", limit)
+        want = np.nonzero(whole <= limit)
+        assert np.array_equal(i, want[0]) and np.array_equal(j, want[1]) and np.array_equal(d, whole[want])
+
+
+def test_counts_of_pairs_equal_the_pairs(spark):
+    f = frames_of(spark, np.random.default_rng(5).normal(size=(100, 4)))
+    pairs = nonlinear.recurrence(f, 1.2, metric="supremum", block=16)
+    counts = tiles.count_within(f, 1.2, metric="supremum", block=16)
+    assert counts.first().pairs == pairs.count() > 0
+    assert nonlinear.rate_of_counts(counts, f).first() == nonlinear.recurrence_rate(pairs, f).first()
