@@ -8,7 +8,7 @@ from ondula.operators import nonlinear as N
 from ondula.operators import visibility as V
 from ondula.operators import windows as Wn
 from ondula.operators.lines import recurrence_lines
-from ondula.operators.tiles import template_counts
+from ondula.operators.tiles import count_within, template_counts
 from ondula.plans import adapters as ad
 from ondula.plans.adapters import with_
 from ondula.plans.registry import query
@@ -35,11 +35,6 @@ def _(spark, sf):
 RP = with_("samples") + DIST + ", p AS (SELECT i, j FROM d WHERE s <= 0.35), n AS (SELECT count(*) AS n FROM frames) "
 
 
-def _pairs(spark, sf):
-    f = ad.frames(spark, sf)
-    return cut(N.recurrence(f, 0.35, metric="supremum", block=128)), f
-
-
 def _lines(spark, sf):
     f = ad.frames(spark, sf)
     return cut(recurrence_lines(f, 0.35, metric="supremum", block=128)), f
@@ -47,7 +42,8 @@ def _lines(spark, sf):
 
 @query("nlt_03_recurrence_rate", "points:l recurrence_rate:8", RP + "SELECT 2 * (SELECT count(*) FROM p) AS points, 2 * (SELECT count(*) FROM p) / (n * (n - 1)) AS recurrence_rate FROM n")
 def _(spark, sf):
-    return N.recurrence_rate(*_pairs(spark, sf))
+    f = ad.frames(spark, sf)
+    return N.rate_of_counts(count_within(f, 0.35, metric="supremum", block=128), f)
 
 
 DIAG = ", dl AS (SELECT d, count(*) AS l FROM (SELECT j - i AS d, i, i - row_number() OVER (PARTITION BY j - i ORDER BY i) AS g FROM p) GROUP BY d, g) "
