@@ -15,17 +15,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ondula.functions.types import LONGS
-from ondula.operators.tiles import distances, meeting_blocks
+from ondula.operators.tiles import close_pairs, meeting_blocks
 
 DIAGONAL, VERTICAL = 0, 1
 FIELDS = ("kind", "line", "start", "length", "n")
 
 
+def runs(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, first place, length) of the runs of places that follow each other, from cells in the order of line and place."""
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    return line[first], at[first], np.diff(np.append(first, len(line)))
+
+
 def column_runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(column, first row, length) of the runs of true cells down the columns."""
-    edges = np.diff(np.pad(m.astype(np.int8), ((1, 1), (0, 0))), axis=0).T
-    column, start = np.nonzero(edges == 1)
-    return column, start, np.nonzero(edges == -1)[1] - start
+    return runs(*np.nonzero(np.ascontiguousarray(m.T)))
+
+
+def diagonal_runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column - row, first row, length) of the runs of true cells down the diagonals."""
+    i, j = np.nonzero(m)
+    order = np.argsort((j - i) * len(m) + i, kind="stable")
+    return runs((j - i)[order], i[order])
 
 
 def skewed(m: np.ndarray) -> np.ndarray:
@@ -51,8 +64,7 @@ def block_summary(m: np.ndarray, row0: int, col0: int, present: np.ndarray | Non
                                np.append(length[touches], some), np.append(np.ones(lines, np.int64), closed[some])]))
 
     upper = np.triu(m, 1) if present is not None else m
-    column, start, length = column_runs(skewed(upper))
-    offset = column - (size - 1)
+    offset, start, length = diagonal_runs(upper)
     end = start + length
     add(DIAGONAL, offset + col0 - row0, start + row0, length, (start == np.maximum(0, -offset)) | (end == np.minimum(size, size - offset)))
     sides = [(upper | upper.T | np.diag(present), row0, col0)] if present is not None else [(m, row0, col0), (m.T, col0, row0)]
@@ -89,9 +101,10 @@ def recurrence_lines(frames: DataFrame, threshold: float, metric: str = "euclide
             i, j = np.asarray(t) - a * block, np.asarray(u) - b * block
             p, q = np.asarray(x, dtype=float).reshape(len(i), -1), np.asarray(y, dtype=float).reshape(len(j), -1)
             m = np.zeros((block, block), bool)
-            step = max(1, (1 << 22) // max(1, len(j) * p.shape[1]))
+            step = max(1, (1 << 20) // max(1, len(j)))
             for lo in range(0, len(i), step):
-                m[np.ix_(i[lo:lo + step], j)] = distances(p[lo:lo + step], q, metric) <= threshold
+                ii, jj, _ = close_pairs(p[lo:lo + step], q, metric, threshold)
+                m[i[lo + ii], j[jj]] = True
             out.append(block_summary(m, a * block, b * block, np.isin(np.arange(block), i) if a == b else None))
         return pd.DataFrame({f: [o[k] for o in out] for k, f in enumerate(FIELDS)})
 
