@@ -118,3 +118,21 @@ def test_counts_of_pairs_equal_the_pairs(spark):
     counts = tiles.count_within(f, 1.2, metric="supremum", block=16)
     assert counts.first().pairs == pairs.count() > 0
     assert nonlinear.rate_of_counts(counts, f).first() == nonlinear.recurrence_rate(pairs, f).first()
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_templates_meet_in_two_dimensions(spark, dim):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, dim + 1)).round(1)
+    r = 0.4
+    rows = [("a", t, [float(v) for v in row[: dim + (t < 119)]], r) for t, row in enumerate(x)]
+    got = tiles.template_counts(spark.createDataFrame(rows, "channel string, t bigint, x array<double>, r double"), ["channel"], dim, block=8)
+    assert ("cell1" in joins_of(got)) == (dim > 1)  # the second value is a key: a cell holds no more than both values allow
+    near = np.abs(x[:, None, :dim] - x[None, :, :dim]).max(axis=2) <= r
+    full = np.arange(120) < 119
+    both = near & full & (np.abs(x[:, None, dim] - x[None, :, dim]) <= r)
+    for row in got.collect():
+        assert (row.c_all, row.c_full) == (near[row.t].sum(), (near[row.t] & full).sum())
+        if row.full:
+            assert row.c_next == both[row.t].sum()
+    assert got.count() == 120
