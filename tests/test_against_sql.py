@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 import oracle
-from ondula.operators import fourier, graph, nonlinear, tiles
+from ondula.operators import fourier, graph, matrix, nonlinear, tiles
 from ondula.plans import load
+from ondula.session import cut
 
 
 def compare(spark, folder, name, **tables):
@@ -136,3 +137,19 @@ def test_templates_meet_in_two_dimensions(spark, dim):
         if row.full:
             assert row.c_next == both[row.t].sum()
     assert got.count() == 120
+
+
+def test_loadings_are_updated_in_one_function(spark, monkeypatch):
+    x = np.abs(np.random.default_rng(7).normal(size=(40, 6)))
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "row bigint, v array<double>")
+    plans = []
+
+    def seen(df):
+        plans.append(joins_of(df).split("Initial Plan")[0].count("ArrowEvalPython"))
+        return cut(df)
+
+    monkeypatch.setattr(matrix, "cut", seen)
+    w, h = matrix.nmf(rows, 2, 12, seed=2)
+    assert max(plans) <= 1  # a worker for each of five updates before
+    fit = np.array([r.w for r in w.orderBy("row").collect()]) @ h
+    assert np.linalg.norm(x - fit) < 0.6 * np.linalg.norm(x)
