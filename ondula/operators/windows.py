@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ondula.functions.types import DOUBLES, LONGS
 from ondula.operators import ordered
 from ondula.operators.aggregates import connectivity, ks_statistic
 from ondula.operators.attach import attach
+from ondula.operators.gram import Rows
 from ondula.operators.quantiles import quantiles
 from ondula.operators.tiles import pack, squares
 from ondula.session import cut
@@ -113,13 +112,15 @@ def window_connectivity(frames: DataFrame, width: int, step: int, key: str = "re
 
 
 WINDOWS_PER_TILE = 32
+HELD = 64  # tiles that a task holds
 
 
 def connectivity_dynamics(frames: DataFrame, width: int, step: int, key: str = "recording") -> DataFrame:
     """Pearson between the connectivity patterns of every two windows: ``key, w1, w2, r``.
 
-    Patterns are scaled to unit vectors and packed into tiles of windows. Tiles meet in squares, so a recording is not one key; each pair of tiles is one matrix
-    product, and the pairs of a tile above the diagonal give those below it too.
+    Patterns are scaled to unit vectors and packed into tiles of windows. Tiles meet in squares, so a recording is not one key. A task holds the ``HELD`` tiles at
+    most of one side of a square while those of the other stream by, so no row holds two tiles; each pair of tiles is one matrix product, and the pairs of a tile
+    above the diagonal give those below it too.
     """
     fc = cut(window_connectivity(frames, width, step, key))
     stat = fc.groupBy(key, "win").agg(F.avg("r").alias("_m"), (F.stddev_pop("r") * F.sqrt(F.count("*"))).alias("_n"))
@@ -127,25 +128,38 @@ def connectivity_dynamics(frames: DataFrame, width: int, step: int, key: str = "
     rows = fc.join(stat, [key, "win"]).groupBy(key, "win").agg(
         F.sort_array(F.collect_list(F.struct("i", "j", unit.alias("r")))).alias("_c")).select(key, F.col("win").alias("t"), F.col("_c.r").alias("x"))
     tiles = cut(pack(rows, [key], F.floor(F.col("t") / WINDOWS_PER_TILE).cast("int")))  # windows x pairs; read twice below
-    side, every = squares(tiles, "blk")
-    a = tiles.select(key, side.alias("_row"), every.alias("_col"), F.col("blk").alias("ba"), F.col("t").alias("ta"), F.col("x").alias("xa"))
-    b = tiles.select(key, every.alias("_row"), side.alias("_col"), F.col("blk").alias("bb"), F.col("t").alias("tb"), F.col("x").alias("xb"))
-    met = a.join(b, [key, "_row", "_col"]).where("ba <= bb")
-
-    @F.pandas_udf(T.StructType([T.StructField("w1", LONGS), T.StructField("w2", LONGS), T.StructField("r", DOUBLES)]))
-    def products(ta: pd.Series, xa: pd.Series, tb: pd.Series, xb: pd.Series) -> pd.DataFrame:
-        out = {"w1": [], "w2": [], "r": []}
-        for t, x, u, y in zip(ta, xa, tb, xb):
-            t, u = np.asarray(t), np.asarray(u)
-            r = (np.asarray(x, dtype=float).reshape(len(t), -1) @ np.asarray(y, dtype=float).reshape(len(u), -1).T).ravel()
-            left, right = np.repeat(t, len(u)), np.tile(u, len(t))
-            mirror = () if t[0] == u[0] else (1,)
-            for c, one, other in (("w1", left, right), ("w2", right, left), ("r", r, r)):
-                out[c].append(np.concatenate([one, *[other for _ in mirror]]))
-        return pd.DataFrame(out)
-
-    hit = met.select(key, products("ta", "xa", "tb", "xb").alias("_p"))
-    return hit.select(key, F.explode(F.arrays_zip("_p.w1", "_p.w2", "_p.r")).alias("_z")).select(key, "_z.w1", "_z.w2", "_z.r")
+    side, every = squares(tiles, "blk", HELD)
+    kept = [F.col("blk"), F.col("t"), F.col("x")]
+    copies = tiles.select(key, side.alias("_row"), every.alias("_col"), F.lit(0).alias("_second"), *kept).unionByName(
+        tiles.select(key, every.alias("_row"), side.alias("_col"), F.lit(1).alias("_second"), *kept))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square, held = None, []
+        for batch in batches:
+            places = list(zip(*[batch.column(c).to_pylist() for c in range(5)]))
+            times, values = (Rows(batch.column(c)) for c in (5, 6))
+            for n, (*here, second, blk) in enumerate(places):
+                if here != square:
+                    square, held = here, []
+                u = times[n]
+                y = values[n].reshape(len(u), -1)
+                if not second:
+                    held.append((blk, u.copy(), y.copy()))
+                    continue
+                out = []
+                for other, t, x in held:
+                    if other > blk:
+                        break
+                    left, right, r = np.repeat(t, len(u)), np.tile(u, len(t)), (x @ y.T).ravel()
+                    out += [(left, right, r)] if other == blk else [(left, right, r), (right, left, r)]
+                if out:
+                    w1, w2, r = (np.concatenate(c) for c in zip(*out))
+                    keys = pa.repeat(pa.scalar(here[0], batch.schema.field(0).type), len(r))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(w1), pa.array(w2), pa.array(r)], names=[key, "w1", "w2", "r"])
+
+    by = [key, "_row", "_col"]
+    dealt = copies.where(F.col(key).isNotNull()).repartition(*by).sortWithinPartitions(*by, "_second", "blk")
+    return dealt.mapInArrow(products, f"`{key}` {tiles.schema[key].dataType.simpleString()}, w1 bigint, w2 bigint, r double")
 
 
 def dynamics_distance(a: DataFrame, b: DataFrame) -> DataFrame:

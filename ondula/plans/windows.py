@@ -94,7 +94,7 @@ def _(spark, sf):
        "SELECT max(abs(ca / (SELECT sum(a) FROM u) - cb / (SELECT sum(b) FROM u))) AS ks FROM c")
 def _(spark, sf):
     from ondula.session import cut
-    d = cut(Wn.connectivity_dynamics(ad.frames(spark, sf), 100, 50))
+    d = cut(Wn.connectivity_dynamics(ad.frames(spark, sf), 100, 50).where("w1 < w2"))  # only these count below
     return Wn.dynamics_distance(d.where("w1 % 2 = 0"), d.where("w1 % 2 = 1"))
 
 

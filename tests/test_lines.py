@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ondula.operators import nonlinear as N
 from ondula.operators import windows as Wn
 from ondula.operators.lines import block_summary, lines_of_pairs, recurrence_lines, skewed
+from ondula.operators.tiles import squares
 
 
 def runs(cells):
@@ -82,3 +83,22 @@ def test_dynamics_over_many_tiles(spark, monkeypatch):
         assert len(part) == len(want) ** 2
         for r in part:
             assert r["r"] == pytest.approx(want[r["w1"], r["w2"]], abs=1e-9)
+
+
+def test_dynamics_hold_few_tiles(spark, monkeypatch):
+    """No row has two tiles (pairs of tiles were rows before), and no task holds more than ``HELD``."""
+    monkeypatch.setattr(Wn, "WINDOWS_PER_TILE", 1)
+    monkeypatch.setattr(Wn, "HELD", 2)
+    x = np.random.default_rng(5).standard_normal((430, 4))
+    frames = spark.createDataFrame([("a", k, v.tolist()) for k, v in enumerate(x)], "recording string, t long, x array<double>")
+    dyn = Wn.connectivity_dynamics(frames, 40, 10)
+    plan = dyn._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "Join" not in plan
+    blocks = spark.range(40).withColumnRenamed("id", "blk")
+    side, every = squares(blocks, "blk", 2)
+    assert blocks.groupBy(side.alias("s")).count().agg(F.max("count")).first()[0] == 2
+    assert blocks.select("blk", every).count() == 40 * 20
+    up = np.triu_indices(4, 1)
+    want = np.corrcoef([np.corrcoef(x[s:s + 40].T)[up] for s in range(0, 391, 10)])
+    got = dyn.toPandas()
+    assert len(got) == 1600 and np.allclose(want[got["w1"], got["w2"]], got["r"], atol=1e-9)
