@@ -10,31 +10,47 @@ the chirp form, which needs only power-of-two transforms.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ondula.functions.types import doubles
 from ondula.operators.attach import attach
+from ondula.operators.gram import Rows
 from ondula.session import cut
 
 LIMIT = 1 << 16
+PIECE = 1 << 18  # values that leave a worker at a time
 
 
-@F.pandas_udf(doubles("re", "im"))
-def _dft(idx: pd.Series, re: pd.Series, im: pd.Series, n: pd.Series, sign: pd.Series) -> pd.DataFrame:
-    """Transform of each array row placed at ``idx`` in ``n`` zeros; sign -1 forward, +1 unscaled inverse."""
-    out_re, out_im = [], []
-    for i, a, b, size, s in zip(idx, re, im, n, sign):
-        z = np.zeros(int(size), dtype=complex)
-        z[np.asarray(i, dtype=np.int64)] = np.asarray(a, dtype=float) + 1j * np.asarray(b, dtype=float)
-        f = np.fft.fft(z) if s < 0 else np.fft.ifft(z) * len(z)
-        out_re.append(f.real)
-        out_im.append(f.imag)
-    return pd.DataFrame({"re": out_re, "im": out_im})
+@F.arrow_udf(doubles("re", "im"))
+def _dft(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Transform of each array row placed at ``idx`` in ``n`` zeros; sign -1 forward, +1 unscaled inverse.
+
+    Results leave in pieces of about ``PIECE`` values, so a worker holds the batch it reads and one piece, not the transforms of the whole batch.
+    """
+    def piece(done: list[np.ndarray]) -> pa.Array:
+        ends = pa.array(np.cumsum([0, *map(len, done)]).astype(np.int32))
+        z = np.concatenate(done)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(v))) for v in (z.real, z.imag)], names=["re", "im"])
+
+    for *points, n, sign in batches:
+        done, held = [], 0
+        columns = [Rows(c) for c in points]
+        for row, (size, s) in enumerate(zip(n.to_pylist(), sign.to_pylist())):
+            i, a, b = (c[row] for c in columns)
+            z = np.zeros(size, dtype=complex)
+            z[i] = a + 1j * b
+            done.append(np.fft.fft(z) if s < 0 else np.fft.ifft(z) * size)
+            held += size
+            if held >= PIECE:
+                yield piece(done)
+                done, held = [], 0
+        if done:
+            yield piece(done)
 
 
 def _stage(rows: DataFrame, group: list[str], idx: str, size: Column, sign: int, out: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,19 @@ def test_sparse_dynamics_of_a_stable_system(spark):
     f = spark.createDataFrame(rows, "recording string, t long, x array<double>")
     got = N.sparse_dynamics(f, 500, 500, 3, 1, 0.01, 0.01).toPandas()
     assert (got["max_real"] < 0).all()
+
+
+def test_transforms_leave_in_pieces(monkeypatch):
+    """The transforms of a whole Arrow batch were held before the first of them left."""
+    monkeypatch.setattr(fourier, "PIECE", 20)
+    x = np.random.default_rng(8).normal(size=(2, 7, 8))
+    lists = lambda v, kind: pa.array([list(r) for r in v], pa.list_(kind))
+    batch = (lists([range(8)] * 7, pa.int64()), lists(x[0], pa.float64()), lists(x[1], pa.float64()), pa.array([8] * 7), pa.array([-1] * 6 + [1]))
+    got = fourier._dft.func(iter([batch, tuple(c.slice(6) for c in batch)]))
+    pieces = [next(got)]
+    pieces += got
+    assert [len(p) for p in pieces] == [3, 3, 1, 1]
+    z = x[0] + 1j * x[1]
+    want = [*np.fft.fft(z[:6]), *[8 * np.fft.ifft(z[6])] * 2]
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert np.allclose(want, [np.array(r["re"]) + 1j * np.array(r["im"]) for r in rows])
