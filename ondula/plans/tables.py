@@ -30,12 +30,18 @@ def files(spark, sf):
     return o.select(F.concat(sub, name).alias("path"), (F.rint("o_totalprice").cast("bigint") % 3000).alias("length"))  # halves to even, as the SQL's cast
 
 
+def _array_name(path):
+    """The name of an array file without folders and ending. A regular expression for it would search each path anew from every letter, for every cell."""
+    name = F.substring_index(path, "/", -1)
+    return F.substring(name, F.lit(1), F.length(name) - 4)
+
+
 @query("src_01_recording_scan", "recording n_t:l n_channels:l total:6",
        with_("samples4") + "SELECT recording, count(DISTINCT t) AS n_t, 64 AS n_channels, sum(value) AS total FROM samples4 GROUP BY 1")
 def _(spark, sf):
     folder = fresh_folder(spark, "arrays")
     arrays.write_arrays(ad.frames(spark, sf, split=True), folder)
-    per = arrays.array_frames(spark, folder).withColumn("recording", F.regexp_extract("recording", r"([^/]+)\.npy$", 1))
+    per = arrays.array_frames(spark, folder).withColumn("recording", _array_name("recording"))
     return per.groupBy("recording").agg(F.count("t").alias("n_t"), F.max(F.size("x")).alias("n_channels"),
                                         F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
@@ -100,7 +106,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = fresh_folder(spark, "arrays")
     arrays.write_arrays(ad.frames(spark, sf).withColumn("recording", F.concat(F.lit("m"), F.floor(F.col("t") / FILE_ROWS))), folder)
-    return text.matrix_scan(spark, folder).withColumn("path", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
+    return text.matrix_scan(spark, folder).withColumn("path", _array_name("path"))
 
 
 @query("src_08_region_labels", "path region:l label",

@@ -23,13 +23,13 @@ from ondula.sources import npy
 def array_frames(spark: SparkSession, root: str, glob: str = "*.npy", split_bytes: int = npy.SPLIT_BYTES) -> DataFrame:
     """``.npy`` files of layout (time, channel) as frames; a 1-D array is one channel, one file one recording.
 
-    Files are split by rows, about ``split_bytes`` to a task. The store has to be one that the Python workers can open: local or
+    Files are split by rows, about ``split_bytes`` to a task, or less if not every core had a task then. The store has to be one that the Python workers can open: local or
     shared folders, HDFS, S3 and the like. Integers and floats of any width become doubles.
     """
     if not npy.listed(root, glob)[2]:
         raise FileNotFoundError(f"no {glob} below {root}")
     spark.dataSource.register(npy.ArrayFiles)
-    return spark.read.format("npy").option("glob", glob).option("splitBytes", split_bytes).load(root)
+    return spark.read.format("npy").option("glob", glob).option("splitBytes", split_bytes).option("tasks", spark.sparkContext.defaultParallelism).load(root)
 
 
 def array_samples(spark: SparkSession, root: str, glob: str = "*.npy") -> DataFrame:

@@ -1,7 +1,7 @@
 """A data source for ``.npy`` files that splits them by rows.
 
-``partitions`` reads only the header of each file and plans ranges of rows of about ``SPLIT_BYTES``; ranges of small files share a
-partition. A task then reads just its bytes, so neither a file nor a recording has to fit in a task.
+``partitions`` reads only the header of each file and plans ranges of rows of about ``SPLIT_BYTES``, or less where that would leave tasks idle; ranges of
+small files share a partition. A task then reads just its bytes, so neither a file nor a recording has to fit in a task.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 SPLIT_BYTES = 32 << 20
+#: Splits that are smaller so that every task has some have so many bytes at least.
+LEAST_BYTES = 1 << 20
 #: Values of a batch of rows, and headers that the driver reads at a time.
 BATCH_VALUES, OPEN = 1 << 20, 32
 SCHEMA = "recording string, t bigint, x array<double>"
@@ -76,7 +78,9 @@ class Ranges(InputPartition):
         self.parts = parts
 
 
-def planned(headers: list[tuple[str, Header]], split_bytes: int) -> list[Ranges]:
+def planned(headers: list[tuple[str, Header]], split_bytes: int, tasks: int = 1) -> list[Ranges]:
+    whole = sum(h.rows * h.columns * np.dtype(h.dtype).itemsize for _, h in headers)
+    split_bytes = min(split_bytes, max(LEAST_BYTES, math.ceil(whole / tasks)))
     out: list[Ranges] = []
     held: list[tuple[str, Header, int, int]] = []
     size = 0
@@ -95,13 +99,13 @@ def planned(headers: list[tuple[str, Header]], split_bytes: int) -> list[Ranges]
 
 
 class ArrayReader(DataSourceReader):
-    def __init__(self, root: str, glob: str, split_bytes: int):
-        self.root, self.glob, self.split_bytes = root, glob, split_bytes
+    def __init__(self, root: str, glob: str, split_bytes: int, tasks: int):
+        self.root, self.glob, self.split_bytes, self.tasks = root, glob, split_bytes, tasks
 
     def partitions(self) -> list[Ranges]:
         store, _, paths = listed(self.root, self.glob)
         with ThreadPoolExecutor(OPEN) as pool:
-            return planned(list(zip(paths, pool.map(lambda p: header(store, p), paths))), self.split_bytes) or [Ranges([])]
+            return planned(list(zip(paths, pool.map(lambda p: header(store, p), paths))), self.split_bytes, self.tasks) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         store, _, before = open_store(self.root)
@@ -123,7 +127,7 @@ class ArrayReader(DataSourceReader):
 
 
 class ArrayFiles(DataSource):
-    """``spark.read.format("npy").load(folder)``; options ``glob`` and ``splitBytes``."""
+    """``spark.read.format("npy").load(folder)``; options ``glob``, ``splitBytes`` and ``tasks`` (how many should have rows)."""
 
     @classmethod
     def name(cls) -> str:
@@ -134,7 +138,7 @@ class ArrayFiles(DataSource):
 
     def reader(self, schema: StructType) -> ArrayReader:
         o: Any = self.options
-        return ArrayReader(o["path"], o.get("glob", "*.npy"), int(o.get("splitBytes", SPLIT_BYTES)))
+        return ArrayReader(o["path"], o.get("glob", "*.npy"), int(o.get("splitBytes", SPLIT_BYTES)), int(o.get("tasks", 1)))
 
 
 def file_bytes(rows: int, columns: int, one_axis: bool = False) -> bytes:
