@@ -7,6 +7,7 @@ import pytest
 
 from ondula.operators import nonlinear as N
 from ondula.operators import tiles
+from ondula.operators.tiles import Chunk
 
 
 def frames_of(spark, t, x, key="all"):
@@ -34,3 +35,40 @@ def test_no_row_holds_blocks_and_pairs_leave_in_pieces(spark, small):
     want = Counter(zip(t[i].tolist(), t[j].tolist(), np.sqrt((e ** 2).sum(1)).round(9).tolist(), e.sum(1).round(9).tolist(), e.max(1).round(9).tolist()))
     got = Counter((r.i, r.j, round(r.euclidean, 9), round(r.manhattan, 9), round(r.supremum, 9)) for r in d.collect())
     assert got == want
+
+
+@pytest.mark.parametrize("metric", tiles.METRICS)
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-30, 0.0), (1e25, 0.0), (1.0, 1e6)])
+def test_near_equals_all_distances(metric, scale, offset):
+    rng = np.random.default_rng(1)
+    a, b = (rng.normal(size=(n, 6)).round(2) * scale + offset for n in (70, 130))
+    b[:10] = a[:10] + 0.5 * scale  # distances at the limit
+    b[10, 0], a[3, 2] = np.nan, np.inf
+    whole = tiles.distances(a, b, metric)
+    for finite in (False, True):
+        if finite:
+            b[10, 0], a[3, 2] = 0.0, 0.0
+            whole = tiles.distances(a, b, metric)
+        for limit in (0.0, 0.5 * scale, 2.5 * scale, float(whole[5, 7]), float(whole[40, 90])):
+            one, two = Chunk(np.arange(70), a, ()), Chunk(np.arange(100, 230), b, ())
+            got = [tiles.unpacked(bits, 130) for _, bits in tiles.near([one], two, metric, limit)] or [np.zeros((70, 130), bool)]
+            assert np.array_equal(got[0], whole <= limit)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.03, 0.4, 1.0])
+def test_quantile_starts_where_a_few_points_point(spark, small, rate, monkeypatch):
+    monkeypatch.setattr(tiles, "FEW", 40)
+    monkeypatch.setattr(tiles, "GUESS", 12)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 3))
+    x[60:] = x[:20] + 1e-9  # small distances, and a guess that may be wrong
+    x[7] = 1e5
+    full = tiles.distances(x, x, "euclidean")
+    ranges = []
+    monkeypatch.setattr(tiles, "_first_range", lambda *a, was=tiles._first_range: ranges.append(was(*a)) or ranges[-1])
+    f = frames_of(spark, np.arange(80), x)
+    got = tiles.distance_quantile(f, rate, block=4).first()["_q"]
+    assert abs(got - np.quantile(full, rate)) <= 1e-9 * max(1, got) and len(ranges) == 1
+    pairs = N.recurrence(f, rate=rate, block=4)
+    i, j = np.nonzero(np.triu(full <= got, 1))
+    assert {(r.i, r.j) for r in pairs.collect()} == set(zip(i.tolist(), j.tolist()))
