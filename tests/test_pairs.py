@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from ondula.operators import lines as L
 from ondula.operators import nonlinear as N
 from ondula.operators import tiles
 from ondula.operators.tiles import Chunk
@@ -72,3 +73,41 @@ def test_quantile_starts_where_a_few_points_point(spark, small, rate, monkeypatc
     pairs = N.recurrence(f, rate=rate, block=4)
     i, j = np.nonzero(np.triu(full <= got, 1))
     assert {(r.i, r.j) for r in pairs.collect()} == set(zip(i.tolist(), j.tolist()))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 1.0])
+@pytest.mark.parametrize("size", [1, 5, 64, 70])
+def test_summary_of_bits_equals_that_of_cells(size, share):
+    def table(fields):
+        out = Counter()
+        for *line, n in zip(*[f.tolist() for f in fields]):
+            out[tuple(line)] += n
+        return out
+
+    m = np.random.default_rng(size).random((size, size)) < share
+    a, b = (Chunk(np.arange(at, at + size), np.zeros((size, 1)), ()) for at in (1000, 5000))
+    assert table(L.chunk_summary(a, b, tiles.packed_bits(m))) == table(L.block_summary(m, 1000, 5000, None))
+    m |= m.T
+    assert table(L.chunk_summary(a, a, tiles.packed_bits(m))) == table(L.block_summary(m, 1000, 1000, np.ones(size, bool)))
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_lines_of_many_chunks_with_gaps_and_times_that_come_twice(spark, small, block):
+    rng = np.random.default_rng(3)
+    t = np.array([k for k in range(75) if k not in (5, 17, 18, 40)] + [10**6 + k for k in range(9)])
+    x = np.round(rng.normal(size=(len(t), 1)).cumsum(0), 1)
+    t, x = np.append(t, t[20:24]), np.concatenate([x, x[30:34]])
+    last = 10**6 + 9
+    at = np.where(t < 10**6, t, t - 10**6 + 100)  # the same lines, as nothing is near the gap
+    near = np.zeros((110, 110), bool)
+    for p, v in zip(at, x):
+        for q, w in zip(at, x):
+            near[p, q] |= p != q and abs(v - w)[0] <= 0.8
+    present = np.isin(np.arange(110), at)
+    want = Counter()
+    for kind, m in ((0, np.triu(near, 1)), (1, near | np.diag(present))):
+        for line in [np.diagonal(m, k) for k in range(1, 110)] if kind == 0 else list(m.T):
+            want.update((kind, len(run)) for run in "".join("x" if c else " " for c in line).split())
+    lines = L.recurrence_lines(frames_of(spark, t, x), 0.8, block=block)
+    assert {(r.kind, r.length): r.n for r in lines.collect()} == dict(want) and last > t.max()
+    assert lines._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow") == 1  # blocks are compared once
