@@ -111,3 +111,11 @@ def test_lines_of_many_chunks_with_gaps_and_times_that_come_twice(spark, small,
     lines = L.recurrence_lines(frames_of(spark, t, x), 0.8, block=block)
     assert {(r.kind, r.length): r.n for r in lines.collect()} == dict(want) and last > t.max()
     assert lines._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow") == 1  # blocks are compared once
+
+
+def test_counts_come_from_squares_without_rows_of_blocks(spark, small):
+    rng = np.random.default_rng(4)
+    t, x = np.sort(rng.choice(200, 90)), rng.normal(size=(90, 3)).round(1)
+    counts = tiles.count_within(frames_of(spark, t, x), 0.7, "supremum", block=3)
+    want = int((np.triu(np.abs(x[:, None] - x[None]).max(2) <= 0.7, 1) & (t[:, None] < t[None, :])).sum())
+    assert counts.first().pairs == want and "ArrowEvalPython" not in counts._jdf.queryExecution().toString()
