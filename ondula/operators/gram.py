@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS_PER_TASK = 64
+ROWS_OUT = 1 << 12  # rows of a matrix that leave a task at once
 
 
 def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -72,12 +73,17 @@ def partial_sums(df: DataFrame, keys: Sequence[str], arrays: Sequence[str],
     rows; it may return ``(row ids, matrix)`` to number the rows itself. Rows
     with a NULL array are left out. Output: ``keys, i, j, v``.
     """
+    return partial_rows(df, keys, arrays, kernel).select(*keys, "i", F.posexplode("row").alias("j", "v"))
+
+
+def partial_rows(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], kernel: Callable[..., np.ndarray]) -> DataFrame:
+    """``partial_sums`` with the rows of the matrix as arrays: ``keys, i, row``."""
     def part(*blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = kernel(*blocks)
         return m if isinstance(m, tuple) else (np.arange(len(m)), m)
 
     rows = _partial(df, list(keys), list(arrays), part, lambda a, b: (a[0], a[1] + b[1]))
-    return _merged(rows, list(keys), lambda a, b: a + b).select(*keys, "i", F.posexplode("row").alias("j", "v"))
+    return _merged(rows, list(keys), lambda a, b: a + b).select(*keys, "i", "row")
 
 
 def _partial(df: DataFrame, keys: list[str], arrays: list[str], kernel: Callable, merge: Callable) -> DataFrame:
@@ -89,9 +95,11 @@ def _partial(df: DataFrame, keys: list[str], arrays: list[str], kernel: Callable
         types: list[pa.DataType] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for key, (ids, m) in sums.items():
-                cols = [pa.array([v] * len(m), type=t) for v, t in zip(key, types)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids.astype(np.int32)), _lists(m)], names=[*keys, "i", "row"])
+            for key, (ids, whole) in sums.items():
+                for lo in range(0, len(whole), ROWS_OUT):
+                    i, m = ids[lo:lo + ROWS_OUT], whole[lo:lo + ROWS_OUT]
+                    cols = [pa.array([v] * len(m), type=t) for v, t in zip(key, types)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(i.astype(np.int32)), _lists(m)], names=[*keys, "i", "row"])
             sums.clear()
 
         for batch in batches:

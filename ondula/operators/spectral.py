@@ -17,7 +17,7 @@ from ondula.functions.types import doubles
 from ondula.operators import fourier, ordered
 from ondula.operators.attach import attach
 from ondula.operators.aggregates import average_edits, transient_outliers
-from ondula.operators.gram import partial_sums
+from ondula.operators.gram import partial_rows, partial_sums
 from ondula.operators.windows import slide
 from ondula.session import cut
 
@@ -496,28 +496,34 @@ def lagged_correlation(x: DataFrame, y: DataFrame, max_lag: int, key: str = "rec
     return sums.join(sx, key).join(sy, key).select(key, "lag", (F.col("s") / F.greatest(F.col("nx") * F.col("ny"), F.lit(1e-12))).alias("cc"))
 
 
+BAND_ROWS, BAND_BINS = 1024, 256  # frames and bins whose waves are made at once
+
+
 def band_csd(frames: DataFrame, targets: Sequence[float], fs: float, bandwidth: float = 4.0, key: str = "recording") -> DataFrame:
     """Mean of X X^H over the bins within bandwidth / 2 of each target, / (bins x T).
 
     Only the wanted bins are summed, inside each partition of the frames; the
-    frames are not shuffled.
+    frames are not shuffled. Waves are made for ``BAND_ROWS`` frames and ``BAND_BINS`` bins at a time.
     """
     n = frames.groupBy(key).agg((F.max("t") + 1).alias("_n"))
     rows = attach(frames, n, [key], ["t"]).select(key, F.array(F.col("t").cast("double"), F.col("_n").cast("double")).alias("tn"), "x")
 
     def kernel(tn: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = tn[0, 1]
+        size, c = tn[0, 1], x.shape[1]
         f = np.arange(int(size) // 2 + 1) * fs / size
-        ks = np.flatnonzero((np.abs(f[:, None] - np.asarray(targets)) < bandwidth / 2).any(axis=1))
-        e = np.exp(-2j * np.pi * np.mod(np.outer(ks, tn[:, 0]), size) / size)
-        z = e @ x
-        return ks, np.column_stack([z.real, z.imag])
-
-    cells = partial_sums(rows, [key], ["tn", "x"], kernel).join(n, key)
-    wide = F.max("j").over(W.partitionBy(key)) + 1
-    cells = cells.withColumn("_w", (wide / 2).cast("int"))
-    per = cells.groupBy(key, "_n", F.col("i").alias("k"), "_w").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("_c"))
-    per = per.select(key, "_n", "k", F.slice("_c.v", F.lit(1), F.col("_w")).alias("re"), F.slice("_c.v", F.col("_w") + 1, F.col("_w")).alias("im"))
+        ks = np.flatnonzero(np.any([np.abs(f - target) < bandwidth / 2 for target in targets], axis=0))
+        out = np.zeros((len(ks), 2 * c))
+        for lo in range(0, len(x), BAND_ROWS):
+            t, y = tn[lo:lo + BAND_ROWS, 0], x[lo:lo + BAND_ROWS]
+            for at in range(0, len(ks), BAND_BINS):
+                angle = np.mod(np.outer(ks[at:at + BAND_BINS], t), size) * (2 * np.pi / size)
+                out[at:at + BAND_BINS, :c] += np.cos(angle) @ y
+                out[at:at + BAND_BINS, c:] -= np.sin(angle) @ y
+        return ks, out
+
+    width = F.col("_w")
+    per = partial_rows(rows, [key], ["tn", "x"], kernel).join(n, key).withColumn("_w", (F.size("row") / 2).cast("int"))
+    per = per.select(key, "_n", F.col("i").alias("k"), F.slice("row", F.lit(1), width).alias("re"), F.slice("row", width + 1, width).alias("im"))
     want = F.array(*[F.lit(float(t)) for t in targets])
     per = per.withColumn("freq", F.explode(want)).where(F.abs(F.col("k") * fs / F.col("_n") - F.col("freq")) < bandwidth / 2)
     bins = per.groupBy(key, "freq", "_n").agg(F.count("*").alias("_b"))

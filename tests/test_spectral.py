@@ -216,3 +216,29 @@ def test_transforms_leave_in_pieces(monkeypatch):
     want = [*np.fft.fft(z[:6]), *[8 * np.fft.ifft(z[6])] * 2]
     rows = [r for p in pieces for r in p.to_pylist()]
     assert np.allclose(want, [np.array(r["re"]) + 1j * np.array(r["im"]) for r in rows])
+
+
+def test_band_csd_equals_a_transform_in_bounded_memory(spark, monkeypatch):
+    import tracemalloc
+
+    from ondula.operators import spectral
+
+    kernels = []
+    monkeypatch.setattr(spectral, "partial_rows", lambda *a, was=spectral.partial_rows: kernels.append(a[3]) or was(*a))
+    monkeypatch.setattr(spectral, "BAND_ROWS", 37)
+    monkeypatch.setattr(spectral, "BAND_BINS", 5)
+    x = np.random.default_rng(9).normal(size=(500, 3))
+    f = spark.createDataFrame([("r", t, v.tolist()) for t, v in enumerate(x)], "recording string, t long, x array<double>").repartition(3)
+    got = {(r["freq"], r["i"], r["j"]): r["re"] + 1j * r["im"] for r in spectral.band_csd(f, (10.0, 40.0), 250.0).collect()}
+    z, freq = np.fft.rfft(x, axis=0), np.fft.rfftfreq(500, 1 / 250)
+    for target in (10.0, 40.0):
+        k = np.abs(freq - target) < 2
+        want = z[k].T @ z[k].conj() / (k.sum() * 500)
+        assert max(abs(got[target, i, j] - want[i, j]) for i in range(3) for j in range(3)) < 1e-9
+    monkeypatch.undo()
+    rows = np.arange(2000.0)
+    tracemalloc.start()
+    ks, m = kernels[0](np.column_stack([rows, np.full(2000, 60_000.0)]), np.ones((2000, 64)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ks) > 1900 and m.shape == (len(ks), 128) and peak < 40e6  # all waves of the block would take 60 MB and more
