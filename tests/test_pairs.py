@@ -4,11 +4,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ondula.operators import graph
 from ondula.operators import lines as L
 from ondula.operators import nonlinear as N
 from ondula.operators import tiles
 from ondula.operators.tiles import Chunk
+from ondula.plans.registry import rounded
 
 
 def frames_of(spark, t, x, key="all"):
@@ -119,3 +122,36 @@ def test_counts_come_from_squares_without_rows_of_blocks(spark, small):
     counts = tiles.count_within(frames_of(spark, t, x), 0.7, "supremum", block=3)
     want = int((np.triu(np.abs(x[:, None] - x[None]).max(2) <= 0.7, 1) & (t[:, None] < t[None, :])).sum())
     assert counts.first().pairs == want and "ArrowEvalPython" not in counts._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("ids, exponent", [("bigint", 3.0), ("string", 2.5)])
+def test_inverse_distances_by_packed_points(spark, small, monkeypatch, ids, exponent):
+    monkeypatch.setattr(graph, "SIDE_POINTS", 20)
+    monkeypatch.setattr(graph, "PACKED", 8)
+    rng = np.random.default_rng(5)
+    v = np.append(np.arange(70) * 3, [0, 3])  # two points come twice, under one name but not at one place
+    x = rng.normal(size=(72, 3)).round(1)
+    rows = [("m", str(k) if ids == "string" else int(k), *map(float, p)) for k, p in zip(v, x)] + [("one", "7" if ids == "string" else 7, 0.0, 0.0, 0.0)]
+    extra = ("x" if ids == "string" else 1000, None, 1.0, 1.0)  # a point without a place has a row of empty cells and no weight
+    points = spark.createDataFrame([*rows, ("m", *extra)], f"mesh string, v {ids}, x double, y double, z double").repartition(4)
+    cells = graph.inverse_distance(points, exponent)
+    w = ((x[:, None] - x[None]) ** 2).sum(2) + 1e-6
+    w = np.where(v[:, None] == v[None, :], 0.0, w ** (-exponent / 2))
+    total = {k: w[v == k].sum() for k in v.tolist()}
+    want = sorted((a, b, w[i, j] / total[a]) for i, a in enumerate(v.tolist()) for j, b in enumerate(v.tolist()) if a != b)
+    got = [(r.mesh, r.i, r.j, r.v) for r in cells.collect()]
+    assert all(k == "m" for k, *_ in got) and len([g for g in got if g[3] is None]) == 2 * 72
+    full = sorted((int(i), int(j), c) for _, i, j, c in got if c is not None)
+    assert [g[:2] for g in full] == [g[:2] for g in want] and np.allclose([g[2] for g in full], [g[2] for g in want], rtol=1e-9, atol=0)
+    plan = cells._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "inline" in plan and ("POWER(" in plan) == (exponent == 2.5)  # points come packed, cubes are products
+
+
+@pytest.mark.parametrize("digits", [6, 8])
+def test_rounding_without_decimals_gives_the_same_digits(spark, digits):
+    rng = np.random.default_rng(6)
+    some = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-12, 12, 3000), rng.integers(-10**6, 10**6, 3000) / 10.0**digits + 0.5 / 10.0**digits,
+                           rng.integers(-10**6, 10**6, 3000) / 2.0**20, [0.0, -0.0, -1e-12, 1e300, -1e300, np.inf, -np.inf, np.nan]])
+    v = spark.createDataFrame([(float(x),) for x in some] + [(None,)], "v double")
+    both = v.select("v", rounded(F.col("v"), digits).alias("a"), F.round("v", digits).alias("b"))
+    assert both.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0 and both.where("a IS NULL").count() == 1
