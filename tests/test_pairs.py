@@ -155,3 +155,23 @@ def test_rounding_without_decimals_gives_the_same_digits(spark, digits):
     v = spark.createDataFrame([(float(x),) for x in some] + [(None,)], "v double")
     both = v.select("v", rounded(F.col("v"), digits).alias("a"), F.round("v", digits).alias("b"))
     assert both.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0 and both.where("a IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("radius", [0.7, 30.0])
+def test_near_points_meet_in_regions(spark, monkeypatch, radius):
+    monkeypatch.setattr(graph, "PACKED", 4)
+    monkeypatch.setattr(graph, "REGION", 2)
+    monkeypatch.setattr(graph, "REGION_POINTS", 10)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(60, 3)).round(1) * 2, rng.normal(size=(40, 3)).round(1) * 0.2 - 5])  # a crowded place, and below zero
+    v = np.append(np.arange(98), [4, 4])  # a name that comes three times is no pair with itself
+    rows = [("m/1", int(k), *map(float, p)) for k, p in zip(v, x)] + [("m", int(k), *map(float, p)) for k, p in zip(v[:30], x)] + [("m", 500, None, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "mesh string, v bigint, x double, y double, z double").repartition(3)
+    near = graph.within_distance(points, radius)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    i, j = np.nonzero((d2 < radius * radius) & (v[:, None] != v[None, :]))
+    want = Counter([("m/1", int(v[a]), int(v[b]), round(float(np.sqrt(d2[a, b])), 9)) for a, b in zip(i, j)]
+                   + [("m", int(v[a]), int(v[b]), round(float(np.sqrt(d2[a, b])), 9)) for a, b in zip(i, j) if max(a, b) < 30])
+    assert Counter((r.graph, r.src, r.dst, round(r.length, 9)) for r in near.collect()) == want
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "array_distinct" in plan and "Broadcast" not in plan  # cells are copied to regions, not to neighbours
